@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapescope.config import make_config
-from tapescope.operators import labels, scoring
+from tapescope.operators import economics, evaluation, labels, scoring
 from tapescope.plans.registry import view
+from tapescope.session import cut
 from tapescope.sources import tables
 
 # Settings of the registered queries, tuned to the value ranges of the tables.
@@ -176,3 +177,118 @@ view("scored", f"""
 SELECT *, base_score AS total_score, base_score>={CFG['alert_threshold']} AS is_alert FROM (
  SELECT *, 1-(1-conf_volume_anomaly)*(1-conf_probability_impact)*(1-conf_accumulation)*(1-conf_extreme_position)*(1-conf_contra_silence) AS base_score
  FROM detected)""")
+
+
+# ---- labels, flags and evaluations -----------------------------------------
+FLAG_RATE = 0.5
+FROZEN = ["seq", "market_id", "wallet", "timestamp_ms", "side", "outcome_index", "price", "notional_usdc",
+          "size_tokens", "tx_hash", "base_score", "total_score", "is_alert"]
+
+
+def frozen(spark: SparkSession, sf: str, cfg: dict = CFG) -> DataFrame:
+    """The replay written once and read by everything downstream (frozen signals)."""
+    df = scoring.replay(tape(spark, sf), cfg)
+    return cut(df.select(*FROZEN, *scoring.conf_columns(df)))
+
+
+def truth(spark: SparkSession, sf: str) -> DataFrame:
+    return labels.ground_truth(tape(spark, sf), winners(spark, sf), CFG)
+
+
+def evaluations(spark: SparkSession, sf: str, signals: DataFrame | None = None) -> DataFrame:
+    signals = frozen(spark, sf) if signals is None else signals
+    return evaluation.wallet_evaluations(truth(spark, sf), scoring.wallet_suspicion(signals))
+
+
+def predicted(spark: SparkSession, sf: str, signals: DataFrame | None = None) -> DataFrame:
+    return evaluations(spark, sf, signals).withColumn(
+        "predicted", evaluation.predict("flag_rate", flag_rate_threshold=FLAG_RATE))
+
+
+def flagged_buys(spark: SparkSession, sf: str, signals: DataFrame | None = None) -> DataFrame:
+    signals = frozen(spark, sf) if signals is None else signals
+    return economics.flagged_buys(tape(spark, sf), winners(spark, sf), economics.flag_keys(signals))
+
+
+view("positions", """
+SELECT market_id, wallet, sum(CASE WHEN side='BUY' THEN size_tokens ELSE -size_tokens END) AS net_shares,
+ sum(CASE WHEN side='BUY' THEN notional_usdc ELSE -notional_usdc END) AS net_cost, sum(notional_usdc) AS notional,
+ sum(CASE WHEN side='BUY' THEN notional_usdc ELSE 0 END) AS gross_buy, count(*) AS trade_count
+FROM tape GROUP BY 1,2""")
+
+_l = CFG["labels"]
+view("pnl", f"""
+SELECT *, CASE WHEN gross_buy>1e-9 THEN net_pnl/gross_buy ELSE 0 END AS wallet_return,
+ CASE WHEN gross_buy>1e-9 THEN net_pnl/gross_buy*log2(1+gross_buy/1000) ELSE 0 END AS informed_score FROM (
+ SELECT market_id, winner, wallet,
+  sum(CASE WHEN outcome_index=winner THEN (CASE WHEN side='BUY' THEN size_tokens ELSE -size_tokens END) ELSE 0 END) AS payout,
+  sum(CASE WHEN side='BUY' THEN notional_usdc ELSE -notional_usdc END) AS net_cost,
+  sum(CASE WHEN outcome_index=winner THEN (CASE WHEN side='BUY' THEN size_tokens ELSE -size_tokens END) ELSE 0 END)
+   - sum(CASE WHEN side='BUY' THEN notional_usdc ELSE -notional_usdc END) AS net_pnl,
+  sum(notional_usdc) AS total_notional, sum(CASE WHEN side='BUY' THEN notional_usdc ELSE 0 END) AS gross_buy, count(*) AS trade_count
+ FROM tape JOIN winners USING (market_id) GROUP BY 1,2,3 HAVING sum(notional_usdc)>={_l['min_wallet_notional']})""")
+
+view("truth", f"""
+SELECT *, z_score>{_l['z_score_threshold']} AS is_insider FROM (
+ SELECT *, CASE WHEN label_std>1e-12 THEN (wallet_return-label_mean)/label_std ELSE 0 END AS z_score FROM (
+  SELECT *, avg(wallet_return) OVER m AS label_mean, stddev_samp(wallet_return) OVER m AS label_std, count(*) OVER m AS nw
+  FROM pnl WINDOW m AS (PARTITION BY market_id)) WHERE nw>={_l['min_wallets']})""")
+
+view("suspicion", """
+SELECT market_id, wallet, sum(total_score) AS suspicion, count_if(is_alert) AS num_flags, count(*) AS trade_count,
+ sum(notional_usdc) AS notional, sum(CASE WHEN side='BUY' THEN notional_usdc ELSE 0 END) AS gross_buy,
+ sum(CASE WHEN outcome_index=0 THEN (CASE WHEN side='BUY' THEN size_tokens ELSE -size_tokens END) ELSE 0 END) AS shares0,
+ sum(CASE WHEN outcome_index=0 THEN (CASE WHEN side='BUY' THEN notional_usdc ELSE -notional_usdc END) ELSE 0 END) AS cost0,
+ sum(CASE WHEN outcome_index=1 THEN (CASE WHEN side='BUY' THEN size_tokens ELSE -size_tokens END) ELSE 0 END) AS shares1,
+ sum(CASE WHEN outcome_index=1 THEN (CASE WHEN side='BUY' THEN notional_usdc ELSE -notional_usdc END) ELSE 0 END) AS cost1
+FROM scored GROUP BY 1,2""")
+
+view("evals", f"""
+SELECT t.*, coalesce(s.suspicion,0) AS suspicion, CAST(coalesce(s.num_flags,0) AS BIGINT) AS num_flags,
+ coalesce(s.num_flags,0)>0 AS has_alert, coalesce(s.num_flags,0)/t.trade_count AS flag_rate,
+ coalesce(s.num_flags,0)/t.trade_count>={FLAG_RATE} AS predicted
+FROM truth t LEFT JOIN suspicion s USING (market_id, wallet)""")
+
+view("buys", """
+SELECT t.*, winner, outcome_index=winner AS is_win,
+ CASE WHEN outcome_index=winner THEN (1-price)/price ELSE -1 END AS trade_return,
+ CASE WHEN outcome_index=winner THEN size_tokens ELSE 0 END AS payout,
+ CASE WHEN outcome_index=winner THEN size_tokens ELSE 0 END - notional_usdc AS pnl,
+ CASE WHEN notional_usdc>1e-9 THEN (CASE WHEN outcome_index=winner THEN size_tokens ELSE 0 END - notional_usdc)/notional_usdc ELSE 0 END AS pnl_return
+FROM tape t JOIN winners USING (market_id) WHERE side='BUY'""")
+
+view("flags", """
+SELECT market_id, wallet, timestamp_ms, arg_max(total_score, seq) AS flag_score,
+ arg_max(list_filter([CASE WHEN conf_volume_anomaly>0 THEN 'volume_anomaly' END, CASE WHEN conf_probability_impact>0 THEN 'probability_impact' END,
+  CASE WHEN conf_accumulation>0 THEN 'accumulation' END, CASE WHEN conf_extreme_position>0 THEN 'extreme_position' END,
+  CASE WHEN conf_contra_silence>0 THEN 'contra_silence' END], lambda x: x IS NOT NULL), seq) AS flag_detectors
+FROM scored WHERE is_alert GROUP BY 1,2,3""")
+
+view("fbuys", """
+SELECT b.*, f.flag_score, f.flag_detectors, f.flag_score IS NOT NULL AS is_flagged
+FROM buys b LEFT JOIN flags f USING (market_id, wallet, timestamp_ms)""")
+
+view("study", """
+SELECT market_id, winner, count(*) AS total_buy_trades, count_if(is_flagged) AS flagged_buy_trades, count_if(NOT is_flagged) AS unflagged_buy_trades,
+ sum(notional_usdc) FILTER (is_flagged) AS flagged_total_notional, sum(notional_usdc) FILTER (NOT is_flagged) AS unflagged_total_notional,
+ avg(trade_return) FILTER (is_flagged) AS flagged_mean_return, avg(trade_return) FILTER (NOT is_flagged) AS unflagged_mean_return,
+ median(trade_return) FILTER (is_flagged) AS flagged_median_return, median(trade_return) FILTER (NOT is_flagged) AS unflagged_median_return,
+ coalesce(stddev_samp(trade_return) FILTER (is_flagged),0) AS flagged_std_return, coalesce(stddev_samp(trade_return) FILTER (NOT is_flagged),0) AS unflagged_std_return,
+ var_samp(trade_return) FILTER (is_flagged) AS fv, var_samp(trade_return) FILTER (NOT is_flagged) AS uv,
+ sum(trade_return*notional_usdc) FILTER (is_flagged)/sum(notional_usdc) FILTER (is_flagged) AS flagged_weighted_return,
+ sum(trade_return*notional_usdc) FILTER (NOT is_flagged)/sum(notional_usdc) FILTER (NOT is_flagged) AS unflagged_weighted_return,
+ count_if(is_flagged AND is_win)/count_if(is_flagged) AS flagged_win_rate, count_if(NOT is_flagged AND is_win)/count_if(NOT is_flagged) AS unflagged_win_rate
+FROM fbuys GROUP BY 1,2 HAVING count_if(is_flagged)>=1 AND count_if(NOT is_flagged)>=1""")
+
+view("study_d", """
+SELECT *, flagged_mean_return-unflagged_mean_return AS mean_return_diff,
+ coalesce(CASE WHEN flagged_buy_trades>=2 AND unflagged_buy_trades>=2 AND sqrt(((flagged_buy_trades-1)*fv+(unflagged_buy_trades-1)*uv)/(total_buy_trades-2))>=1e-12
+   THEN (flagged_mean_return-unflagged_mean_return)/sqrt(((flagged_buy_trades-1)*fv+(unflagged_buy_trades-1)*uv)/(total_buy_trades-2)) END,0) AS cohens_d,
+ coalesce(CASE WHEN flagged_buy_trades>=2 AND unflagged_buy_trades>=2 AND fv/flagged_buy_trades+uv/unflagged_buy_trades>0
+   THEN (flagged_mean_return-unflagged_mean_return)/sqrt(fv/flagged_buy_trades+uv/unflagged_buy_trades) END,0) AS welch_t,
+ CASE WHEN flagged_buy_trades>=2 AND unflagged_buy_trades>=2 AND fv/flagged_buy_trades+uv/unflagged_buy_trades>0
+   THEN (fv/flagged_buy_trades+uv/unflagged_buy_trades)**2/((fv/flagged_buy_trades)**2/(flagged_buy_trades-1)+(uv/unflagged_buy_trades)**2/(unflagged_buy_trades-1)) END AS welch_df
+FROM study""")
+
+BANDS_SQL = " ".join(f"WHEN flag_score<{hi} THEN '{name}'" for hi, name in
+                     [(0.6, "0.5-0.6"), (0.7, "0.6-0.7"), (0.8, "0.7-0.8"), (0.9, "0.8-0.9"), (1.01, "0.9-1.0")])
