@@ -94,13 +94,10 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], tracks: Se
     within = Window.partitionBy(*part).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1)
     joined = rows.join(carry, part, "inner" if source is None else "left")
-    out = joined.select(
-        *[F.col(c) for c in df.columns],
-        *[_over(t.kind, F.col(values[t.name]), within).alias(f"_l_{t.name}") for t in tracks],
-        *[F.col(f"_c_{t.name}") for t in tracks])
-    return out.select(
-        *df.columns,
-        *[_combine(t.kind, F.col(f"_l_{t.name}"), F.col(f"_c_{t.name}")).alias(t.name) for t in tracks])
+    out = joined.select("*", *[_over(t.kind, F.col(values[t.name]), within).alias(f"_l_{t.name}") for t in tracks])
+    out = out.select("*", *[
+        _combine(t.kind, F.col(f"_l_{t.name}"), F.col(f"_c_{t.name}")).alias(t.name) for t in tracks])
+    return out.drop("_chunk", *values.values(), *[f"{p}{t.name}" for t in tracks for p in ("_l_", "_c_")])
 
 
 def row_blocks(numbered: DataFrame, block_rows: int, halo: int) -> DataFrame:
@@ -142,8 +139,8 @@ def departed_sums(df: DataFrame, source: DataFrame, keys: Sequence[str], order:
     marks = source.select(*keys, *rest, F.col(ts).alias("_t"), F.lit(1).alias("_live")).unionByName(
         gone, allowMissingColumns=True)
     summed = running(both, keys, ["_t", "_live", *rest], named, chunk_ms, source=marks)
-    return summed.where("_live = 1").select(
-        *df.columns, *[F.when(F.col(at).isNotNull(), F.col(t.name)).alias(t.name) for t in tracks])
+    return (summed.where("_live = 1").drop("_t", "_live", *[f"_x_{t.name}" for t in tracks])
+            .withColumns({t.name: F.when(F.col(at).isNotNull(), F.col(t.name)) for t in tracks}))
 
 
 def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str,
@@ -171,4 +168,4 @@ def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str,
     seen = running(both, keys, ["_t", "_side", "_o", "seq"], [Track("_hit", "last", F.col("_payload"))], chunk_ms,
                    source=lmarks.unionByName(rrows, allowMissingColumns=True))
     return seen.where(F.col("_side") == rank).select(
-        *left.columns, *[F.col(f"_hit.{new}").alias(new) for new in values])
+        "*", *[F.col(f"_hit.{new}").alias(new) for new in values]).drop("_t", "_side", "_o", "_payload", "_hit")

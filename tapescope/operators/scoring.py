@@ -71,14 +71,24 @@ def recidivism_replay(scored: DataFrame, cfg: dict, key: list[str] = ["market_id
     need = F.coalesce(*[F.when(at(n) >= thr, F.lit(n)) for n in range(top + 1)])
     df = scored.withColumn("_need", need)
     able = cut(df.where("_need is not null").select(*key, F.struct(*ORDER).alias("_at"), "_need"))
-    # reached[n]: the trade whose alert takes the count to n
-    reached = able.where("_need = 0").groupBy(*key).agg(F.min("_at").alias("_r1"))
-    for n in range(2, top + 1):
-        nxt = (able.where(F.col("_need") <= n - 1).join(reached.select(*key, f"_r{n - 1}"), key)
-               .where(F.col("_at") > F.col(f"_r{n - 1}")).groupBy(*key).agg(F.min("_at").alias(f"_r{n}")))
-        reached = reached.join(nxt, key, "left")
-    steps = [F.when(F.col(f"_r{n}") < F.struct(*ORDER), 1).otherwise(0) for n in range(1, top + 1)]
-    out = df.join(reached, key, "left").withColumn("prior_flags_capped", reduce(lambda a, b: a + b, steps))
+    # step n finds, for every wallet still climbing, the alert that takes its count to n
+    step = cut(able.where("_need = 0").groupBy(*key).agg(F.min("_at").alias("_hit")))
+    found = []
+    for n in range(1, top + 1):
+        if step.isEmpty():
+            break
+        found.append(step.withColumn("_n", F.lit(n)))
+        if n < top:
+            step = cut(able.where(F.col("_need") <= n).join(step, key).where(F.col("_at") > F.col("_hit"))
+                       .groupBy(*key).agg(F.min("_at").alias("_hit")))
+    if found:
+        steps = reduce(DataFrame.unionByName, found)
+        # at most ``top`` entries per wallet
+        reached = steps.groupBy(*key).agg(F.collect_list("_hit").alias("_hits"))
+        before = F.size(F.filter(F.coalesce("_hits", F.array()), lambda h: h < F.struct(*ORDER)))
+        out = df.join(reached, key, "left").withColumn("prior_flags_capped", before).drop("_hits")
+    else:
+        out = df.withColumn("prior_flags_capped", F.lit(0))
     conf = F.lit(0.0)
     for n in range(top, 0, -1):
         if n >= d["min_prior_flags"]:
@@ -87,7 +97,7 @@ def recidivism_replay(scored: DataFrame, cfg: dict, key: list[str] = ["market_id
     total = noisy_or([F.col("base_score"), F.col("conf_recidivism")])
     total = total if mult is None else boosted(total, mult, cfg["score_cap"])
     return (out.withColumn("total_score", total).withColumn("is_alert", F.col("total_score") >= thr)
-            .drop("_need", *[f"_r{n}" for n in range(1, top + 1)]))
+            .drop("_need"))
 
 
 def _sigmoid(d: dict, flags: int) -> float:

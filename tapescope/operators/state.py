@@ -209,7 +209,7 @@ def contra_gaps(df: DataFrame, source: DataFrame, chunk_ms: int = DAY_MS) -> Dat
     return (seen.withColumn("_contra", other)
             .withColumns({"contra_gap_median": F.col("_contra.m"),
                           "contra_gap_n": F.coalesce(F.col("_contra.n"), F.lit(0).cast("long"))})
-            .select(*df.columns, "contra_gap_median", "contra_gap_n"))
+            .drop("_kind", "_mo", "_ring", "_ring0", "_ring1", "_contra"))
 
 
 def prior_counts(tape: DataFrame, chunk_ms: int = DAY_MS) -> DataFrame:
