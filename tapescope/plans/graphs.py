@@ -138,8 +138,8 @@ def _(spark, sf):
 
 
 @query("apply_wallet_boosts", """
-SELECT t.market_id, t.wallet, round(CASE WHEN community IN ('c0','c1','c2') THEN least(1+least(size/50.0,0.3)+density*0.2+CASE WHEN coalesce(has_common_ownership,false) THEN 0.4 ELSE 0 END,2.0) ELSE 1 END,5) AS boost,
- CASE WHEN community IN ('c0','c1','c2') THEN coalesce(has_common_ownership,false) ELSE false END AS has_common_ownership
+SELECT t.market_id, t.wallet, round(CASE WHEN m.community IN ('c0','c1','c2') THEN least(1+least(size/50.0,0.3)+density*0.2+CASE WHEN coalesce(has_common_ownership,false) THEN 0.4 ELSE 0 END,2.0) ELSE 1 END,5) AS boost,
+ CASE WHEN m.community IN ('c0','c1','c2') THEN coalesce(has_common_ownership,false) ELSE false END AS has_common_ownership
 FROM (SELECT DISTINCT market_id, wallet FROM tape) t JOIN member m ON m.market_id=t.market_id AND m.node=t.wallet
 JOIN cmeta c ON c.market_id=m.market_id AND c.community=m.community LEFT JOIN owned o ON o.market_id=m.market_id AND o.community=m.community""")
 def _(spark, sf):
@@ -182,7 +182,7 @@ SELECT t.seq, arg_max(j.direction,(abs(j.price_change),-j.start_ms,-j.direction)
 FROM tape t JOIN jumps j ON j.market_id=t.market_id AND j.outcome_index=t.outcome_index AND j.start_ms BETWEEN t.timestamp_ms AND t.timestamp_ms+{J['pre_jump_lookback_minutes']*60000} GROUP BY 1""")
 view("jscores", f"""
 SELECT *, CASE WHEN n_pre>={J['min_pre_jump_trades']} THEN 1+({J['max_boost_factor']}-1)*greatest(0,(n_aligned/n_pre-0.5)*2)*(n_pre/n_total) ELSE 1 END AS jump_boost FROM (
- SELECT market_id, wallet, count(*) AS n_total, count(jump_direction) AS n_pre, count_if(jump_direction=CASE WHEN side='BUY' THEN 1 ELSE -1 END) AS n_aligned
+ SELECT market_id, wallet, count(*) AS n_total, count(jump_direction) AS n_pre, coalesce(count_if(jump_direction=CASE WHEN side='BUY' THEN 1 ELSE -1 END),0) AS n_aligned
  FROM tape LEFT JOIN nextjump USING (seq) GROUP BY 1,2)""")
 
 
