@@ -32,8 +32,8 @@ def system_summary(stats: DataFrame, alerts: DataFrame) -> DataFrame:
 
 def detector_counts(alert_rows: DataFrame) -> DataFrame:
     """Count detectors from the stored signals text."""
-    name = F.trim(F.regexp_replace(F.explode(F.split("signals", r" \| ")), r"\(.*$", ""))
-    return alert_rows.select(name.alias("detector")).groupBy("detector").agg(F.count(F.lit(1)).alias("n"))
+    parts = alert_rows.select(F.explode(F.split("signals", r" \| ")).alias("_p"))
+    return parts.select(F.trim(F.regexp_replace("_p", r"\(.*$", "")).alias("detector")).groupBy("detector").agg(F.count(F.lit(1)).alias("n"))
 
 
 def markets_by_alerts(alerts: DataFrame, k: int = 20) -> DataFrame:
