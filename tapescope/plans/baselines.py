@@ -96,11 +96,11 @@ def _(spark, sf):
 
 @query("bimodal_trough", """
 WITH v AS (SELECT market_id, round(flag_rate,9) AS v FROM evals), s AS (SELECT market_id, count(*) AS n, stddev_samp(v) AS sd, min(v) AS lo, max(v) AS hi, quantile_cont(v,0.9) AS pct FROM v GROUP BY 1),
-g AS (SELECT *, i, lo+(hi-lo)*i/255.0 AS at, sd*pow(n,-0.2) AS h FROM s, range(0,256) t(i) WHERE n>=8 AND hi-lo>=1e-12),
-d AS (SELECT g.market_id, i, at, sum(exp(-0.5*pow((at-v.v)/h,2))) AS d FROM g JOIN v ON v.market_id=g.market_id GROUP BY 1,2,3),
+g AS (SELECT *, lo+(hi-lo)*i/255.0 AS pt, sd*pow(n,-0.2) AS h FROM s, range(0,256) t(i) WHERE n>=8 AND hi-lo>=1e-12),
+d AS (SELECT g.market_id, i, pt, sum(exp(-0.5*pow((pt-v.v)/h,2))) AS d FROM g JOIN v ON v.market_id=g.market_id GROUP BY 1,2,3),
 p AS (SELECT *, d>lag(d) OVER w AND d>lead(d) OVER w AS pk FROM d WINDOW w AS (PARTITION BY market_id ORDER BY i)),
 k AS (SELECT market_id, min(i) AS a, max(i) AS b FROM (SELECT *, row_number() OVER (PARTITION BY market_id ORDER BY d DESC, i) AS rn FROM p WHERE pk) WHERE rn<=2 GROUP BY 1 HAVING count(*)=2),
-t AS (SELECT d.market_id, arg_min(at,(d,i)) AS trough FROM d JOIN k ON k.market_id=d.market_id AND i BETWEEN a AND b GROUP BY 1)
+t AS (SELECT d.market_id, arg_min(pt,(d,i)) AS trough FROM d JOIN k ON k.market_id=d.market_id AND i BETWEEN a AND b GROUP BY 1)
 SELECT market_id, round(coalesce(trough,pct),5) AS eps, CASE WHEN trough IS NULL THEN 'percentile_fallback' ELSE 'bimodal_trough' END AS rule FROM s LEFT JOIN t USING (market_id)""")
 def _(spark, sf):
     from tapescope.plans.base import evaluations
@@ -111,11 +111,11 @@ def _(spark, sf):
 
 @query("anomaly_features", """
 SELECT seq, round(ln(notional_usdc+1),6) AS log_notional, round(price,6) AS price, CAST(side='BUY' AS DOUBLE) AS is_buy, CAST(count(*) OVER w AS DOUBLE) AS wallet_prior_trades,
- round(coalesce(sum(notional_usdc) OVER w,0),4) AS wallet_prior_notional, round((close_ms-timestamp_ms)/3600000.0,6) AS hours_to_close, CAST(count(*) OVER m AS DOUBLE) AS market_prior_trades
+ round(coalesce(sum(notional_usdc) OVER w,0),4) AS wallet_prior_notional, CAST(close_ms-timestamp_ms AS DOUBLE) AS ms_to_close, CAST(count(*) OVER m AS DOUBLE) AS market_prior_trades
 FROM tape JOIN (SELECT market_id, close_ms FROM markets) k USING (market_id) WINDOW w AS (PARTITION BY wallet ORDER BY timestamp_ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), m AS (PARTITION BY market_id ORDER BY timestamp_ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def _(spark, sf):
     df = baselines.anomaly_features(tape(spark, sf), close(spark, sf))
-    return df.select("seq", *rnd("log_notional", "price"), "is_buy", "wallet_prior_trades", *rnd("wallet_prior_notional", digits=4), *rnd("hours_to_close"), "market_prior_trades")
+    return df.select("seq", *rnd("log_notional", "price"), "is_buy", "wallet_prior_trades", *rnd("wallet_prior_notional", digits=4), F.round(F.col("hours_to_close") * 3_600_000.0).alias("ms_to_close"), "market_prior_trades")
 
 
 @query("isolation_forest")
