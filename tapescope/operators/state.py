@@ -184,6 +184,9 @@ def gap_medians(tape: DataFrame, chunk_ms: int = DAY_MS, block_rows: int = GAP_B
         Track("_before", "max", F.col("timestamp_ms")), Track("_rn", "sum", F.lit(1).cast("long"))], chunk_ms)
     gaps = gaps.where("_before is not null").withColumn("gap_ms", F.col("timestamp_ms") - F.col("_before"))
     blocks = row_blocks(gaps, block_rows, GAP_RING - 1)
+    # few bytes but much work per row: keep AQE from packing the blocks into one task
+    n = int(tape.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    blocks = blocks.repartition(n, *key, "_block")
     ring = Window.partitionBy(*key, "_block").orderBy(*ORDER).rowsBetween(-(GAP_RING - 1), 0)
     # sorting the ring beats percentile(), which rebuilds a hash map for every row
     sample, n = F.col("_ring"), F.size("_ring")
