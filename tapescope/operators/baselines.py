@@ -18,7 +18,7 @@ from tapescope.session import cut
 def timing_heuristic(tape: DataFrame, close: DataFrame, max_prior: int, min_notional: float, max_hours: float) -> DataFrame:
     """Large BUY of a wallet with little history, shortly before resolution."""
     counted = running(tape, ["market_id", "wallet"], ORDER, [Track("_here", "sum", F.lit(1).cast("long"))])
-    seeded = counted.join(markets.prior_trade_counts(tape), ["market_id", "wallet"]).join(F.broadcast(close), "market_id")
+    seeded = counted.join(markets.prior_trade_counts(tape), ["market_id", "wallet"]).join(close, "market_id")
     left = F.col("close_ms") - F.col("timestamp_ms")
     return seeded.where((F.col("_here") + F.col("prior_trades") <= max_prior) & is_buy() & (F.col("notional_usdc") >= min_notional)
                         & left.between(0, int(max_hours * HOUR_MS))).select("market_id", "seq", "wallet", "timestamp_ms")
@@ -26,7 +26,7 @@ def timing_heuristic(tape: DataFrame, close: DataFrame, max_prior: int, min_noti
 
 def wallet_pairs(tape: DataFrame, winners: DataFrame, min_notional: float = 500.0) -> DataFrame:
     """(wallet, market) pairs over their BUY trades."""
-    buys = tape.where(is_buy()).join(F.broadcast(winners), "market_id")
+    buys = tape.where(is_buy()).join(winners, "market_id")
     won = F.col("outcome_index") == F.col("winner")
     by = [F.sum(F.when(F.col("outcome_index") == o, F.col("notional_usdc")).otherwise(0.0)).alias(f"_n{o}") for o in (0, 1)]
     return buys.groupBy("market_id", "wallet").agg(
@@ -44,7 +44,7 @@ def size_profit_screen(tape: DataFrame, winners: DataFrame, min_notional: float
     """Retrospective five-signal composite per (wallet, market) pair."""
     pairs = wallet_pairs(tape, winners, min_notional)
     jump = largest_price_jump(tape, winners).select("market_id", "jump_ts")
-    early = (tape.where(is_buy()).join(F.broadcast(jump), "market_id").where("timestamp_ms < jump_ts")
+    early = (tape.where(is_buy()).join(jump, "market_id").where("timestamp_ms < jump_ts")
              .groupBy("market_id", "wallet").agg(F.sum("notional_usdc").alias("_early")))
     own = pairs.groupBy("wallet").agg(F.avg("bn").alias("_wm"), F.stddev_samp("bn").alias("_ws"), F.count(F.lit(1)).alias("_wn"))
     df = pairs.join(early, ["market_id", "wallet"], "left").join(own, "wallet").withColumns({
@@ -60,7 +60,7 @@ def size_profit_screen(tape: DataFrame, winners: DataFrame, min_notional: float
 
 def size_timing_screen(tape: DataFrame, winners: DataFrame, close: DataFrame, low_price: float = 0.3, min_notional: float = 500.0) -> DataFrame:
     """Causal four-signal composite: each pair against strictly earlier pairs only."""
-    rows = tape.where(is_buy()).join(F.broadcast(winners), "market_id").join(F.broadcast(close), "market_id").where("timestamp_ms < close_ms")
+    rows = tape.where(is_buy()).join(winners, "market_id").join(close, "market_id").where("timestamp_ms < close_ms")
     w = F.col("notional_usdc")
     by = [F.sum(F.when(F.col("outcome_index") == o, w).otherwise(0.0)).alias(f"_n{o}") for o in (0, 1)]
     pairs = rows.groupBy("market_id", "wallet").agg(
@@ -100,21 +100,21 @@ def trajectories(tape: DataFrame, winners: DataFrame, bucket_hours: int = 6, min
     bounded by the market's life over the bucket width.
     """
     width = bucket_hours * HOUR_MS
-    rows = tape.join(F.broadcast(winners), "market_id").withColumn("b", F.floor(F.col("timestamp_ms") / width))
+    rows = tape.join(winners, "market_id").withColumn("b", F.floor(F.col("timestamp_ms") / width))
     grid = rows.groupBy("market_id").agg(F.min("b").alias("b0"), F.max("b").alias("b1")).where("b1 > b0")
     able = rows.groupBy("market_id", "wallet").agg(F.sum("notional_usdc").alias("_n")).where(F.col("_n") >= min_notional)
     delta = (rows.where("outcome_index = winner").groupBy("market_id", "wallet", "b").agg(F.sum(signed_tokens()).alias("d"))
              .join(able, ["market_id", "wallet"], "left_semi"))
     sparse = delta.groupBy("market_id", "wallet").agg(F.map_from_entries(F.collect_list(F.struct("b", "d"))).alias("_d"),
                                                       F.count_if(F.abs("d") > 1e-12).alias("d_active"))
-    dense = sparse.join(F.broadcast(grid), "market_id")
+    dense = sparse.join(grid, "market_id")
     steps = F.transform(F.sequence("b0", "b1"), lambda b: F.coalesce(F.try_element_at("_d", b), F.lit(0.0)))
     path = F.aggregate(steps, F.array().cast("array<double>"), lambda acc, d: F.concat(acc, F.array(
         F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0.0)) + d)))
     out = dense.withColumn("_x", path).withColumn("_m", F.array_max(F.transform("_x", lambda v: F.abs(v)))).where("_m >= 1e-12")
     scaled = out.select("market_id", "wallet", "d_active", "b0", F.transform("_x", lambda v: v / F.col("_m")).alias("x"))
     enough = scaled.groupBy("market_id").agg(F.count(F.lit(1)).alias("_n")).where("_n >= 2")
-    return scaled.join(F.broadcast(enough), "market_id", "left_semi")
+    return scaled.join(enough, "market_id", "left_semi")
 
 
 def pca_error(paths: DataFrame, n_components: int = 3) -> DataFrame:
@@ -207,8 +207,8 @@ def trajectory_screen(tape: DataFrame, winners: DataFrame, close: DataFrame, buc
     pos = (F.col("_T") - 1) * 0.9
     lo, hi = F.get(F.col("_a"), F.floor(pos).cast("int")), F.get(F.col("_a"), F.ceil(pos).cast("int"))
     limits = per.withColumn("_a", arr).select("market_id", (lo + (hi - lo) * (pos - F.floor(pos))).alias("n_theta"))
-    df = (err.join(counts, ["market_id", "b_star"]).join(F.broadcast(eps), "market_id").join(F.broadcast(limits), "market_id")
-          .join(F.broadcast(anchor), "market_id").withColumn("pse", F.greatest(F.lit(0), F.least(t - 1, at))))
+    df = (err.join(counts, ["market_id", "b_star"]).join(eps, "market_id").join(limits, "market_id")
+          .join(anchor, "market_id").withColumn("pse", F.greatest(F.lit(0), F.least(t - 1, at))))
     inv = F.when(F.col("_t1") - F.col("_t0") < 48 * HOUR_MS, F.greatest(F.lit(1), F.ceil(t * 0.5))).otherwise(max(1, round(investigation_hours / bucket_hours)))
     df = df.withColumn("start", F.greatest(F.lit(0).cast("long"), F.col("pse") - inv + 1)).where("start >= 2")
     hit = ((F.col("s_star") >= F.col("eps")) & F.col("b_star").between(F.col("start"), F.col("pse"))
@@ -223,7 +223,7 @@ FEATURES = ["log_notional", "price", "is_buy", "wallet_prior_trades", "wallet_pr
 
 def anomaly_features(tape: DataFrame, close: DataFrame) -> DataFrame:
     """Nine features per trade, all known before the trade."""
-    df = state.prior_counts(tape).join(F.broadcast(close), "market_id", "left")
+    df = state.prior_counts(tape).join(close, "market_id", "left")
     return df.withColumns({
         "log_notional": F.log(F.col("notional_usdc") + 1.0), "is_buy": is_buy().cast("double"),
         "hours_to_close": F.coalesce((F.col("close_ms") - F.col("timestamp_ms")) / float(HOUR_MS), F.lit(0.0)),

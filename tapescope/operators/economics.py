@@ -242,7 +242,7 @@ def winsorize(buys: DataFrame, by: list[str] = [], tail: float = 0.05, value: st
     keys = [*by, "is_flagged"]
     q = exact_quantiles(buys, keys, {"x": F.col(value)}, (tail, 1.0 - tail)).groupBy(*keys).agg(
         F.min("quantile").alias("_lo"), F.max("quantile").alias("_hi"))
-    return buys.join(F.broadcast(q), keys).withColumn(
+    return buys.join(q, keys).withColumn(
         value, F.greatest(F.col("_lo"), F.least(F.col("_hi"), F.col(value)))).drop("_lo", "_hi")
 
 

@@ -90,7 +90,7 @@ def jump_boost_summary(jumps: DataFrame, scores: DataFrame) -> DataFrame:
 def largest_price_jump(tape: DataFrame, winners: DataFrame, positive_only: bool = False, chunk_ms: int = DAY_MS) -> DataFrame:
     """Biggest single-step rise of the winning outcome's price; earliest wins ties."""
     from tapescope.operators.state import ORDER
-    won = tape.join(F.broadcast(winners), "market_id").where(F.col("outcome_index") == F.col("winner"))
+    won = tape.join(winners, "market_id").where(F.col("outcome_index") == F.col("winner"))
     steps = running(won.select("market_id", *ORDER, "price"), ["market_id"], ORDER,
                     [Track("_prev", "last", F.col("price"))], chunk_ms)
     steps = steps.where("_prev is not null").withColumn("rise", F.col("price") - F.col("_prev"))

@@ -57,7 +57,7 @@ def wallet_positions(tape: DataFrame, by_outcome: bool = False) -> DataFrame:
 
 def wallet_pnl(tape: DataFrame, winners: DataFrame, min_notional: float = 500.0) -> DataFrame:
     """Profit of each eligible wallet of a resolved market if held to resolution."""
-    rows = tape.join(F.broadcast(winners), "market_id")
+    rows = tape.join(winners, "market_id")
     won = F.col("outcome_index") == F.col("winner")
     agg = rows.groupBy("market_id", "winner", "wallet").agg(
         F.sum(F.when(won, signed_tokens()).otherwise(0.0)).alias("payout"),
@@ -88,7 +88,7 @@ def label(pnl: DataFrame, metric: str = "return", z_threshold: float = 2.0, min_
         F.avg("label_value").alias("label_mean"), F.stddev_samp("label_value").alias("label_std"),
         F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_wallets).drop("_n")
     z = F.when(F.col("label_std") > 1e-12, (F.col("label_value") - F.col("label_mean")) / F.col("label_std")).otherwise(0.0)
-    return (rows.join(F.broadcast(stats), "market_id").withColumn("z_score", z)
+    return (rows.join(stats, "market_id").withColumn("z_score", z)
             .withColumn("is_insider", F.col("z_score") > z_threshold))
 
 
@@ -107,7 +107,7 @@ def resolution_return() -> Column:
 
 def buy_returns(tape: DataFrame, winners: DataFrame) -> DataFrame:
     """BUY trades of resolved markets with their resolution return and profit."""
-    buys = tape.where(is_buy()).join(F.broadcast(winners), "market_id")
+    buys = tape.where(is_buy()).join(winners, "market_id")
     won = F.col("outcome_index") == F.col("winner")
     payout = F.when(won, F.col("size_tokens")).otherwise(0.0)
     return buys.withColumns({

@@ -150,8 +150,7 @@ def with_baseline(state: DataFrame, source: DataFrame, cfg: dict, chunk_ms: int
     if hours == 24:
         return rolling_stats(state, source, DAY_MS, chunk_ms)
     qualifies = (F.col("notional_usdc") >= d["min_absolute_notional"]) & ~is_flipper(cfg)
-    epoch = F.broadcast(state.groupBy("market_id").agg(
-        F.min(F.when(qualifies, F.struct(*ORDER))).alias("_epoch")))
+    epoch = state.groupBy("market_id").agg(F.min(F.when(qualifies, F.struct(*ORDER))).alias("_epoch"))
     counted = F.struct(*ORDER) >= F.col("_epoch")
     since = source.join(epoch, "market_id").where(counted).drop("_epoch")
     x = F.col("notional_usdc")

@@ -15,6 +15,7 @@ WALLET_COLUMNS = 40
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")  # times without a zone are UTC
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -50,7 +51,7 @@ def markets(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, r = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
     t = tape(spark, sf_dir).groupBy("market_id").agg(
         F.sum("notional_usdc").alias("volume"), F.max("timestamp_ms").alias("close_ms"))
-    return (n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey)
+    return (n.join(r, n.n_regionkey == r.r_regionkey)
             .select(F.col("n_nationkey").alias("market_id"), F.col("n_name").alias("market_slug"),
                     F.col("r_name").alias("category"))
             .join(t, "market_id", "left"))
