@@ -328,7 +328,7 @@ COPY_SQL = """SELECT market_id, count(*) AS flagged_buys, sum(notional_usdc) AS
 @query("copytrade", f"""
 SELECT market_id, flagged_buys, winning_trades, flagged_buys-winning_trades AS losing_trades, {r('capital payout', 2)}, round(payout-capital,2) AS pnl,
  {r('mean_trade_return std_trade_return median_trade_return weighted_return', 5)}, round((payout-capital)/capital,5) AS roi, round(winning_trades/flagged_buys,5) AS win_rate,
- round(flagged_buys*100.0,2) AS fixed_capital, round(mean_trade_return,5) AS fixed_roi, round(mean_trade_return*flagged_buys*100,2) AS fixed_pnl,
+ CAST(flagged_buys*100 AS DOUBLE) AS fixed_capital, round(mean_trade_return,5) AS fixed_roi, round(mean_trade_return*flagged_buys*100,2) AS fixed_pnl,
  round(median_trade_return,5) AS fixed_median_return FROM ({COPY_SQL})""")
 def _(spark, sf):
     df = economics.copytrade(flagged_buys(spark, sf), 100.0)

@@ -160,7 +160,7 @@ def _(spark, sf):
 
 
 @query("cluster_coordination", """
-SELECT seq, round(least(0.2+CASE WHEN size>=5 THEN 0.2 ELSE 0 END+CASE WHEN density>=0.8 THEN 0.2 ELSE 0 END+CASE WHEN coalesce(has_common_ownership,false) THEN 0.3 ELSE 0 END,0.85),5) AS confidence
+SELECT seq, round(CAST(least(0.2+CASE WHEN size>=5 THEN 0.2 ELSE 0 END+CASE WHEN density>=0.8 THEN 0.2 ELSE 0 END+CASE WHEN coalesce(has_common_ownership,false) THEN 0.3 ELSE 0 END,0.85) AS DOUBLE),5) AS confidence
 FROM tape t JOIN member m ON m.market_id=t.market_id AND m.node=t.wallet JOIN cmeta c ON c.market_id=m.market_id AND c.community=m.community
 LEFT JOIN owned o ON o.market_id=m.market_id AND o.community=m.community""")
 def _(spark, sf):

@@ -23,8 +23,27 @@ def _needs(sql: str) -> list[str]:
     return [v for v in VIEWS if re.search(rf"\b{v}\b", sql)]
 
 
+def _plain_counts(sql: str) -> str:
+    """count_if(x) as a filtered count, whose result is a BIGINT like Spark's."""
+    out, i = [], 0
+    for m in re.finditer(r"count_if\(", sql):
+        if m.start() < i:
+            continue
+        depth, j = 1, m.end()
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[j], 0)
+            j += 1
+        out += [sql[i:m.start()], "count(*) FILTER (WHERE ", sql[m.end():j]]
+        i = j
+    return "".join(out) + sql[i:]
+
+
 def with_views(sql: str) -> str:
     """Put the views ``sql`` refers to (and theirs) in front as CTEs."""
+    return _plain_counts(_with_views(sql))
+
+
+def _with_views(sql: str) -> str:
     ordered: list[str] = []
 
     def visit(name: str) -> None:

@@ -164,7 +164,7 @@ def _(spark, sf):
     return first.unionByName(second).groupBy("wallet").agg(F.min("o").alias("o")).select("wallet")
 
 
-@query("config_cross_join", "SELECT c AS min_notional, count_if(notional_usdc>=c) AS kept, count(*) AS n FROM tape, (SELECT unnest([500.0,1000.0,5000.0]) AS c) k GROUP BY 1")
+@query("config_cross_join", "SELECT CAST(c AS DOUBLE) AS min_notional, count_if(notional_usdc>=c) AS kept, count(*) AS n FROM tape, (SELECT unnest([500.0,1000.0,5000.0]) AS c) k GROUP BY 1")
 def _(spark, sf):
     c = spark.createDataFrame([(500.0,), (1000.0,), (5000.0,)], "min_notional double")
     return tape(spark, sf).crossJoin(F.broadcast(c)).groupBy("min_notional").agg(
@@ -260,7 +260,7 @@ def _(spark, sf):
 LEGS = "(SELECT seq, market_id, usd_amount, \"timestamp\", maker AS wallet FROM fills UNION ALL SELECT seq, market_id, usd_amount, \"timestamp\", taker FROM fills)"
 
 
-@query("wallets_by_cutoff", f"SELECT c AS cutoff, count(*) AS total_wallets, count_if(m>=c) AS wallets FROM (SELECT wallet, max(usd_amount) AS m FROM {LEGS} GROUP BY 1), (SELECT unnest([1000.0,20000.0,30000.0]) AS c) k GROUP BY 1")
+@query("wallets_by_cutoff", f"SELECT CAST(c AS DOUBLE) AS cutoff, count(*) AS total_wallets, count_if(m>=c) AS wallets FROM (SELECT wallet, max(usd_amount) AS m FROM {LEGS} GROUP BY 1), (SELECT unnest([1000.0,20000.0,30000.0]) AS c) k GROUP BY 1")
 def _(spark, sf):
     c = spark.createDataFrame([(1000.0,), (20000.0,), (30000.0,)], "cutoff double")
     return reports.wallets_by_cutoff(reports.legs(tables.fills(spark, sf)), c)
