@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapescope.llm import decontam, packing, pii, quality, sharding
-from tapescope.llm.common import ready, table
+from tapescope.llm import decontam, packing, pii, quality, sharding, warc
+from tapescope.llm.common import ready, shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -109,3 +109,26 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     of_kind = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     counts = [of_kind(kind) for kind in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
+_B32 = " || ".join(f"substr('{warc.BASE32}', CAST((n[{i + 1}] >> {s}) & 31 AS INTEGER) + 1, 1)" for i in range(8) for s in (15, 10, 5, 0))
+OP9_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, strlen(html) AS size, sha1(html) AS hex, max(page_id) OVER (PARTITION BY html) AS newest FROM p),
+n AS (SELECT *, [CAST('0x' || substr(hex, 5 * i + 1, 5) AS BIGINT) FOR i IN range(8)] AS n FROM h)
+SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, {_B32} AS payload_digest,
+       CASE WHEN page_id < newest THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < newest THEN newest END AS refers_to
+FROM n
+"""
+
+
+@query("op9_warc", OP9_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    path = shared_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path, least_bytes=0)
+    back = warc.read(spark, path).where("kind = 'record'")
+    page = lambda uri: F.regexp_extract(uri, "<urn:page:(-?[0-9]+)>", 1).try_cast("long")
+    is_revisit = F.col("record_type") == "revisit"
+    return back.select(page("record_id").alias("page_id"), F.when(is_revisit, F.col("http_length")).otherwise(F.octet_length("payload")).cast("long").alias("payload_bytes"),
+                       F.substring("digest", 6, 32).alias("payload_digest"), "record_type", page("refers_to").alias("refers_to"))
