@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapescope.llm import decontam, packing, pii, quality, sharding, warc
+from tapescope.llm import chat, decontam, packing, pii, quality, sharding, warc
 from tapescope.llm.common import ready, shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,42 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     is_revisit = F.col("record_type") == "revisit"
     return back.select(page("record_id").alias("page_id"), F.when(is_revisit, F.col("http_length")).otherwise(F.octet_length("payload")).cast("long").alias("payload_bytes"),
                        F.substring("digest", 6, 32).alias("payload_digest"), "record_type", page("refers_to").alias("refers_to"))
+
+
+_OP7_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+n AS (SELECT *, len(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9\x09-\x0D\x20]')) + {marks} AS n,
+             length(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '[', '&#91;'))
+             + length(replace(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '[', '&#91;'), chr(10), '&#10;')) + {frame} AS chars FROM c),
+o AS (SELECT *, row_number() OVER w AS pos, sum(n) OVER (w ROWS UNBOUNDED PRECEDING) AS ends FROM n WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+l AS (SELECT *, pos = 1 AND role = 'system' AND n <= {system} AS lead, ends - n AS starts, n > {half} AS long FROM o),
+f AS (SELECT *, NOT lead AND (pos = 1 OR lag(lead) OVER w OR long OR lag(long) OVER w OR starts // {half} != lag(starts) OVER w // {half}) AS fresh
+      FROM l WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+s AS (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS span FROM f),
+e AS (SELECT *, max(span) OVER (PARTITION BY conv_id) AS spans, max(ends) OVER (PARTITION BY conv_id, span) AS span_ends FROM s)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(chars * CASE WHEN lead THEN greatest(1, spans) WHEN span < spans AND span_ends - starts <= {history} THEN 2 ELSE 1 END) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+OP7_SQL = _OP7_SQL.format(marks=chat.MARKS, system=chat.SYSTEM, history=chat.HISTORY, half=(chat.BUDGET - chat.HISTORY - chat.SYSTEM) // 2,
+                          frame=len(chat.BEGIN) + 1 + len(chat.END))
+
+
+@query("op7_chat_windows", OP7_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    given = table(spark, sf_dir, "conversations").select(*[F.col(c).cast(t).alias(c) for c, t in (("conv_id", "long"), ("turn", "long"), ("role", "string"), ("text", "string"))])
+    back = chat.parsed(chat.windows(given.unionByName(extra)))
+    whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    by_conv = back.select("conv_id", "chars", F.size("turns").alias("n"), F.struct("window", whole.alias("t")).alias("_t"),
+                          F.struct("window", F.array_join("targets", "").alias("t")).alias("_l")).groupBy("conv_id").agg(
+        F.sum("n").cast("long").alias("n_turns"), F.sort_array(F.collect_list("_t")).alias("_t"), F.sort_array(F.collect_list("_l")).alias("_l"),
+        F.sum("chars").cast("long").alias("formatted_chars"))
+    joined = lambda c: F.array_join(F.transform(c, lambda w: w["t"]), "")
+    return by_conv.select("conv_id", "n_turns", F.sha2(joined("_t"), 256).alias("turns_sha256"), F.length(joined("_l")).cast("long").alias("loss_chars"),
+                          F.sha2(joined("_l"), 256).alias("loss_sha256"), "formatted_chars")
