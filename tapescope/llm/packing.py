@@ -260,7 +260,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN, bucket
     slots_df = spark.createDataFrame(slots, "_class int, _from long, _to long, _each long, _first long, _slot0 long")
 
     # rank inside the class: buckets of bounded size, each ranked alone
-    n_buckets = max(1, -(-int(demand.max(initial=0)) // bucket_rows))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    most = max(64, min(bucket_rows, int(demand.sum()) // (2 * partitions)))
+    n_buckets = max(1, -(-int(demand.max(initial=0)) // most))
     dealt = pieces.withColumn("_key", F.xxhash64("_row")).withColumn("_bucket", F.pmod("_key", F.lit(n_buckets)).cast("int"))
     counts = dealt.groupBy("_class", "_bucket").count()
     before = Window.partitionBy("_class").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

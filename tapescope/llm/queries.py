@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapescope.llm import chat, decontam, packing, pii, quality, sharding, warc
+from tapescope.llm import chat, decontam, neardup, packing, pii, quality, sharding, warc
 from tapescope.llm.common import ready, shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -171,3 +171,25 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = lambda c: F.array_join(F.transform(c, lambda w: w["t"]), "")
     return by_conv.select("conv_id", "n_turns", F.sha2(joined("_t"), 256).alias("turns_sha256"), F.length(joined("_l")).cast("long").alias("loss_chars"),
                           F.sha2(joined("_l"), 256).alias("loss_sha256"), "formatted_chars")
+
+
+OP3_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, g FROM (
+        SELECT doc_id, w[i] || ' ' || w[i + 1] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM w WHERE len(w) >= 2)
+        UNION ALL SELECT doc_id, w[1] FROM w WHERE len(w) = 1)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, ways.b FROM reach JOIN ways ON ways.a = reach.b)
+SELECT r.a AS doc_id, coalesce(n.n, 0) AS n_shingles, min(r.b) AS component_id, min(r.b) = r.a AS kept
+FROM reach r LEFT JOIN n ON n.doc_id = r.a GROUP BY r.a, n.n
+"""
+
+
+@query("op3_near_duplicates", OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return neardup.grouped(table(spark, sf_dir, "documents"), shingle=2, percent=80)
