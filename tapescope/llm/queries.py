@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapescope.llm import chat, decontam, neardup, packing, pii, quality, sharding, warc
+from tapescope.llm import chat, decontam, neardup, packing, pii, quality, sharding, toxicity, warc
 from tapescope.llm.common import ready, shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -193,3 +193,13 @@ FROM reach r LEFT JOIN n ON n.doc_id = r.a GROUP BY r.a, n.n
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready(spark)
     return neardup.grouped(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
+@query("op1_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.fit(docs, table(spark, sf_dir, "labels")).scored(docs)
+    doc_id = F.col("row.doc_id").cast("long")
+    return scored.select(doc_id.alias("doc_id"), F.coalesce(toxicity.fold(doc_id) == 0, F.lit(False)).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
