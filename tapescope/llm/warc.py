@@ -28,12 +28,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapescope.llm.common import written
+
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 EPOCH = "2024-01-01T00:00:00Z"
 END = "\r\n\r\n"
 #: Bytes an archive has on average, and bytes of one batch of read records.
 ARCHIVE_BYTES, OUT_BYTES = 16 << 20, 4 << 20
+#: Copied payloads (about 100 bytes each) that are broadcast at most.
+BROADCAST_ROWS = 200_000
 
 
 def base32_of_hex(digest: Column) -> Column:
@@ -50,9 +54,11 @@ def typed(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     own = own.withColumns({"size": F.octet_length("payload").cast("long"), "sha1": F.sha1(F.col("payload").cast("binary"))})
-    # one row for each payload; large groups of copies are reduced before the shuffle
-    first = own.where(F.col("size") >= least_bytes).groupBy("sha1", "size").agg(F.max("page_id").alias("newest"))
-    out = own.join(first, ["sha1", "size"], "left")
+    # one row for each payload that several pages have; large groups of copies are reduced before the shuffle
+    first = own.where(F.col("size") >= least_bytes).groupBy("sha1", "size").agg(F.max("page_id").alias("newest"), F.count(F.lit(1)).alias("n"))
+    first = written(first.where("n > 1").drop("n"), "copied-payloads")
+    # few enough of them go to every task, so that payloads stay where they are; else both sides are shuffled
+    out = own.join(F.broadcast(first) if first.count() <= BROADCAST_ROWS else first, ["sha1", "size"], "left")
     revisit = F.coalesce(F.col("page_id") < F.col("newest"), F.lit(False))
     return out.withColumns({"record_type": F.when(revisit, "revisit").otherwise("response"), "refers_to": F.when(revisit, F.col("newest")),
                             "payload_digest": base32_of_hex(F.col("sha1"))}).drop("newest", "sha1")
