@@ -18,9 +18,11 @@ that repeat an id count once; repeated documents each get their own row.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapescope.llm.common import map_batches
@@ -148,3 +150,19 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_byt
         last = k == len(blocks) - 1
         out = map_batches(out, _scanner(block, window, last), SCHEMA if last else SCHEMA + ", text string")
     return out
+
+
+def is_hit(text: Column, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> Column:
+    """Whether a text holds a window of an item; rows stay where they are."""
+    def flag(items: list[tuple[str | None, str | None]]) -> Column:
+        tables: list[list[Patterns]] = []
+
+        @F.pandas_udf("boolean")
+        def holds(texts: pd.Series) -> pd.Series:
+            if not tables:
+                tables.append(compile_patterns(items, window))
+            return pd.Series([any(next(p.search(words), None) is not None for p in tables[0]) for words in map(words_of, texts)], dtype=bool)
+
+        return holds(text.cast("string"))
+
+    return reduce(lambda a, b: a | b, [flag(block) for block in item_blocks(benchmark, block_bytes)])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapescope.llm import chat, decontam, neardup, packing, pii, quality, sharding, toxicity, warc
+from tapescope.llm import chat, decontam, neardup, packing, pii, quality, sharding, tokencount, toxicity, warc
 from tapescope.llm.common import ready, shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -203,3 +203,18 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc_id = F.col("row.doc_id").cast("long")
     return scored.select(doc_id.alias("doc_id"), F.coalesce(toxicity.fold(doc_id) == 0, F.lit(False)).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+#: What the edits of op5 insert: letters, contractions, white space, digits, other scripts, nothing.
+_INSERTS = (" and", "x", "'ll", "  ", "\n", "1", "é", "", " the quick brown", "!?")
+
+
+@query("op5_edit_counts")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after four edits whose places its id and length fix."""
+    ready(spark)
+    trees = tokencount.build(table(spark, sf_dir, "documents"))
+    h = lambda i, k: F.xxhash64("doc_id", F.lit(i), F.lit(k))
+    edits = F.array(*[F.struct(F.pmod(h(i, 0), F.length(F.coalesce("text", F.lit(""))) + 1).cast("int").alias("at"), F.pmod(h(i, 1), F.lit(12)).cast("int").alias("delete"),
+                               F.get(F.array(*map(F.lit, _INSERTS)), F.pmod(h(i, 2), F.lit(len(_INSERTS))).cast("int")).alias("insert")) for i in range(4)])
+    out = tokencount.edited(trees.withColumn("edits", edits))
+    return out.select("doc_id", "n_pretokens", "n_tokens", "n_tokens_after", "n_reencoded", F.length("text").cast("long").alias("chars_after"))
