@@ -38,7 +38,8 @@ OUT_BYTES = 4 << 20
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
 
 #: White space for the tokenizer or for Python, but not for both in the same way.
-_ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+_ODD_SPACE = re.compile("[" + "".join(map(chr, (0x0B, 0x0C, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F,
+                                               0x205F, 0x3000))) + "]")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -88,7 +89,7 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def text(self, text: str) -> bytes:
-        words = re.split("[ \t\n\r]+", text) if _ODD_SPACE.search(text) else text.split()
+        words = [w for w in re.split("[ \t\n\r]+", text) if w] if _ODD_SPACE.search(text) else text.split()
         get = self.new.get
         parts = [get(w) for w in words]
         if None in parts:

@@ -87,7 +87,7 @@ def _homoglyphs() -> dict[int, str]:
 
 HOMOGLYPHS = _homoglyphs()
 _ALIKE = re.compile("[" + "".join(map(re.escape, map(chr, sorted(HOMOGLYPHS)))) + "]")
-_HIDDEN = "​‌‍⁠﻿­"
+_HIDDEN = "".join(map(chr, (0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0xAD)))
 _NUMERALS = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0"}
 _NAMES = "|".join(_NUMERALS)
 _OPEN, _SHUT, _GAP = r"[\[({<]", r"[\])}>]", r"[\x20\t]{1,3}"
