@@ -12,9 +12,9 @@ Documents with equal sets are one node.  Nodes that share a key are compared in
 rounds: with the first node of the key, then, where a key still holds nodes of
 several groups, with more and more of its other nodes until none is left, so no
 link is lost to a cap and a large group of copies costs one comparison a member.
-A comparison first estimates the similarity from the registers, corrected for
-chance collisions and with a margin of seven standard deviations; what passes is
-checked on the full sets.  Groups are connected components, found by large-star
+A comparison first estimates the similarity from one bit of each register, then from
+the registers, corrected for chance collisions, each with a margin of seven
+standard deviations; what passes is checked on the full sets.  Groups are connected components, found by large-star
 and small-star rounds over written tables.
 
 Defined cases: a document without words has no shingles and is alone; one with
@@ -27,12 +27,12 @@ other columns are not looked at.
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapescope.llm.common import map_batches, written
@@ -42,6 +42,8 @@ BUCKETS = 1 << BUCKET_BITS
 BANDS = BUCKETS // ROWS_PER_BAND
 #: Chance that two different minima fall on the same register: equal zeros (about 1/3) and equal mantissa.
 COLLISION = 1 / (3 << MANTISSA_BITS)
+#: Nodes of a key that are compared with the others in its first round, and by how much their number grows.
+FIRST_LEADERS, LEADER_GROWTH = 8, 16
 _U = np.uint64
 
 
@@ -116,30 +118,50 @@ def estimated(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a == b).mean(axis=1) - COLLISION) / (1 - COLLISION)
 
 
-def margin(n: np.ndarray, threshold: float) -> np.ndarray:
-    """Seven standard deviations of an estimate for sets of at least ``n`` shingles."""
-    filled = BUCKETS * -np.expm1(n * np.log1p(-1 / BUCKETS))
-    return 7 * np.sqrt(threshold * (1 - threshold) / np.maximum(filled, 1))
+def margin(n: np.ndarray, threshold: float, deviations: float = 7, flips: float = 0) -> np.ndarray:
+    """Deviations of an estimate at ``threshold`` for sets of at least ``n`` shingles.
+
+    Filled buckets sample the union without replacement, borrowed registers
+    weigh them at random, ``flips`` is the variance of one-bit comparisons.
+    Small sets, for which this is no guide, get 1.
+    """
+    spread = threshold * (1 - threshold)
+    filled = np.maximum(BUCKETS * -np.expm1(n * np.log1p(-1 / BUCKETS)), 1)
+    variance = spread * np.maximum(1 - filled * threshold / np.maximum(n, 1), 0) / filled + spread * (BUCKETS - filled) / BUCKETS**2 + flips
+    return np.where(n < 64, 1.0, deviations * np.sqrt(variance))
+
+
+def bits(regs: np.ndarray) -> np.ndarray:
+    """One bit of every register, as eight 64-bit numbers."""
+    mixed = (regs.astype(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(31)
+    return np.packbits(mixed.astype(np.uint8)).view(np.int64)
+
+
+def most_flips(n: int, threshold: float) -> int:
+    """Differing bits that a pair at ``threshold`` stays under: half of the differing registers flip."""
+    return int(BUCKETS / 2 * (1 - threshold + margin(np.array(n), threshold, 7, (1 - threshold) / BUCKETS)))
 
 
 # ---- Spark
 
-def _sketches(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n, h1, h2 (identity of the set), regs."""
+def _sketches(docs: DataFrame, size: int, threshold: float) -> DataFrame:
+    """doc_id, n, h1, h2 (identity of the set), regs, flips (its bits and how many may differ)."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts, h1, h2, regs = [], [], [], []
+        counts, h1, h2, regs, flips = [], [], [], [], []
         for text in batch.column(1):
             s = shingle_set(text.as_py(), size)
             counts.append(len(s))
             identity = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
             h1.append(int(identity[0]))
             h2.append(int(identity[1]))
-            regs.append(registers(s).tobytes() if len(s) else None)
+            own = registers(s) if len(s) else None
+            regs.append(own.tobytes() if len(s) else None)
+            flips.append([*bits(own).tolist(), most_flips(len(s), threshold)] if len(s) else None)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()),
-                                           pa.array(regs, pa.binary())], names=["doc_id", "n", "h1", "h2", "regs"])
+                                           pa.array(regs, pa.binary()), pa.array(flips, pa.list_(pa.int64()))], names=["doc_id", "n", "h1", "h2", "regs", "flips"])
 
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run,
-                       "doc_id long, n long, h1 long, h2 long, regs binary")
+                       "doc_id long, n long, h1 long, h2 long, regs binary, flips array<long>")
 
 
 def _band_rows(nodes: DataFrame) -> DataFrame:
@@ -215,50 +237,59 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         sums = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if sums == seen or not sums[0]:
-            return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))\
-                .union(pairs.select("v", "v").distinct())
+            return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).union(pairs.select("v", "v").distinct())
         seen = sums
         # large star: every larger neighbour is linked to the smallest one
         sym = pairs.union(pairs.select("v", "u"))
         least = sym.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = written(sym.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc")
+        large = written(sym.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")), "cc")
         # small star: smaller neighbours and the node itself are linked to the smallest one
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         pairs = written(small.union(least).distinct(), "cc")
 
 
+def merged(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """``labels`` (node, root) after new edges: only components they touch are linked anew."""
+    if labels is None:
+        return written(components(edges), "labels")
+    between = _labelled(_labelled(edges, labels, "a"), labels, "b").select(F.col("l_a").alias("a"), F.col("l_b").alias("b"))
+    new = written(components(between), "joined")
+    old = labels.join(new.toDF("root", "_to"), "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
+    return written(old.union(new.join(labels, "node", "left_anti").select("node", "root")), "labels")
+
+
 def _labelled(rows: DataFrame, labels: DataFrame, column: str) -> DataFrame:
     """``rows`` with ``l_column``, the component of the node in ``column``."""
     own = labels.toDF(column, f"l_{column}")
     return rows.join(own, column, "left").withColumn(f"l_{column}", F.coalesce(f"l_{column}", column))
 
 
+def _differing(a: str, b: str) -> Column:
+    """Number of bits in which two sketches differ."""
+    return reduce(lambda x, y: x + y, [F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(8)])
+
+
 def grouped(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
 
     Two documents are linked when 100 * intersection >= percent * union of their
     sets of ``shingle``-word shingles.
     """
-    sketches = written(_sketches(docs, shingle), "sketches")
+    sketches = written(_sketches(docs, shingle, percent / 100), "sketches")
     nodes = written(sketches.where("n > 0").groupBy("h1", "h2").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("regs").alias("regs")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("flips").alias("flips")).withColumn("node", F.monotonically_increasing_id()), "nodes")
     checker = _Checker(docs, nodes, shingle, percent)
 
     # nodes of keys that several nodes share; n takes part so that hopeless sizes go early
     bands = _band_rows(nodes)
     shared = bands.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "leader")
     members = written(bands.join(shared, "key"), "members")
-    pairs = written(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    edges = written(checker.linked(first), "edges")
-    labels = written(components(edges), "labels")
-    rest = _labelled(_labelled(pairs.join(first, ["a", "b"], "left_anti"), labels, "a"), labels, "b").where("l_a <> l_b").select("a", "b")
-    edges = written(edges.union(checker.linked(rest)), "edges")
-    labels = written(components(edges), "labels")
-
-    # keys whose other nodes still belong to several groups: more and more of them are compared with the rest
-    left, n_leaders = members.where("node <> leader").select("key", "node", "n"), 4
+    tested = written(members.where("node <> leader").groupBy("node").agg(F.min("leader").alias("a")).select("a", F.col("node").alias("b")), "tested")
+    labels = merged(None, written(checker.linked(tested), "edges"))
+
+    # keys whose nodes still belong to several groups: more and more of them are compared with the others
+    left, n_leaders = members.select("key", "node", "n"), FIRST_LEADERS
     while True:
         left = _labelled(left, labels, "node")
         mixed = left.groupBy("key").agg(F.min("l_node").alias("x"), F.max("l_node").alias("y")).where("x <> y").select("key")
@@ -266,16 +297,20 @@ def grouped(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
         if left.isEmpty():
             break
         # the next leaders of each key; the limit is applied before and after the shuffle
+        signed = left.join(nodes.select("node", "flips"), "node")
         place = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-        leaders = written(left.withColumn("_place", place).where(F.col("_place") <= n_leaders).select(
-            "key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("l_node").alias("l_a")), "leaders")
-        again = left.join(leaders, "key").where((F.col("a") < F.col("node")) & (F.col("l_a") != F.col("l_node")) & (
-            100 * F.least("n", "na") >= percent * F.greatest("n", "na"))).select("a", F.col("node").alias("b")).distinct()
-        again = again.join(pairs, ["a", "b"], "left_anti")
-        edges = written(edges.union(checker.linked(again)), "edges")
-        labels = written(components(edges), "labels")
+        leaders = written(signed.withColumn("_place", place).where(F.col("_place") <= n_leaders).select(
+            "key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("l_node").alias("l_a"), F.col("flips").alias("fa")), "leaders")
+        again = signed.join(leaders, "key").where((F.col("a") < F.col("node")) & (F.col("l_a") != F.col("l_node")) & (
+            100 * F.least("n", "na") >= percent * F.greatest("n", "na")) & (_differing("flips", "fa") <= F.greatest(F.get("flips", F.lit(8)), F.get("fa", F.lit(8)))))
+        again = again.select("a", F.col("node").alias("b")).distinct()
+        again = written(again.join(tested, ["a", "b"], "left_anti"), "again")
+        edges = written(checker.linked(again), "edges")
+        if not edges.isEmpty():
+            labels = merged(labels, edges)
+        tested = tested.union(again)
         left = left.join(leaders.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti").select("key", "node", "n")
-        n_leaders *= 4
+        n_leaders *= LEADER_GROWTH
 
     joined = _labelled(nodes.select("node", "h1", "h2", "doc_id"), labels, "node")
     least = joined.groupBy("l_node").agg(F.min("doc_id").alias("component_id"))
