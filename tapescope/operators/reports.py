@@ -93,11 +93,8 @@ def transfer_edges(transfers: DataFrame) -> DataFrame:
 
 
 def transfer_hashes(transfers: DataFrame) -> DataFrame:
-    """Hashes of each (from, to) as JSON, split in lists of at most 1,000."""
-    part = F.pmod(F.xxhash64("tx_hash"), F.greatest(F.lit(1).cast("long"), F.ceil(F.col("_n") / 1000)))
-    n = transfers.groupBy("from_address", "to_address").agg(F.count(F.lit(1)).alias("_n"))
-    rows = transfers.join(n, ["from_address", "to_address"]).withColumn("part", part)
-    return rows.groupBy("from_address", "to_address", "part").agg(F.to_json(F.sort_array(F.collect_list("tx_hash"))).alias("tx_hashes"))
+    """The hashes of every (from, to), one row each."""
+    return transfers.select("from_address", "to_address", "tx_hash").distinct()
 
 
 def wallet_transfers(transfers: DataFrame, k: int = 10) -> DataFrame:

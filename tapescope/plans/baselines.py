@@ -120,7 +120,7 @@ def _(spark, sf):
 
 @query("isolation_forest")
 def _(spark, sf):
-    df = baselines.isolation_forest(baselines.anomaly_features(tape(spark, sf), close(spark, sf)), 50)
+    df = baselines.isolation_forest(baselines.anomaly_features(tape(spark, sf), close(spark, sf)), 100)
     return df.select("seq", *rnd("anomaly"), (F.col("anomaly") < 0).alias("is_flagged"))
 
 

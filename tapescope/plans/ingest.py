@@ -49,29 +49,35 @@ def _(spark, sf):
 
 
 def raw_trades(spark, sf):
+    """Every trade as an API record, some with numbers as text, and broken records next to them."""
     t = tape(spark, sf)
-    rec = F.to_json(F.struct(F.col("wallet").alias("proxyWallet"), F.col("market_id").cast("string").alias("conditionId"), "side",
-                             F.col("outcome_index").alias("outcomeIndex"), F.col("size_tokens").alias("size"), "price",
-                             F.floor(F.col("timestamp_ms") / 1000).alias("timestamp"), F.col("tx_hash").alias("transactionHash"),
-                             (F.col("market_id") * 2 + F.col("outcome_index")).cast("string").alias("asset")))
+    stamp = F.floor(F.col("timestamp_ms") / 1000)
+    common = [F.col("wallet").alias("proxyWallet"), F.col("market_id").cast("string").alias("conditionId"), "side"]
+    rest = [F.col("tx_hash").alias("transactionHash"), (F.col("market_id") * 2 + F.col("outcome_index")).cast("string").alias("asset")]
+    numbers = {"outcomeIndex": F.col("outcome_index"), "size": F.col("size_tokens"), "price": F.col("price"), "timestamp": stamp}
+    plain = F.to_json(F.struct(*common, *[c.alias(n) for n, c in numbers.items()], *rest))
+    text = F.to_json(F.struct(*common, *[c.cast("string").alias(n) for n, c in numbers.items()], *rest))
     kind = F.pmod("seq", F.lit(97))
-    return t.select(F.when(kind == 0, F.lit("{broken")).when(kind == 1, F.lit('{"proxyWallet":"0x1","price":"x"}')).otherwise(rec).alias("value"))
+    trades = t.select(F.when(kind == 2, text).otherwise(plain).alias("value"))
+    broken = t.where(kind < 2).select(F.when(kind == 0, F.lit("{broken")).otherwise(F.lit('{"proxyWallet":"0x1","price":"x"}')).alias("value"))
+    return trades.unionByName(broken)
 
 
-@query("parse_trade_json", "SELECT tx_hash, wallet, CAST(market_id AS VARCHAR) AS condition_id, side, outcome_index, round(price,6) AS price, round(notional_usdc,3) AS notional_usdc, timestamp_ms//1000*1000 AS timestamp_ms, CAST(market_id*2+outcome_index AS VARCHAR) AS asset FROM tape WHERE seq % 97 > 1")
+@query("parse_trade_json", "SELECT tx_hash, wallet, CAST(market_id AS VARCHAR) AS condition_id, side, outcome_index, round(price,6) AS price, round(notional_usdc,3) AS notional_usdc, timestamp_ms//1000*1000 AS timestamp_ms, CAST(market_id*2+outcome_index AS VARCHAR) AS asset FROM tape")
 def _(spark, sf):
     return readers.parse_trade_json(raw_trades(spark, sf)).select(
         "tx_hash", "wallet", "condition_id", "side", "outcome_index", *rnd("price"), *rnd("notional_usdc", digits=3), "timestamp_ms", "asset")
 
 
 @query("parse_market_json", """SELECT p_partkey AS market_id, 't'||(2*p_partkey)||'|t'||(2*p_partkey+1) AS tokens, 2 AS n_outcomes,
- CASE WHEN p_partkey % 2=0 THEN p_name WHEN p_partkey % 3=0 THEN p_brand||' '||p_name ELSE p_brand||': '||p_name END AS question FROM part""")
+ CASE WHEN p_partkey % 2=0 THEN p_name WHEN p_partkey % 3=0 THEN p_brand||' '||p_name ELSE p_brand||': '||p_name END AS question FROM part WHERE p_partkey % 23<>0""")
 def _(spark, sf):
     p = tables.read(spark, sf, "part")
     a, b = F.concat(F.lit("t"), (F.col("p_partkey") * 2).cast("string")), F.concat(F.lit("t"), (F.col("p_partkey") * 2 + 1).cast("string"))
     titled = (F.col("p_partkey") % 2 != 0) & (F.col("p_partkey") % 3 == 0)
     raw = p.select(F.col("p_partkey").alias("market_id"),
-                   F.when(F.col("p_partkey") % 2 == 0, F.to_json(F.array(a, b))).otherwise(F.concat(a, F.lit(", "), b)).alias("token_ids"),
+                   F.when(F.col("p_partkey") % 23 == 0, F.when(F.col("p_partkey") % 2 == 0, "[]").otherwise("")).when(
+                       F.col("p_partkey") % 2 == 0, F.to_json(F.array(a, b))).otherwise(F.concat(a, F.lit(", "), b)).alias("token_ids"),
                    F.lit('["Yes","No"]').alias("outcomes"), F.when(F.col("p_partkey") % 2 != 0, F.col("p_brand")).alias("event_title"),
                    F.when(titled, F.concat_ws(" ", "p_brand", "p_name")).otherwise(F.col("p_name")).alias("question"))
     df = readers.parse_market_json(raw)
@@ -110,36 +116,41 @@ def _(spark, sf):
     return readers.read_resolution_overrides(tables.read(spark, sf, "part").select(text.alias("value")))
 
 
-CLS_SQL = """SELECT doc_id AS market_id, CASE WHEN source_cat IN ('POLITICS','CRYPTO','SPORTS','FINANCE','TECH','ENTERTAINMENT','GEOPOLITICS','SCIENCE','OTHER') THEN source_cat ELSE 'OTHER' END AS category,
- least(1,greatest(0,conf)) AS confidence FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'POLITICS' WHEN 1 THEN 'SPORTS' WHEN 2 THEN 'UNKNOWN' ELSE 'CRYPTO' END AS source_cat,
- CASE WHEN doc_id % 7=0 THEN -1.0 ELSE n_chars/1000.0 END AS conf FROM documents)"""
+# categories as the classifier states them; unknown and missing ones make a failed entry
+CLS_SQL = """SELECT doc_id AS market_id, CASE WHEN ok THEN cat END AS category, CASE WHEN ok THEN least(1,greatest(0,conf)) ELSE 0 END AS confidence,
+ CASE WHEN ok THEN 'success' ELSE 'failed' END AS status, ok AND cat IN ('ELECTION','EARNINGS','POLICY','GEOPOLITICAL','APPOINTMENT','LEGAL','PRODUCT_LAUNCH','OTHER_ANNOUNCEMENT') AS insider_plausible
+ FROM (SELECT doc_id, cat, conf, coalesce(cat IN ('ELECTION','EARNINGS','POLICY','GEOPOLITICAL','APPOINTMENT','LEGAL','PRODUCT_LAUNCH','OTHER_ANNOUNCEMENT',
+  'CRYPTO_PRICE','SPORTS','WEATHER','ENTERTAINMENT','SCIENCE','GRADUAL','OTHER'), false) AND doc_id % 13<>0 AS ok
+ FROM (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'ELECTION' WHEN 1 THEN 'SPORTS' WHEN 2 THEN 'UNKNOWN' WHEN 3 THEN 'CRYPTO_PRICE' WHEN 4 THEN 'OTHER_ANNOUNCEMENT' END AS cat,
+ CASE WHEN doc_id % 7=0 THEN -1.0 ELSE n_chars/1000.0 END AS conf FROM documents))"""
 
 
 def classifications(spark, sf):
     d = tables.read(spark, sf, "documents")
-    k = F.col("doc_id") % 4
-    raw = d.select(F.col("doc_id").alias("market_id"),
-                   F.when(k == 0, " politics").when(k == 1, "Sports ").when(k == 2, "unknown").otherwise("crypto").alias("category"),
-                   F.when(F.col("doc_id") % 7 == 0, -1.0).otherwise(F.col("n_chars") / 1000.0).alias("confidence"))
+    k = F.col("doc_id") % 6
+    raw = d.select(F.col("doc_id").alias("market_id"), F.when(k == 0, " election").when(k == 1, "Sports ").when(k == 2, "unknown").when(
+        k == 3, "crypto_price").when(k == 4, "other_announcement").alias("category"), F.when(F.col("doc_id") % 13 == 0, "failed").alias("status"),
+        F.when(F.col("doc_id") % 7 == 0, -1.0).otherwise(F.col("n_chars") / 1000.0).alias("confidence"))
     return readers.normalize_classifications(raw)
 
 
-@query("read_classifications", f"SELECT market_id, category, round(confidence,4) AS confidence, category IN ('POLITICS','CRYPTO','FINANCE','TECH','GEOPOLITICS') AND confidence>=0.5 AS insider_plausible FROM ({CLS_SQL})")
+@query("read_classifications", f"SELECT market_id, category, round(confidence,4) AS confidence, status, insider_plausible FROM ({CLS_SQL})")
 def _(spark, sf):
-    return classifications(spark, sf).select("market_id", "category", *rnd("confidence", digits=4), "insider_plausible")
+    return classifications(spark, sf).select("market_id", "category", *rnd("confidence", digits=4), "status", "insider_plausible")
 
 
-@query("align_classifications", f"SELECT l.doc_id AS market_id, category, CASE WHEN category IS NULL THEN 'missing' ELSE 'success' END AS status FROM (SELECT DISTINCT doc_id FROM labels) l LEFT JOIN (SELECT * FROM ({CLS_SQL}) WHERE market_id % 5<>0) c ON c.market_id=l.doc_id")
+@query("align_classifications", f"SELECT l.doc_id AS market_id, category, coalesce(status, 'missing') AS status FROM (SELECT DISTINCT doc_id FROM labels) l LEFT JOIN (SELECT * FROM ({CLS_SQL}) WHERE market_id % 5<>0) c ON c.market_id=l.doc_id")
 def _(spark, sf):
     ids = tables.read(spark, sf, "labels").select(F.col("doc_id").alias("market_id")).distinct()
     res = classifications(spark, sf).where("market_id % 5 <> 0")
     return readers.align_classifications(ids, res.unionByName(res), ["category"]).select("market_id", "category", "status")
 
 
-@query("classification_summary", f"""SELECT category, count(*) AS n, count_if(category IN ('POLITICS','CRYPTO','FINANCE','TECH','GEOPOLITICS') AND confidence>=0.5) AS plausible FROM ({CLS_SQL}) GROUP BY 1
- UNION ALL SELECT 'ALL', count(*), count_if(category IN ('POLITICS','CRYPTO','FINANCE','TECH','GEOPOLITICS') AND confidence>=0.5) FROM ({CLS_SQL})""")
+@query("classification_summary", f"""SELECT CASE WHEN status='failed' THEN 'FAILED' ELSE category END AS category, count(*) AS n, count_if(insider_plausible) AS plausible FROM ({CLS_SQL}) GROUP BY 1
+ UNION ALL SELECT 'ALL', count(*), count_if(insider_plausible) FROM ({CLS_SQL})""")
 def _(spark, sf):
-    return classifications(spark, sf).rollup("category").agg(F.count(F.lit(1)).alias("n"), F.count_if("insider_plausible").alias("plausible")).withColumn(
+    named = classifications(spark, sf).withColumn("category", F.when(F.col("status") == "failed", "FAILED").otherwise(F.col("category")))
+    return named.rollup("category").agg(F.count(F.lit(1)).alias("n"), F.count_if("insider_plausible").alias("plausible")).withColumn(
         "category", F.coalesce("category", F.lit("ALL")))
 
 

@@ -241,7 +241,7 @@ def _(spark, sf):
     return rounded(reports.transfer_edges(tables.transfers(spark, sf)), 2)
 
 
-@query("transfer_hashes", "SELECT from_address, to_address, CAST(0 AS BIGINT) AS part, '[\"'||string_agg(tx_hash,'\",\"' ORDER BY tx_hash)||'\"]' AS tx_hashes FROM transfers GROUP BY 1,2")
+@query("transfer_hashes", "SELECT DISTINCT from_address, to_address, tx_hash FROM transfers")
 def _(spark, sf):
     return reports.transfer_hashes(tables.transfers(spark, sf))
 

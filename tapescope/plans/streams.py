@@ -20,7 +20,7 @@ def landed(spark, sf):
     return base
 
 
-@query("trade_stream", "SELECT wallet, count(*)*2 AS n FROM tape WHERE seq % 97 > 1 GROUP BY 1")
+@query("trade_stream", "SELECT wallet, count(*)*2 AS n FROM tape GROUP BY 1")
 def _(spark, sf):
     base = landed(spark, sf)
     q = feeds.trade_stream(spark, f"{base}/in").select("wallet", "tx_hash").writeStream.format("parquet").option("path", f"{base}/out").option(
@@ -29,7 +29,7 @@ def _(spark, sf):
     return spark.read.parquet(f"{base}/out").groupBy("wallet").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("stream_dedup", "SELECT wallet, count(*) AS n FROM tape WHERE seq % 97 > 1 GROUP BY 1")
+@query("stream_dedup", "SELECT wallet, count(*) AS n FROM tape GROUP BY 1")
 def _(spark, sf):
     base = landed(spark, sf)
     df = feeds.dedup(feeds.trade_stream(spark, f"{base}/in"), "60 days").select("wallet", "tx_hash")
@@ -51,12 +51,12 @@ def _(spark, sf):
     return s.select("market_id", "seq", F.round("total_score", 6).alias("total_score"), "is_alert")
 
 
-@query("stream_upserts", "SELECT wallet, market_id, count(*) AS trade_count, round(sum(CASE WHEN side='BUY' THEN notional_usdc ELSE 0 END),2) AS buy_notional FROM tape WHERE seq % 97 > 1 GROUP BY 1,2")
+@query("stream_upserts", "SELECT wallet, market_id, count(*) AS trade_count, round(sum(CASE WHEN side='BUY' THEN notional_usdc ELSE 0 END),2) AS buy_notional FROM tape GROUP BY 1,2")
 def _(spark, sf):
     return rounded(feeds.wallet_stats(processed(spark, sf)).select("wallet", "market_id", "trade_count", "buy_notional"), 2)
 
 
-@query("stream_new_wallet", "SELECT seq, wallet FROM (SELECT seq, wallet, notional_usdc, timestamp_ms//1000*1000 AS t, min(timestamp_ms//1000*1000) OVER (PARTITION BY wallet) AS f FROM tape WHERE seq % 97 > 1) WHERE round(notional_usdc,6)>=1000 AND t-f<3600000")
+@query("stream_new_wallet", "SELECT seq, wallet FROM (SELECT seq, wallet, notional_usdc, timestamp_ms//1000*1000 AS t, min(timestamp_ms//1000*1000) OVER (PARTITION BY wallet) AS f FROM tape) WHERE round(notional_usdc,6)>=1000 AND t-f<3600000")
 def _(spark, sf):
     return processed(spark, sf).get("new_wallets").select("seq", "wallet")
 

@@ -70,7 +70,7 @@ def _(spark, sf):
 def _(spark, sf):
     """The full system next to the baselines on the same tape and labels."""
     t, win, s = tape(spark, sf), winners(spark, sf), frozen(spark, sf)
-    features = baselines.isolation_forest(baselines.anomaly_features(t, close(spark, sf)), 20)
+    features = baselines.isolation_forest(baselines.anomaly_features(t, close(spark, sf)), 100)
     pairs = baselines.select_top_percent(baselines.size_profit_screen(t, win), 5.0).select("market_id", "wallet")
     buys = t.where("side = 'BUY'")
     flagged = {

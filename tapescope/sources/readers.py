@@ -9,8 +9,8 @@ MARKET_SCHEMA = ("id long, condition_id string, market_slug string, token1 strin
                  "answer2 string, volume double, closedTime string")
 FILL_SCHEMA = ("timestamp string, market_id long, maker string, taker string, nonusdc_side string, maker_direction string, "
                "taker_direction string, price double, usd_amount double, token_amount double, transactionHash string")
-TRADE_JSON = ("proxyWallet string, conditionId string, slug string, side string, outcome string, outcomeIndex int, size double, "
-              "price double, timestamp long, transactionHash string, asset string")
+TRADE_JSON = ("proxyWallet string, conditionId string, slug string, side string, outcome string, outcomeIndex string, size string, "
+              "price string, timestamp string, transactionHash string, asset string")
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -65,10 +65,11 @@ def fills_to_trades(fills: DataFrame, markets: DataFrame) -> DataFrame:
 
 
 def parse_trade_json(raw: DataFrame, column: str = "value") -> DataFrame:
-    """API trade records; rows that do not parse are dropped."""
-    t = raw.withColumn("_t", F.from_json(column, TRADE_JSON, {"mode": "PERMISSIVE"}))
-    ok = t.where("_t.proxyWallet is not null and _t.conditionId is not null and _t.size is not null and _t.price is not null and _t.timestamp is not null")
-    p = ok.select("_t.*")
+    """API trade records, numbers as numbers or as text; rows that do not parse are dropped."""
+    t = raw.select(F.from_json(column, TRADE_JSON, {"mode": "PERMISSIVE"}).alias("_t")).select("_t.*")
+    t = t.withColumns({**{c: F.col(c).try_cast("double") for c in ("size", "price")}, "timestamp": F.col("timestamp").try_cast("double").cast("long"),
+                       "outcomeIndex": F.col("outcomeIndex").try_cast("int")})
+    p = t.where("proxyWallet is not null and conditionId is not null and size is not null and price is not null and timestamp is not null")
     return p.select(
         F.col("proxyWallet").alias("wallet"), F.col("conditionId").alias("condition_id"), F.col("slug").alias("market_slug"), "side", "outcome",
         F.col("outcomeIndex").alias("outcome_index"), F.col("size").alias("size_tokens"), "price",
@@ -77,15 +78,16 @@ def parse_trade_json(raw: DataFrame, column: str = "value") -> DataFrame:
 
 
 def parse_market_json(df: DataFrame) -> DataFrame:
-    """token_ids (JSON array or comma list), outcomes (JSON), question with its event title."""
+    """token_ids (JSON array or comma list), outcomes (JSON), question with its event title; markets without tokens are dropped."""
     as_json = F.from_json("token_ids", "array<string>")
     as_list = F.filter(F.transform(F.split(F.regexp_replace("token_ids", r'[\[\]"]', ""), ","), lambda x: F.trim(x)), lambda x: x != "")
     title = F.coalesce(F.col("event_title"), F.lit(""))
     titled = (title == "") | F.contains(F.lower("question"), F.lower(title))
-    return df.withColumns({
+    parsed = df.withColumns({
         "token_ids": F.when(F.trim(F.col("token_ids")).startswith("["), as_json).otherwise(as_list),
         "outcomes": F.from_json("outcomes", "array<string>"),
         "question": F.when(titled, F.col("question")).otherwise(F.concat(title, F.lit(": "), F.col("question")))})
+    return parsed.where(F.size("token_ids") > 0)
 
 
 def normalize_transfers(raw: DataFrame, decimals: int = 6) -> DataFrame:
@@ -115,26 +117,30 @@ def read_resolution_overrides(raw: DataFrame, column: str = "value") -> DataFram
     return df.where("market_id is not null and winner is not null")
 
 
-# categories the classifier may return: fixed values
-CATEGORIES = ["POLITICS", "CRYPTO", "SPORTS", "FINANCE", "TECH", "ENTERTAINMENT", "GEOPOLITICS", "SCIENCE", "OTHER"]
+# The categories the classifier may return, and those whose outcome somebody can know before it is announced.
+PLAUSIBLE_CATEGORIES = ["ELECTION", "EARNINGS", "POLICY", "GEOPOLITICAL", "APPOINTMENT", "LEGAL", "PRODUCT_LAUNCH", "OTHER_ANNOUNCEMENT"]
+OTHER_CATEGORIES = ["CRYPTO_PRICE", "SPORTS", "WEATHER", "ENTERTAINMENT", "SCIENCE", "GRADUAL", "OTHER"]
+
 
+def normalize_classifications(df: DataFrame) -> DataFrame:
+    """Upper-case known category, confidence in [0, 1], plausibility by category, ``status``.
 
-def normalize_classifications(df: DataFrame, categories: list[str] = CATEGORIES, plausible: list[str] | None = None,
-                              min_confidence: float = 0.5) -> DataFrame:
-    """Upper-case known category (else OTHER), confidence in [0, 1], derived plausibility."""
+    An entry that says it failed, or has no known category, is a failed one:
+    no category, confidence 0, not plausible.
+    """
     cat = F.upper(F.trim("category"))
-    known = F.when(cat.isin(categories), cat).otherwise("OTHER")
+    told = F.col("status") if "status" in df.columns else F.lit(None).cast("string")
+    ok = F.coalesce(cat.isin(PLAUSIBLE_CATEGORIES + OTHER_CATEGORIES), F.lit(False)) & ~told.eqNullSafe("failed")
     conf = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.col("confidence"), F.lit(0.0))))
-    out = df.withColumns({"category": known, "confidence": conf})
-    names = plausible or ["POLITICS", "CRYPTO", "FINANCE", "TECH", "GEOPOLITICS"]
-    return out.withColumn("insider_plausible", F.col("category").isin(names) & (F.col("confidence") >= min_confidence))
+    return df.withColumns({
+        "category": F.when(ok, cat), "confidence": F.when(ok, conf).otherwise(0.0), "status": F.when(ok, "success").otherwise("failed"),
+        "insider_plausible": ok & F.coalesce(cat.isin(PLAUSIBLE_CATEGORIES), F.lit(False))})
 
 
 def align_classifications(expected: DataFrame, results: DataFrame, order: list[str]) -> DataFrame:
     """First result per expected id; ids without one are reported missing."""
     first = first_per_key(results, ["market_id"], order)
-    return expected.join(first, "market_id", "left").withColumn(
-        "status", F.when(F.col("category").isNull(), "missing").otherwise("success"))
+    return expected.join(first, "market_id", "left").withColumn("status", F.coalesce("status", F.lit("missing")))
 
 
 WALLET_PATTERN = "^0x[0-9a-f]{40}$"
