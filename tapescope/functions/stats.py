@@ -35,16 +35,35 @@ def d_standard_error(d: Column, n1: Column, n2: Column) -> Column:
     return F.coalesce(F.when((n1 > 1) & (n2 > 1) & (n1 + n2 > 2), F.sqrt(F.greatest(var, F.lit(0.0)))), F.lit(0.0))
 
 
-def _betainc(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Regularised incomplete beta function by its continued fraction."""
+def _log_beta(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """log B(a, b); for a large argument by the Stirling remainders, so that nothing large cancels."""
+    small, large = np.minimum(a, b), np.maximum(a, b)
+    lg = np.vectorize(math.lgamma, otypes=[float])
+
+    def remainder(x: np.ndarray) -> np.ndarray:  # log gamma minus Stirling's formula, for x >= 10
+        y = 1.0 / (x * x)
+        return (1 / 12 - y * (1 / 360 - y * (1 / 1260 - y * (1 / 1680 - y / 1188)))) / x
+
+    with np.errstate(invalid="ignore", divide="ignore"):
+        direct = lg(a) + lg(b) - lg(a + b)
+        # log gamma(large) - log gamma(small + large)
+        ratio = small - (large - 0.5) * np.log1p(small / large) - small * np.log(small + large) + remainder(large) - remainder(small + large)
+    return np.where(large < 10, direct, lg(small) + ratio)
+
+
+def _betainc(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Regularised incomplete beta function at x = 1 - y by its continued fraction, until no term changes it."""
     flip = x > (a + 1.0) / (a + b + 2.0)
-    a, b, x = np.where(flip, b, a), np.where(flip, a, b), np.where(flip, 1.0 - x, x)
+    a, b, x, y = np.where(flip, b, a), np.where(flip, a, b), np.where(flip, y, x), np.where(flip, x, y)
     tiny = 1e-300
     c = np.ones_like(x)
     d = 1.0 - (a + b) * x / (a + 1.0)
     d = 1.0 / np.where(np.abs(d) < tiny, tiny, d)
     h = d.copy()
-    for m in range(1, 300):
+    m = 0
+    while True:
+        m += 1
+        before = h
         for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
                     -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
             d = 1.0 + num * d
@@ -52,9 +71,10 @@ def _betainc(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
             c = 1.0 + num / c
             c = np.where(np.abs(c) < tiny, tiny, c)
             h = h * c * d
-    lg = np.vectorize(math.lgamma, otypes=[float])
+        if not (np.abs(h - before) > 4e-16 * np.abs(h)).any():
+            break
     with np.errstate(divide="ignore"):
-        front = np.exp(lg(a + b) - lg(a) - lg(b) + a * np.log(x) + b * np.log1p(-x)) / a
+        front = np.exp(a * np.log(x) + b * np.log(y) - _log_beta(a, b)) / a
     value = front * h
     return np.where(flip, 1.0 - value, value)
 
@@ -65,7 +85,8 @@ def student_two_sided(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     out = np.ones_like(t)
     ok = np.isfinite(t) & np.isfinite(df) & (df > 0) & (t != 0)
     if ok.any():
-        out[ok] = _betainc(df[ok] / 2.0, np.full(ok.sum(), 0.5), df[ok] / (df[ok] + t[ok] ** 2))
+        square = t[ok] ** 2
+        out[ok] = _betainc(df[ok] / 2.0, np.full(ok.sum(), 0.5), df[ok] / (df[ok] + square), square / (df[ok] + square))
     return out
 
 

@@ -6,6 +6,8 @@ default one graph per market), so many graphs share each job.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -141,20 +143,21 @@ def k_core(edges: DataFrame, k: int, keys: list[str] = ["market_id"]) -> DataFra
     return current.select(*keys, "src", "dst", "weight")
 
 
-def communities(edges: DataFrame, keys: list[str] = ["market_id"], max_rounds: int = 16, max_levels: int = 5) -> DataFrame:
+def communities(edges: DataFrame, keys: list[str] = ["market_id"]) -> DataFrame:
     """(keys, node, community): modularity communities by synchronous local moves.
 
     In a round each node of a random half looks at its neighbours' communities
     and joins the best one if that gains modularity; moving only half at a time
-    keeps pairs from swapping for ever.  When moves dry up, communities become
-    nodes and the next level starts.  Deterministic for given edges, never joins
-    what is not connected, and names a community by its smallest member.
+    keeps pairs from swapping for ever.  When no node gains by moving, communities
+    become nodes and the next level starts, until a level changes nothing.
+    Deterministic for given edges, never joins what is not connected, and names a
+    community by its smallest member.
     """
     arcs = cut(both_ways(edges, keys))  # at higher levels src = dst arcs hold inner weight, both directions counted
     member = cut(arcs.select(*keys, F.col("src").alias("node")).distinct().withColumn("community", F.col("node")))
-    for level in range(max_levels):
+    for level in count():
         start = arcs.select(*keys, F.col("src").alias("node")).distinct().withColumn("community", F.col("node"))
-        assign = _local_moves(arcs, start, keys, max_rounds, level)
+        assign = _local_moves(arcs, start, keys, level)
         moved = assign.where("node <> community").limit(1).count()
         if not moved:
             break
@@ -170,13 +173,20 @@ def communities(edges: DataFrame, keys: list[str] = ["market_id"], max_rounds: i
     return member.join(names, [*keys, "community"]).select(*keys, "node", F.col("_name").alias("community"))
 
 
-def _local_moves(arcs: DataFrame, assign: DataFrame, keys: list[str], max_rounds: int, level: int) -> DataFrame:
+def _local_moves(arcs: DataFrame, assign: DataFrame, keys: list[str], level: int) -> DataFrame:
+    """Moves until no node wants to.
+
+    Nodes that move at once can undo each other's gain, so ever fewer of them
+    move in a round: half, then, after every eight rounds, half as many, down to
+    one of those that want to.  Single moves only raise modularity, which ends it.
+    """
     strength = arcs.groupBy(*keys, F.col("src").alias("node")).agg(F.sum("weight").alias("deg"))
     total = strength.groupBy(*keys).agg(F.sum("deg").alias("m2"))
     nodes = strength.join(total, keys) if keys else strength.crossJoin(total)
     state = cut(nodes.join(assign, [*keys, "node"]))
     outer = cut(arcs.where("src <> dst"))
-    for rnd in range(max_rounds):
+    wanting = 2
+    for rnd in count():
         size = state.groupBy(*keys, "community").agg(F.sum("deg").alias("tot"))
         here = state.join(size, [*keys, "community"])
         far = here.select(*keys, F.col("node").alias("dst"), F.col("community").alias("_to"), F.col("tot").alias("_to_tot"))
@@ -191,11 +201,12 @@ def _local_moves(arcs: DataFrame, assign: DataFrame, keys: list[str], max_rounds
         # without a link inside its community a node only pays that community's size
         stay = F.coalesce("_here", F.round(-F.col("deg") * (F.col("tot") - F.col("deg")) / F.col("m2"), 10))
         wants = F.coalesce(F.col("_best._value") > stay + 1e-9, F.lit(False))
-        turn = F.pmod(F.xxhash64("node", F.lit(rnd + 97 * level)), F.lit(2)) == 0
+        turn = F.pmod(F.xxhash64("node", F.lit(rnd + 97 * level)), F.lit(max(2, min(2 << (rnd // 8), wanting)))) == 0
         moved = cut(best.select(*keys, "node", "deg", "m2", wants.alias("_wants"), F.when(
             wants & turn, F.col("_best._to")).otherwise(F.col("community")).alias("community")))
         state = moved.drop("_wants")
-        if moved.where("_wants").isEmpty():
+        wanting = moved.where("_wants").count()
+        if not wanting:
             break
     return state.select(*keys, "node", "community")
 

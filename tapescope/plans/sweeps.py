@@ -240,12 +240,19 @@ def _(spark, sf):
     return rounded(sweeps.evaluate_candidates(test, t, sweeps.param_grid(spark, {k: [v] for k, v in best.items()}), DETS), 5)
 
 
-@query("legacy_boost", "SELECT market_id, wallet, round(CASE WHEN jump_boost>1.001 THEN jump_boost ELSE 1 END,6) AS boost, round(CASE WHEN jump_boost>1.001 THEN jump_boost ELSE 1 END*suspicion,5) AS boosted_suspicion FROM suspicion JOIN jscores USING (market_id, wallet)")
+@query("legacy_boost", """
+SELECT market_id, wallet, round(b*j,6) AS boost, round(b*j*suspicion,5) AS boosted_suspicion FROM (
+ SELECT s.market_id, s.wallet, s.suspicion, CASE WHEN jump_boost>1.001 THEN jump_boost ELSE 1 END AS j,
+  CASE WHEN c.community IS NULL THEN 1 ELSE least(1+least(size/50.0,0.3)+density*0.2+CASE WHEN coalesce(has_common_ownership,false) THEN 0.4 ELSE 0 END,2.0) END AS b
+ FROM suspicion s JOIN jscores USING (market_id, wallet) LEFT JOIN member m ON m.market_id=s.market_id AND m.node=s.wallet
+ LEFT JOIN cmeta c ON c.market_id=m.market_id AND c.community=m.community LEFT JOIN owned o ON o.market_id=m.market_id AND o.community=m.community)""")
 def _(spark, sf):
+    """Cluster boosts on a given partition, so that SQL can follow; ``boosts_for_markets`` finds the clusters itself."""
     from tapescope.operators import graph, jumps
+    from tapescope.plans.graphs import member, meta_with_boost
     t = tape(spark, sf)
-    none = spark.createDataFrame([], "market_id int, wallet string, boost double, has_common_ownership boolean")
-    rows = graph.apply_wallet_boosts(scoring.wallet_suspicion(frozen(spark, sf)), none)
+    given = graph.wallet_boosts(member(spark, sf), meta_with_boost(spark, sf)).select("market_id", "wallet", "boost", "has_common_ownership")
+    rows = graph.apply_wallet_boosts(scoring.wallet_suspicion(frozen(spark, sf)), given)
     out = jumps.apply_jump_boost(rows, jumps.score_jump_wallets(t, jumps.find_jumps(t, CFG), CFG))
     return out.select("market_id", "wallet", *rnd("boost"), F.round(F.col("boost") * F.col("suspicion"), 5).alias("boosted_suspicion"))
 
