@@ -46,10 +46,16 @@ def tumbling_volume(trades: DataFrame, watermark: str = WATERMARK, width: str =
 
 
 def as_tape(trades: DataFrame) -> DataFrame:
-    """Stream columns to tape columns; the transaction number is the tie-break."""
-    seq = F.coalesce(F.expr("try_cast(regexp_replace(tx_hash, '[^0-9]', '') AS bigint)"), F.xxhash64("tx_hash", "asset"))
+    """Stream columns to tape columns.
+
+    Ids that are numbers stay numbers; other condition ids (0x..) get a 64-bit
+    key and keep their text in ``condition_id``.  Ties in time are broken by a
+    numbered transaction's number, else by a hash of transaction and asset.
+    """
+    number = F.regexp_extract("tx_hash", "^[A-Za-z]*([0-9]{1,18})$", 1).try_cast("long")
     return trades.select(
-        seq.alias("seq"), "timestamp_ms", "wallet", F.col("condition_id").cast("int").alias("market_id"), "outcome_index", "side", "price",
+        F.coalesce(number, F.xxhash64("tx_hash", "asset")).alias("seq"), "timestamp_ms", "wallet",
+        F.coalesce(F.col("condition_id").try_cast("long"), F.xxhash64("condition_id")).alias("market_id"), "condition_id", "outcome_index", "side", "price",
         "notional_usdc", "size_tokens", "tx_hash")
 
 

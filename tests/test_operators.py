@@ -223,3 +223,38 @@ def test_p_values():
 def test_replay_plan_has_no_global_window(make_tape):
     plan = scoring.replay(make_tape(random_rows(20, 7)), make_config())._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "Exchange SinglePartition" not in plan
+
+
+def test_classifier_entries(spark):
+    from tapescope.sources.readers import normalize_classifications
+    rows = [(1, " election ", 1.7, None), (2, "Weather", 0.1, None), (3, "politics", 0.9, None), (4, None, 0.9, None), (5, "LEGAL", 0.9, "failed"), (6, "legal", None, None)]
+    got = {r["id"]: (r["category"], r["confidence"], r["status"], r["insider_plausible"])
+           for r in normalize_classifications(spark.createDataFrame(rows, "id int, category string, confidence double, status string")).collect()}
+    failed = (None, 0.0, "failed", False)
+    assert got == {1: ("ELECTION", 1.0, "success", True), 2: ("WEATHER", 0.1, "success", False), 3: failed, 4: failed, 5: failed, 6: ("LEGAL", 0.0, "success", True)}
+
+
+def test_trade_records_with_text_numbers_and_hex_ids(spark):
+    from tapescope.sources.readers import parse_trade_json
+    from tapescope.streaming.feeds import as_tape
+    rows = ['{"proxyWallet":"0xa","conditionId":"0xff01","side":"BUY","size":"10","price":"0.5","timestamp":"1700000000","outcomeIndex":"1","transactionHash":"0x12ab","asset":"7"}',
+            '{"proxyWallet":"0xa","conditionId":"12","side":"BUY","size":10,"price":0.5,"timestamp":1700000000,"outcomeIndex":1,"transactionHash":"tx34","asset":"7"}',
+            '{"proxyWallet":"0xa","conditionId":"12","size":"many","price":0.5,"timestamp":1}', "{broken"]
+    got = as_tape(parse_trade_json(spark.createDataFrame([(r,) for r in rows], "value string"))).collect()
+    assert len(got) == 2 and all((r["notional_usdc"], r["timestamp_ms"], r["outcome_index"]) == (5.0, 1_700_000_000_000, 1) for r in got)
+    by = {r["condition_id"]: r for r in got}
+    assert by["12"]["market_id"] == 12 and by["12"]["seq"] == 34 and by["0xff01"]["market_id"] is not None
+
+
+def test_markets_without_tokens_are_dropped(spark):
+    from tapescope.sources.readers import parse_market_json
+    rows = [(1, '["a","b"]', "q"), (2, "[]", "q"), (3, "", "q"), (4, None, "q"), (5, "a, b", "q")]
+    df = spark.createDataFrame(rows, "id int, token_ids string, question string").selectExpr("*", "'[]' AS outcomes", "CAST(NULL AS STRING) AS event_title")
+    assert sorted(r["id"] for r in parse_market_json(df).collect()) == [1, 5]
+
+
+def test_student_p_values_of_large_samples():
+    import numpy as np
+    from tapescope.functions.stats import student_two_sided
+    got = student_two_sided(np.array([0.01, 2.0, 0.5]), np.array([1e10, 1e10, 1.0]))
+    assert np.allclose(got, [0.99202128, 0.04550026, 0.70483276], atol=1e-7)
