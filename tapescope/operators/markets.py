@@ -34,11 +34,13 @@ def markets_by_volume(markets: DataFrame, min_volume: float = 0.0, k: int | None
 def search_markets(markets: DataFrame, keywords: DataFrame, text: str, k: int = 20) -> DataFrame:
     """Top ``k`` markets by volume per keyword contained in the text, ignoring case.
 
+    ``status`` tells resolved markets (with a ``close_ms``) from active ones.
     ``keywords`` is the searcher's own short list (column ``keyword``).  The top
     k per keyword is kept as a bounded heap-like aggregate, not a full sort.
     """
     hits = markets.join(F.broadcast(keywords), F.contains(F.lower(text), F.lower("keyword")))
-    return top_k(hits, ["keyword"], [F.desc("volume"), F.asc("market_id")], k)
+    status = F.when(F.col("close_ms").isNotNull(), "resolved").otherwise("active")
+    return top_k(hits, ["keyword"], [F.desc("volume"), F.asc("market_id")], k).withColumn("status", status)
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:

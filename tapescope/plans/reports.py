@@ -37,11 +37,12 @@ def _(spark, sf):
     return rounded(markets.markets_by_volume(tables.markets(spark, sf), 1000.0, 10).select("market_id", "volume"), 2)
 
 
-@query("search_markets", "SELECT keyword, doc_id AS market_id, rank FROM (SELECT keyword, doc_id, row_number() OVER (PARTITION BY keyword ORDER BY n_chars DESC, doc_id) AS rank FROM documents, (SELECT unnest(['data','the','Model']) AS keyword) k WHERE contains(lower(text),lower(keyword))) WHERE rank<=20")
+@query("search_markets", "SELECT keyword, doc_id AS market_id, rank, CASE WHEN doc_id % 3=0 THEN 'active' ELSE 'resolved' END AS status FROM (SELECT keyword, doc_id, row_number() OVER (PARTITION BY keyword ORDER BY n_chars DESC, doc_id) AS rank FROM documents, (SELECT unnest(['data','the','Model']) AS keyword) k WHERE contains(lower(text),lower(keyword))) WHERE rank<=20")
 def _(spark, sf):
-    d = tables.read(spark, sf, "documents").select(F.col("doc_id").alias("market_id"), "text", F.col("n_chars").cast("double").alias("volume"))
+    d = tables.read(spark, sf, "documents").select(F.col("doc_id").alias("market_id"), "text", F.col("n_chars").cast("double").alias("volume"),
+                                                   F.when(F.col("doc_id") % 3 != 0, F.col("n_chars")).alias("close_ms"))
     kw = spark.createDataFrame([("data",), ("the",), ("Model",)], "keyword string")
-    return markets.search_markets(d, kw, "text").select("keyword", "market_id", "rank")
+    return markets.search_markets(d, kw, "text").select("keyword", "market_id", "rank", "status")
 
 
 def market_classes(spark, sf):
@@ -155,13 +156,15 @@ def _(spark, sf):
     return markets.prior_trade_counts(tape(spark, sf))
 
 
-@query("wallet_prefix_lookup", "SELECT DISTINCT wallet FROM tape WHERE starts_with(wallet,'0x000000000000000000000000000000000000001')")
+@query("wallet_prefix_lookup", """WITH big AS (SELECT DISTINCT wallet FROM tape WHERE notional_usdc>=15000 AND starts_with(wallet,'0x00000000000000000000000000000000000000'))
+SELECT wallet, 'stats' AS found_in FROM big UNION ALL
+SELECT DISTINCT wallet, 'alerts' FROM alerts WHERE starts_with(wallet,'0x00000000000000000000000000000000000000') AND wallet NOT IN (SELECT wallet FROM big)""")
 def _(spark, sf):
-    p = "0x000000000000000000000000000000000000001"
-    t = tape(spark, sf)
-    first = t.where(F.startswith(F.col("wallet"), F.lit(p))).select("wallet", F.lit(0).alias("o"))
-    second = t.where("side = 'BUY'").where(F.startswith(F.col("wallet"), F.lit(p))).select("wallet", F.lit(1).alias("o"))
-    return first.unionByName(second).groupBy("wallet").agg(F.min("o").alias("o")).select("wallet")
+    """Wallets by prefix in the stored statistics (here of large trades), else in the alerts."""
+    p = F.startswith(F.col("wallet"), F.lit("0x00000000000000000000000000000000000000"))
+    stats = tape(spark, sf).where(p & (F.col("notional_usdc") >= 15_000)).select("wallet", F.lit("stats").alias("found_in"))
+    alerted = frozen(spark, sf).where("is_alert").where(p).select("wallet", F.lit("alerts").alias("found_in"))
+    return stats.unionByName(alerted).groupBy("wallet").agg(F.max("found_in").alias("found_in"))
 
 
 @query("config_cross_join", "SELECT CAST(c AS DOUBLE) AS min_notional, count_if(notional_usdc>=c) AS kept, count(*) AS n FROM tape, (SELECT unnest([500.0,1000.0,5000.0]) AS c) k GROUP BY 1")
