@@ -45,11 +45,11 @@ def min_notional_sweep(tape: DataFrame, cfg: dict, cutoffs: list[float]) -> Data
     """
     spark = tape.sparkSession
     c = F.broadcast(spark.createDataFrame([(i, float(x)) for i, x in enumerate(cutoffs)], "_i int, min_usd double"))
-    n = len(cutoffs)
+    kind = tape.schema["market_id"].dataType
     rows = (tape.crossJoin(c).where(F.col("notional_usdc") >= F.col("min_usd"))
-            .withColumn("market_id", F.col("market_id") * n + F.col("_i")).drop("_i"))
+            .withColumn("market_id", F.concat_ws("|", "_i", F.col("market_id").cast("string"))).drop("_i"))
     out = scoring.replay(rows, cfg)
-    return out.withColumn("market_id", F.floor(F.col("market_id") / n).cast("int"))
+    return out.withColumn("market_id", F.regexp_replace("market_id", "^[0-9]+[|]", "").cast(kind))
 
 
 def ablation(frozen: DataFrame, cfg: dict) -> DataFrame:
