@@ -12,9 +12,9 @@ Documents with equal sets are one node.  Nodes that share a key are compared in
 rounds: with the first node of the key, then, where a key still holds nodes of
 several groups, with more and more of its other nodes until none is left, so no
 link is lost to a cap and a large group of copies costs one comparison a member.
-A comparison first estimates the similarity from one bit of each register, then from
-the registers, corrected for chance collisions, each with a margin of seven
-standard deviations; what passes is checked on the full sets.  Groups are connected components, found by large-star
+A comparison first estimates the similarity from the registers, or in the later
+rounds from one bit of each, corrected for chance collisions and with a margin of
+seven standard deviations; what passes is checked on the full sets.  Groups are connected components, found by large-star
 and small-star rounds over written tables.
 
 Defined cases: a document without words has no shingles and is alone; one with
@@ -43,7 +43,7 @@ BANDS = BUCKETS // ROWS_PER_BAND
 #: Chance that two different minima fall on the same register: equal zeros (about 1/3) and equal mantissa.
 COLLISION = 1 / (3 << MANTISSA_BITS)
 #: Nodes of a key that are compared with the others in its first round, and by how much their number grows.
-FIRST_LEADERS, LEADER_GROWTH = 8, 16
+FIRST_LEADERS, LEADER_GROWTH = 1, 4
 _U = np.uint64
 
 
@@ -198,8 +198,8 @@ class _Checker:
         found = map_batches(texts, run, "h1 long, h2 long, s binary")
         return wanted.join(found, ["h1", "h2"]).groupBy("node").agg(F.first("s").alias("s"))
 
-    def linked(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of nodes whose sets are similar enough."""
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose sketches do not rule a link out."""
         percent = self.percent
         regs = self.nodes.select("node", "n", "regs")
         both = pairs.join(regs.toDF("b", "nb", "rb"), "b").join(regs.toDF("a", "na", "ra"), "a")
@@ -208,12 +208,16 @@ class _Checker:
         def by_sketch(batch: pa.RecordBatch) -> pa.RecordBatch | None:
             if not batch.num_rows:
                 return None
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, BUCKETS) for i in (3, 4))
-            least = np.minimum(batch.column(5).to_numpy(), batch.column(6).to_numpy())
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, BUCKETS) for i in (2, 3))
+            least = np.minimum(batch.column(4).to_numpy(), batch.column(5).to_numpy())
             keep = estimated(a, b) >= percent / 100 - margin(least, percent / 100)
-            return batch.select([0, 1, 2]).filter(pa.array(keep))
+            return batch.select([0, 1]).filter(pa.array(keep))
 
-        likely = written(map_batches(both.select("a", "b", F.lit(0).alias("_"), "ra", "rb", "na", "nb"), by_sketch, "a long, b long, _ int").select("a", "b"), "likely")
+        return written(map_batches(both.select("a", "b", "ra", "rb", "na", "nb"), by_sketch, "a long, b long"), "likely")
+
+    def linked(self, likely: DataFrame) -> DataFrame:
+        """The pairs (a, b) of nodes whose full sets are similar enough."""
+        percent = self.percent
         sets = written(self._sets(likely.select(F.col("a").alias("node")).union(likely.select("b"))), "sets")
 
         def on_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -286,7 +290,7 @@ def grouped(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     shared = bands.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "leader")
     members = written(bands.join(shared, "key"), "members")
     tested = written(members.where("node <> leader").groupBy("node").agg(F.min("leader").alias("a")).select("a", F.col("node").alias("b")), "tested")
-    labels = merged(None, written(checker.linked(tested), "edges"))
+    labels = merged(None, written(checker.linked(checker.likely(tested)), "edges"))
 
     # keys whose nodes still belong to several groups: more and more of them are compared with the others
     left, n_leaders = members.select("key", "node", "n"), FIRST_LEADERS
