@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -79,7 +80,7 @@ def _homoglyphs() -> dict[int, str]:
     for zero in (0x0660, 0x06F0, 0x0966, 0x09E6, 0x0E50, *range(0x1D7CE, 0x1D800, 10)):
         table |= {zero + d: str(d) for d in range(10)}
     alike = ("аa еe оo рp сc уy хx іi јj ѕs ԁd һh ԛq ԝw ɡg ѵv АA ВB ЕE КK МM НH ОO РP СC ТT ХX ІI ЈJ ЅS "
-             "οo αa νv ρp ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ıi")
+             "οo αa νv ρp ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ıi İI ſs")  # IGNORECASE takes the last three for ASCII
     table |= {ord(pair[0]): pair[1] for pair in alike.split()}
     table |= dict.fromkeys([0x2024, 0x3002, 0xFF61, 0xFE52], ".") | dict.fromkeys([0xFE6B], "@") | dict.fromkeys([0x207A, 0xFE62], "+")
     return table | dict.fromkeys([*range(0x2010, 0x2016), 0x2212, 0xFE63], "-") | dict.fromkeys([0xA0, *range(0x2000, 0x200B), 0x202F, 0x3000], " ")
@@ -100,9 +101,6 @@ _RULES = re.compile(
     rf"|(?P<dot>[\x20\t]{{0,3}}{_OPEN}[\x20\t]{{0,3}}(?:dot|\.)[\x20\t]{{0,3}}{_SHUT}[\x20\t]{{0,3}}|(?<=[A-Za-z0-9]){_GAP}dot{_GAP}(?=[A-Za-z0-9]))",
     re.IGNORECASE)
 _SPELLED = re.compile(_NAMES, re.IGNORECASE)
-#: Without any of these nothing is rewritten.
-_TRIGGER = re.compile(rf"[{_HIDDEN}]|&(?:#64|#x40|commat);|{_OPEN}[\x20\t]{{0,3}}(?:at|@|dot|\.)[\x20\t]{{0,3}}{_SHUT}|\bdot[\x20\t]"
-                      rf"|[\x20\t](?:at|@)[\x20\t]{{1,3}}[a-z0-9-]{{1,63}}\.[a-z0-9]|\b(?:{_NAMES})[\x20-](?:{_NAMES})\b", re.IGNORECASE)
 
 
 class Normalised:
@@ -111,7 +109,8 @@ class Normalised:
     def __init__(self, source: str):
         text = source.translate(HOMOGLYPHS) if not source.isascii() and _ALIKE.search(source) else source
         self.source, self.changed = source, text is not source
-        if not _TRIGGER.search(text):
+        first = _RULES.search(text)  # the rules themselves: a second, shorter pattern would have to match wherever they do
+        if not first:
             self.text, self.starts, self.pieces = text, [0], [(0, None)]
             return
         self.changed = True
@@ -129,7 +128,7 @@ class Normalised:
                 out.append(piece)
                 length += len(piece)
 
-        for m in _RULES.finditer(text):
+        for m in chain((first,), _RULES.finditer(text, first.end())):
             put(text[at:m.start()], at, None)
             if m.lastgroup == "spelled":
                 for word in _SPELLED.finditer(text, m.start(), m.end()):

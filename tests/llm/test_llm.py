@@ -111,6 +111,25 @@ def test_pii_disguises_map_to_source(text, kind, span):
     assert (kind, span) in [(pii.KINDS[k], text[s:e]) for s, k, e in spans]
 
 
+@pytest.mark.parametrize("text, span", [
+    ("ring plus 1 415 555 0100 now", "plus 1 415 555 0100"),
+    ("call +1 415 five 55 0 one 23 now", "+1 415 five 55 0 one 23"),
+    ("ring +1 415 ſix 55 0100 now", "+1 415 ſix 55 0100"),
+])
+def test_pii_disguises_need_no_other_disguise(text, span):
+    assert ("phone", span) in [(pii.KINDS[k], text[s:e]) for s, k, e in pii.all_spans(text)[1]]
+    assert pii.redact(text) == text.replace(span, "[PHONE]")
+
+
+def test_pii_spans_do_not_depend_on_unrelated_disguises():
+    rnd = random.Random(5)
+    pieces = ["plus ", "+", "1 ", "415 ", "555", "0100 ", "five ", "one ", "_two ", "ſix ", "bob", " at ", "@", "ex", " dot ", ".", "com ", "(at)", "[dot] ", "10", "é ", ". ", "&#64;", "\u200b", "\n"]
+    for _ in range(20_000):
+        text = "".join(rnd.choice(pieces) for _ in range(rnd.randint(1, 16)))
+        opened = text + "\n\n[ dot ]"  # a disguise that touches nothing else
+        assert pii.all_spans(text)[1] == pii.all_spans(opened)[1], text
+
+
 def test_pii_long_runs_are_linear():
     for text in ("1" * 200_000, "a." * 100_000, "1.1." * 50_000, "one " * 50_000, "@" * 100_000, "+1 " * 60_000, " " * 200_000 + "dot"):
         pii.all_spans(text)
