@@ -9,6 +9,8 @@ without doc_id has no smaller copy and stays a group's own.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,10 +19,16 @@ from tapescope.llm.common import ready, shared_path, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose calibrated score is below one half; learned from ``labels`` on ``docs``."""
+    """Documents whose calibrated score is below one half; learned from ``labels`` on ``docs``.
+
+    Labels that no classifier can be fitted to say nothing about a document: all stay, with a warning.
+    """
     ready(spark)
-    scored = toxicity.fit(docs, table(spark, sf_dir, "labels")).scored(docs)
-    return scored.where("score < 0.5").select("row.*")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    if model.trees is None:
+        warnings.warn("toxicity: the labels of these documents lack a class, so no document is rejected", stacklevel=2)
+        return docs
+    return model.scored(docs).where("score < 0.5").select("row.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -458,6 +458,19 @@ def test_pipeline_stages(spark, odd, none, tmp_path):
     assert {r["doc_id"] for r in docs.collect()} == {1, 5, None}
 
 
+@pytest.mark.parametrize("labels", [[], [(10_000 + i, i % 2) for i in range(50)], [(i, 1) for i in range(50)], [(i, 0) for i in range(50)], [(1, 1)],
+                                    [(i, int(zlib.crc32(str(i).encode()) % 5 != 4 or i % 2)) for i in range(50)]])
+def test_pipeline_keeps_documents_without_a_classifier(spark, tmp_path, labels):
+    """No label, none of these documents, one class, one label, one class in folds 1 to 3 only."""
+    import corpus_pipeline as pipeline
+
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame([(i, f"a clean text {i}", "x") for i in range(50)] + [(None, None, "x")], "doc_id long, text string, score string")
+    with pytest.warns(UserWarning, match="no document is rejected"):
+        out = pipeline.drop_toxic(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns and out.count() == 51
+
+
 def test_op_queries_cover_whole_tables(spark):
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     for name in ("op1_toxicity", "op2_pii", "op5_edit_counts", "op6_sharding"):
