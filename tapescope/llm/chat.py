@@ -2,10 +2,11 @@
 
 Prefix sums of turn tokens cut a conversation into spans: a span ends where the
 sum passes a multiple of half the room, or around a turn longer than that, so a
-span never holds more than the room unless it is one long turn.  Every window
-repeats the leading system turn (if it is short enough to repeat) and the turns
-of the span before that lie within the history budget, both outside the loss
-mask; the assistant turns of its own span are inside.  So each assistant turn is
+span never holds more than the room unless it is one long turn.  The room is what
+the budget leaves beside the history and the conversation's own system turn (at
+least ``system`` tokens).  Every window repeats the leading system turn, whatever
+its length, and the turns of the span before that lie within the history budget,
+both outside the loss mask; the assistant turns of its own span are inside.  So each assistant turn is
 trained on exactly once.
 
 Turns are marked; ``&``, ``<`` and ``[`` in roles and texts are written as
@@ -15,7 +16,8 @@ and ``unescape`` restores them.  All of it is DataFrame functions.
 Defined cases: null role and text count as empty; rows that repeat a turn are
 turns each, ordered by turn, role, text; a null turn comes first; null conv_id is
 a conversation of its own; a turn longer than the room makes a window of its own
-that exceeds the budget; an empty table gives no rows; other columns are not
+that exceeds the budget, and so does each turn beside a system turn that leaves no
+room; an empty table gives no rows; other columns are not
 looked at.
 """
 
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 BEGIN, END = "<|turn|>", "<|end|>\n"
 ENTITIES = (("&", "&amp;"), ("<", "&lt;"), ("[", "&#91;"))
-#: Tokens of a window, of repeated history, of the longest system turn that is repeated, and those a turn's marks take.
+#: Tokens of a window, of repeated history, kept free at least for the system turn, and those a turn's marks take.
 BUDGET, HISTORY, SYSTEM, MARKS = 1024, 128, 256, 4
 
 
@@ -54,16 +56,18 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, syst
     their own.
     """
     text, role = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("text", "role"))
-    half = (budget - history - system) // 2
     order = Window.partitionBy("conv_id").orderBy("turn", "_role", "_text")
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("_role"), text.alias("_text"))
     rows = rows.withColumn("_n", (tokens(F.col("_text")) + MARKS).cast("long")).withColumns({
-        "_pos": F.row_number().over(order), "_ends": F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0))})
-    leads = (F.col("_pos") == 1) & (F.col("_role") == "system") & (F.col("_n") <= system)
-    rows = rows.withColumns({"_lead": leads, "_starts": F.col("_ends") - F.col("_n"), "_long": F.col("_n") > half})
+        "_pos": F.row_number().over(order), "_ends": F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0)),
+        "_first": F.first(F.struct("_role", "_n")).over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    leads = (F.col("_pos") == 1) & (F.col("_role") == "system")
+    reserved = F.greatest(F.lit(system), F.when(F.col("_first._role") == "system", F.col("_first._n")))
+    half = F.greatest(F.lit(1), F.floor((budget - history - reserved) / 2))  # at 1 every turn is long: one a window
+    rows = rows.withColumns({"_lead": leads, "_starts": F.col("_ends") - F.col("_n"), "_half": half}).withColumn("_long", F.col("_n") > F.col("_half"))
     previous = F.lag(F.struct("_starts", "_long", "_lead")).over(order)
     fresh = ~leads & (previous.isNull() | previous["_lead"] | F.col("_long") | previous["_long"]
-                      | (F.floor(F.col("_starts") / half) != F.floor(previous["_starts"] / half)))
+                      | (F.floor(F.col("_starts") / F.col("_half")) != F.floor(previous["_starts"] / F.col("_half"))))
     rows = rows.withColumn("_span", F.sum(fresh.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
     # 1-based spans; a leading system turn has span 0
     whole, span = Window.partitionBy("conv_id"), Window.partitionBy("conv_id", "_span")

@@ -321,6 +321,20 @@ def test_chat_windows_round_trip(spark):
     assert chat.windows(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("prompt", ["rule " * 10, "rule " * 400, "規" * 250, "規" * 300, "rule " * 2_000])
+def test_chat_windows_repeat_any_system_turn(spark, prompt):
+    turns = [(1, 0, "system", prompt)] + [(1, t, "user" if t % 2 else "assistant", f"turn{t} " * (60 if t % 5 else 5)) for t in range(1, 31)]
+    made = sorted(chat.windows(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect(), key=lambda r: r["window"])
+    sizes = {t: len(text.split()) if " " in text else len(text) for _, t, _, text in turns}
+    assert len(made) > 1 and [r["window"] for r in made] == list(range(1, len(made) + 1))
+    for r in made:
+        assert r["formatted"].startswith(f"<|turn|>system\n{prompt}<|end|>\n") and (r["window"] == 1 or r["n_context"] > 0)
+        held = [0, *(int(m) for m in re.findall(r"<\|turn\|>(?:user|assistant)\nturn([0-9]+)", r["formatted"]))]
+        own = held[max(1, r["n_context"]):]
+        assert sum(sizes[t] + chat.MARKS for t in held) <= chat.BUDGET or len(own) == 1
+    assert sum(len(r["loss"]) for r in made) == 15
+
+
 # ---- 8 packing
 
 def test_pack_is_gapless_and_tight(spark, odd, none):
