@@ -23,6 +23,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import takewhile
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,6 +37,8 @@ EPOCH = "2024-01-01T00:00:00Z"
 END = "\r\n\r\n"
 #: Bytes an archive has on average, and bytes of one batch of read records.
 ARCHIVE_BYTES, OUT_BYTES = 16 << 20, 4 << 20
+#: Bytes inflated at once around an error, and bytes inflation may have read ahead of what it returned.
+PIECE, AHEAD = 1 << 16, 8
 #: Copied payloads (about 100 bytes each) that are broadcast at most.
 BROADCAST_ROWS = 200_000
 
@@ -139,39 +142,88 @@ def payload_of(block: bytes) -> bytes:
     return block.partition(b"\r\n\r\n")[2]
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int]:
-    """Content and end of the gzip member at ``at``; raises Bad."""
+def _member(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """What inflates of the gzip member at ``at``, its end, and what is wrong with it."""
     inflate = zlib.decompressobj(31)
-    parts = []
     try:
-        parts.append(inflate.decompress(memoryview(data)[at:]))
-        parts.append(inflate.flush())
+        content = inflate.decompress(memoryview(data)[at:])
     except zlib.error as error:
-        raise Bad(f"gzip member: {error}") from None
-    if not inflate.eof:
-        raise Bad("gzip member is cut off")
-    return b"".join(parts), len(data) - len(inflate.unused_data)
+        return _inflated_before_error(data, at), len(data), f"gzip member: {error}"
+    return content, len(data) - len(inflate.unused_data), None if inflate.eof else "gzip member is cut off"
+
+
+def _inflated_before_error(data: bytes, at: int) -> bytes:
+    """All bytes that inflate before the member fails: an error loses its whole call, so less is fed at once around it."""
+    inflate, parts, piece = zlib.decompressobj(31), [], PIECE
+    while piece and at < len(data):
+        before = inflate.copy()
+        try:
+            parts.append(inflate.decompress(data[at:at + piece]))
+        except zlib.error:
+            inflate, piece = before, piece // 2
+            continue
+        at += piece
+    return b"".join(parts)
+
+
+def _taken(data: bytes, at: int, inflated: int) -> int:
+    """Where in the archive the last of the first ``inflated`` bytes of the member at ``at`` is at hand."""
+    inflate = zlib.decompressobj(31)
+    inflate.decompress(memoryview(data)[at:], inflated - 1)  # one more could run into the error
+    return len(data) - len(inflate.unconsumed_tail)
+
+
+def _records(content: bytes) -> Iterator[tuple[str, int, int, dict[str, str] | str, bytes]]:
+    """Records and gaps over bytes that hold no gzip members."""
+    at, gap = 0, None
+    while at < len(content):
+        try:
+            headers, block, end = parse_record(content, at)
+        except Bad as bad:
+            gap = gap or (at, str(bad))
+            following = _VERSION.search(content, at + 1)
+            at = following.start() if following else len(content)
+            continue
+        if gap:
+            yield "gap", gap[0], at, gap[1], b""
+            gap = None
+        yield "record", at, end, headers, block
+        at = end
+    if gap:
+        yield "gap", gap[0], len(content), gap[1], b""
 
 
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict[str, str] | str, bytes]]:
     """('record', start, end, headers, block) and ('gap', start, end, reason, b'') over all bytes of an archive.
 
-    A record inside a gzip member has the member's range.
+    A record inside a gzip member has the member's range, and so has a gap between
+    such records, whose reason names its range in the inflated bytes.  A member that
+    is corrupt or cut gives the records inflated before the first damage (behind it
+    bytes may be copies of wrong ones, also in headers, which have no digest) and ends
+    with the last; a corrupt or cut member of a single record is a gap.
     """
     at, size = 0, len(data)
     gap: tuple[int, str] | None = None
     while at < size:
-        found = None
+        wrong = None
         try:
             if data[at:at + 3] == b"\x1f\x8b\x08":
-                content, end = _member(data, at)
-                found, inner = [], 0
-                while inner < len(content):
-                    headers, block, inner = parse_record(content, inner)
-                    found.append((headers, block))
+                content, end, wrong = _member(data, at)
+                found = list(_records(content))
+                if wrong and len(found) == 1:
+                    raise Bad(wrong)  # nothing but one record, which the member's own check covers
+                if wrong:
+                    found = list(takewhile(lambda x: x[0] == "record", found))
+                good = max((x[2] for x in found if x[0] == "record"), default=0)
+                if not good and (wrong or content):
+                    raise Bad(wrong or found[0][3])
+                if wrong:
+                    taken = _taken(data, at, good)
+                    following = _NEXT.search(data, max(at + 1, taken - AHEAD))
+                    end = min(taken, following.start()) if following else taken
             else:
                 headers, block, end = parse_record(data, at)
-                found = [(headers, block)]
+                found = [("record", at, end, headers, block)]
         except Bad as bad:
             gap = gap or (at, str(bad))
             following = _NEXT.search(data, at + 1)
@@ -180,8 +232,12 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict[str, str] | str,
         if gap:
             yield "gap", gap[0], at, gap[1], b""
             gap = None
-        for headers, block in found:
-            yield "record", at, end, headers, block
+        for kind, first, last, what, block in found:
+            yield kind, at, end, what if kind == "record" else f"{what} (inflated bytes {first} to {last})", block
+        if wrong:
+            gap = (end, wrong)
+            following = _NEXT.search(data, end)
+            end = following.start() if following else size
         at = end
     if gap:
         yield "gap", gap[0], size, gap[1], b""

@@ -398,6 +398,40 @@ def test_salvage_recovers_later_records():
     assert list(warc.salvage(b"")) == [] and [x[0] for x in warc.salvage(b"nothing here")] == ["gap"]
 
 
+def test_salvage_inside_a_member_of_many_records():
+    rnd = random.Random(6)
+    parts = [record(bytes(rnd.choice(b"abcdefgh ") for _ in range(3000)), page=i) for i in range(40)]
+    whole, after = b"".join(parts), record(b"after", page=99)
+    pages = lambda got: [int(x[3]["warc-record-id"][10:-1]) for x in got if x[0] == "record"]
+    damaged = parts[:7] + [parts[7][:-50] + b"?" + parts[7][-49:]] + parts[8:]
+    packed = gzip.compress(b"".join(damaged))
+    got = list(warc.salvage(packed + gzip.compress(after)))
+    assert pages(got) == [*range(7), *range(8, 40), 99]
+    gaps = [x for x in got if x[0] == "gap"]
+    at = sum(map(len, parts[:7]))
+    assert [(x[1], x[2]) for x in gaps] == [(0, len(packed))] and gaps[0][3].endswith(f"(inflated bytes {at} to {at + len(parts[7])})")
+    for level in (0, 6):  # stored and packed
+        packed = gzip.compress(whole, level)
+        flipped = bytearray(packed)
+        flipped[-6] ^= 1  # checksum: all records are there
+        got = list(warc.salvage(bytes(flipped) + gzip.compress(after)))
+        assert pages(got) == [*range(40), 99] and [x[3] for x in got if x[0] == "gap"][0].startswith("gzip member")
+        for cut in (1, 8, 9, len(packed) // 3, len(packed) // 2):
+            for tail in (b"", gzip.compress(after), after):
+                got = list(warc.salvage(packed[:-cut] + tail))
+                kept = pages(got)
+                assert kept[-1:] == [99] or not tail
+                kept = kept[:-1] if tail else kept
+                assert kept == [*range(len(kept))] and len(kept) >= 39 - 40 * cut // len(packed) - 1
+                assert any(x[0] == "gap" and x[3].startswith("gzip member") for x in got)
+    packed = gzip.compress(whole)
+    for where in range(1000, len(packed), len(packed) // 9):
+        broken = bytearray(packed)
+        broken[where:where + 40] = bytes(40)
+        kept = pages(warc.salvage(bytes(broken) + gzip.compress(after)))
+        assert kept[-1] == 99 and kept == sorted(set(kept)) and len(kept) >= where * 40 // len(packed) - 1
+
+
 @pytest.mark.parametrize("broadcast", [True, False])
 def test_warc_round_trip(spark, tmp_path, monkeypatch, broadcast):
     ready(spark)
