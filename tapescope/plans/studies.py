@@ -8,7 +8,6 @@ from tapescope.operators.running import DAY_MS
 from tapescope.plans.base import CFG, FLAG_RATE, frozen, rnd, tape, truth, winners
 from tapescope.plans.baselines import close, timing
 from tapescope.plans.evaluate import rounded
-from tapescope.plans.graphs import SLOW
 from tapescope.plans.registry import query
 from tapescope.plans.sweeps import DETS
 from tapescope.session import cut
@@ -95,7 +94,7 @@ def _(spark, sf):
 @query("run_cluster_effectiveness")
 def _(spark, sf):
     """What the causal cluster boosts changed, by decisiveness and ownership."""
-    s = causal.cluster_multiplier(frozen(spark, sf), SLOW, tables.transfers(spark, sf))
+    s = causal.cluster_multiplier(frozen(spark, sf), CFG, tables.transfers(spark, sf))
     hit = scoring.boosted(F.col("base_score"), F.col("cluster_multiplier"), CFG["score_cap"]) >= CFG["alert_threshold"]
     keys = ["market_id", "wallet"]
     per = cut(s.groupBy(*keys).agg(F.count_if(hit).alias("with_c"), F.count_if("is_alert").alias("without"), F.max("has_common_ownership").alias("owned")))

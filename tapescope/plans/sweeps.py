@@ -6,7 +6,7 @@ from tapescope.operators import causal, economics, evaluation, labels, markets,
 from tapescope.operators.running import DAY_MS
 from tapescope.plans.base import CFG, FLAG_RATE, evaluations, flagged_buys, frozen, predicted, rnd, tape, truth, winners
 from tapescope.plans.evaluate import FSCORES_SQL, all_metrics, r, rounded
-from tapescope.plans.graphs import SLOW, member
+from tapescope.plans.graphs import member
 from tapescope.plans.registry import query, view
 from tapescope.sources import tables
 
@@ -46,7 +46,7 @@ def _(spark, sf):
 
 @query("jump_diagnostics")
 def _(spark, sf):
-    s = causal.jump_multiplier(frozen(spark, sf), SLOW)
+    s = causal.jump_multiplier(frozen(spark, sf), CFG)
     boosted = F.col("jump_multiplier") > 1.0
     after = scoring.boosted(F.col("base_score"), F.col("jump_multiplier"), CFG["score_cap"]) >= CFG["alert_threshold"]
     return s.groupBy("market_id").agg(F.count_if(boosted).alias("boosted_trades"), F.count_if("is_alert").alias("alerts_before"),
@@ -218,7 +218,7 @@ def _(spark, sf):
 @query("evaluate")
 def _(spark, sf):
     t = tape(spark, sf)
-    boosts = causal.boost_schedule(t, SLOW, tables.transfers(spark, sf)).select("market_id", "seq", "multiplier")
+    boosts = causal.boost_schedule(t, CFG, tables.transfers(spark, sf)).select("market_id", "seq", "multiplier")
     base = frozen(spark, sf).join(boosts, ["market_id", "seq"])
     s = scoring.recidivism_replay(base, CFG)
     from tapescope.session import cut

@@ -28,3 +28,13 @@ def con():
 def test_query_matches_sql(spark, con, name):
     _, _, error = run(spark, con, name, entry.queries()[name], entry.oracle_sql()[name], SF)
     assert error is None, error
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
+def test_causal_clusters_tick_by_the_default_clocks(spark):
+    from tapescope.config import make_config
+    from tapescope.operators import causal
+    from tapescope.sources import tables
+
+    got = entry.queries()["causal_cluster_multiplier"](spark, SF).groupBy("market_id").agg({"tick": "max"}).collect()
+    assert sum(n for _, n in got) == causal.recluster_ticks(tables.tape(spark, SF), make_config()).count()
