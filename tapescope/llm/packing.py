@@ -31,12 +31,15 @@ from tapescope.llm.common import written
 
 CAPACITY, GRAIN, END_ID = 2048, 8, 1
 #: Pieces one ranking task holds, and words in one generation of a worker's word cache.
-BUCKET_ROWS, CACHE_WORDS = 200_000, 250_000
+BUCKET_ROWS, CACHE_WORDS = 200_000, 500_000
 #: Arrow bytes in one batch of pieces.
 OUT_BYTES = 4 << 20
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
 
+#: Pivots after which the inverse of the basis is computed anew.
+REFRESH = 400
+
 #: White space for the tokenizer or for Python, but not for both in the same way.
 _ODD_SPACE = re.compile("[" + "".join(map(chr, (0x0B, 0x0C, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F,
                                                0x205F, 0x3000))) + "]")
@@ -48,21 +51,34 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: Words of letters that are their own composed form, in any case.
+_LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+
+
+def _byte_letters() -> dict[int, int]:
+    """How byte-level vocabularies write the bytes that have no visible Latin-1 character: from 256 on, in order."""
+    hidden = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b <= 0xFF)]
+    return {b: 256 + k for k, b in enumerate(hidden)}
+
+
 class WordEncoder:
-    """Ids of a text as little-endian unsigned 32-bit bytes, word by word.
+    """Ids of a text as little-endian unsigned numbers of ``width`` bytes, word by word.
 
     White space separates words for this tokenizer, and no normalisation or
     merge crosses it, so a text's ids are those of its words in order.  Words
     are kept in two generations of bounded size.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, width: int = 4):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.tokenizer.model
+        self.dtype, self.letters = f"<u{width}", _byte_letters()
+        if self.tokenizer.get_vocab_size() > 1 << 8 * width:
+            raise ValueError(f"the vocabulary does not fit in {width} bytes an id")
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -83,10 +99,17 @@ class WordEncoder:
             if lower.isalpha():  # one pre-token: straight to the merges
                 if lower != word:
                     return self.word(lower)
-                return np.array([t.id for t in self.model.tokenize(word)], "<u4").tobytes()
+                return np.array([t.id for t in self.model.tokenize(word)], self.dtype).tobytes()
             if lower[-1] in ".," and lower[:-1].isalpha():
                 return self.word(lower[:-1]) + self.word(lower[-1])
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        if _LATIN.fullmatch(word):
+            lower = word.lower()
+            if lower != word:
+                return self.word(lower)
+            return np.array([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))], self.dtype).tobytes()
+        if word[-1] in ".," and _LATIN.fullmatch(word[:-1]):
+            return self.word(word[:-1].lower()) + self.word(word[-1])
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def text(self, text: str) -> bytes:
         words = [w for w in re.split("[ \t\n\r]+", text) if w] if _ODD_SPACE.search(text) else text.split()
@@ -97,42 +120,50 @@ class WordEncoder:
         return b"".join(parts)
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[tuple[str, int], WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, width: int = 4) -> WordEncoder:
     """The encoder of this worker process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    if (path, width) not in _ENCODERS:
+        _ENCODERS[path, width] = WordEncoder(path, width)
+    return _ENCODERS[path, width]
 
 
-def tokenize(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Pieces of at most ``capacity`` ids: doc_id, start, length, doc_tokens, ids (little-endian unsigned 32 bit)."""
+def tokenize(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, width: int = 4) -> DataFrame:
+    """Pieces of at most ``capacity`` ids: doc_id, start, length, doc_tokens, ids (little-endian unsigned numbers of ``width`` bytes)."""
     path = path or tokenizer_path()
-    end = np.array([end_id], "<u4").tobytes()
+    end = end_id.to_bytes(width, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, rows, held = encoder(path), [], 0
+        enc = encoder(path, width)
+        doc_ids, ids, held = [], [], 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = enc.text(text.as_py() or "") + end
-                for at in range(0, len(ids), 4 * capacity):
-                    piece = ids[at:at + 4 * capacity]
-                    rows.append((doc_id, at // 4, len(piece) // 4, len(ids) // 4, piece))
-                held += len(ids)
+                doc_ids.append(doc_id)
+                ids.append(enc.text(text.as_py() or "") + end)
+                held += len(ids[-1])
                 if held >= OUT_BYTES:
-                    yield _batch(rows)
-                    rows, held = [], 0
-        if rows:
-            yield _batch(rows)
+                    yield _pieces(doc_ids, ids, capacity, width)
+                    doc_ids, ids, held = [], [], 0
+        if ids:
+            yield _pieces(doc_ids, ids, capacity, width)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         run, "doc_id long, start long, length long, doc_tokens long, ids binary")
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), PIECES)], schema=PIECES)
+def _pieces(doc_ids: list[int | None], ids: list[bytes], capacity: int, width: int) -> pa.RecordBatch:
+    """The documents' ids end to end in one buffer, which the pieces share."""
+    tokens = np.fromiter(map(len, ids), np.int64, len(ids)) // width
+    cuts = -(-tokens // capacity)
+    of = np.repeat(np.arange(len(ids)), cuts)
+    start = (np.arange(len(of)) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * capacity
+    length = np.minimum(capacity, tokens[of] - start)
+    at = np.zeros(len(of) + 1, np.int32)
+    np.cumsum(length * width, out=at[1:])
+    column = pa.Array.from_buffers(pa.binary(), len(of), [None, pa.py_buffer(at), pa.py_buffer(b"".join(ids))])
+    return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()).take(pa.array(of)), pa.array(start), pa.array(length), pa.array(tokens[of]), column], schema=PIECES)
 
 
 # ---- patterns, from the histogram alone
@@ -162,7 +193,26 @@ def best_pattern(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[floa
     return float(best[room]), counts
 
 
-def solve_patterns(sizes: np.ndarray, demand: np.ndarray, room: int) -> list[tuple[np.ndarray, int]]:
+def inverted(a: np.ndarray) -> np.ndarray:
+    """The inverse of ``a`` by elimination with row pivots.
+
+    Plain slices only: a threaded matrix routine may never return in a driver
+    process that also holds a Spark session.
+    """
+    n = len(a)
+    work = np.hstack([a.astype(float), np.eye(n)])
+    for k in range(n):
+        top = k + int(np.abs(work[k:, k]).argmax())
+        if top != k:
+            work[[k, top]] = work[[top, k]]
+        work[k] /= work[k, k]
+        factor = work[:, k].copy()
+        factor[k] = 0
+        work -= factor[:, None] * work[k]
+    return work[:, n:]
+
+
+def solve_patterns(sizes: np.ndarray, demand: np.ndarray, room: int, refresh: int = REFRESH) -> list[tuple[np.ndarray, int]]:
     """(pieces of each size, copies) of patterns that together hold ``demand`` exactly.
 
     Revised simplex on the covering program; the basis has one column for each
@@ -175,7 +225,7 @@ def solve_patterns(sizes: np.ndarray, demand: np.ndarray, room: int) -> list[tup
     inverse = np.diag(1.0 / np.diag(columns))
     # a little more demand, different for each size, keeps degenerate steps from cycling
     aim = demand + 1e-3 * np.random.default_rng(0).random(m)
-    x = inverse @ aim
+    x = (inverse * aim).sum(axis=1)
     since = 0
     while True:
         duals = inverse.sum(axis=0)
@@ -197,9 +247,9 @@ def solve_patterns(sizes: np.ndarray, demand: np.ndarray, room: int) -> list[tup
         inverse[out] = pivot
         columns[:, out] = column
         since += 1
-        if since % 400 == 0:  # rounding errors do not build up
-            inverse = np.linalg.inv(columns)
-            x = np.maximum(inverse @ aim, 0)
+        if since % refresh == 0:  # rounding errors do not build up
+            inverse = inverted(columns)
+            x = np.maximum((inverse * aim).sum(axis=1), 0)
     left = demand.astype(np.int64).copy()
     found: list[tuple[np.ndarray, int]] = []
     for k in np.argsort(-x):
@@ -251,11 +301,13 @@ def slot_table(patterns: list[tuple[np.ndarray, int]], sizes: np.ndarray) -> lis
 def pack(pieces: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces with doc_id, start and length.
 
-    Their other columns are carried along.  Sequences are padded to ``capacity``.
+    Sequences are padded to ``capacity``.  Pieces are ranked and placed by narrow
+    rows; their other columns move once, to meet their place.
     """
     spark = pieces.sparkSession
-    pieces = written(pieces.withColumns({"_class": F.ceil(F.col("length") / grain).cast("int"), "_row": F.monotonically_increasing_id()}), "pieces")
-    histogram = sorted((r["_class"], r["count"]) for r in pieces.groupBy("_class").count().collect())  # at most capacity / grain rows
+    pieces = written(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces", {"compression": "zstd"})
+    narrow = pieces.select("_row", "length", F.ceil(F.col("length") / grain).cast("int").alias("_class"))
+    histogram = sorted((r["_class"], r["count"]) for r in narrow.groupBy("_class").count().collect())  # at most capacity / grain rows
     sizes, demand = np.array([k for k, _ in histogram], np.int64), np.array([n for _, n in histogram], float)
     slots = slot_table(solve_patterns(sizes, demand, capacity // grain), sizes)
     slots_df = spark.createDataFrame(slots, "_class int, _from long, _to long, _each long, _first long, _slot0 long")
@@ -264,7 +316,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN, bucket
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     most = max(64, min(bucket_rows, int(demand.sum()) // (2 * partitions)))
     n_buckets = max(1, -(-int(demand.max(initial=0)) // most))
-    dealt = pieces.withColumn("_key", F.xxhash64("_row")).withColumn("_bucket", F.pmod("_key", F.lit(n_buckets)).cast("int"))
+    dealt = narrow.withColumn("_key", F.xxhash64("_row")).withColumn("_bucket", F.pmod("_key", F.lit(n_buckets)).cast("int"))
     counts = dealt.groupBy("_class", "_bucket").count()
     before = Window.partitionBy("_class").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_class", "_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
@@ -276,8 +328,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN, bucket
     nth = F.col("_rank") - F.col("_from")
     placed = placed.withColumns({"sequence_id": F.col("_first") + F.floor(nth / F.col("_each")), "_slot": F.col("_slot0") + nth % F.col("_each")})
     along = Window.partitionBy("sequence_id").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.withColumn("offset", F.coalesce(F.sum("length").over(along), F.lit(0)).cast("long")).select(
-        *[c for c in pieces.columns if c not in ("_class", "_row")], "sequence_id", "offset")
+    placed = placed.select("_row", "sequence_id", F.coalesce(F.sum("length").over(along), F.lit(0)).cast("long").alias("offset"))
+    return pieces.join(placed, "_row").drop("_row")
 
 
 def crc_of(ids: bytes) -> int:

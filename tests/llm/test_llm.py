@@ -357,7 +357,7 @@ def test_pack_is_gapless_and_tight(spark, odd, none):
 
 def test_words_encode_like_whole_texts():
     enc, rnd = packing.WordEncoder(packing.tokenizer_path()), random.Random(6)
-    parts = ["The", "the,", "IDIOT", "l'été", "isn't", "a..b", ".", ",,", "É́", " ", "\x1c", "\x85", " ", "\n", "  ", "x1y2", "ﬁne", "Σας", "<|endoftext|>", "日本", "I'LL", "é,", "word."]
+    parts = ["The", "the,", "IDIOT", "l'été", "isn't", "a..b", ".", ",,", "É́", " ", "\x1c", "\x85", " ", "\n", "  ", "x1y2", "ﬁne", "Σας", "<|endoftext|>", "日本", "I'LL", "é,", "word.", "Éàç", "ÇÀ.", "straße", "ÿÞ", "e\u0301t"]
     for _ in range(500):
         text = "".join(rnd.choice(parts) + rnd.choice(["", " ", "\t"]) for _ in range(rnd.randint(0, 12)))
         want = enc.tokenizer.encode(text, add_special_tokens=False).ids
@@ -374,6 +374,36 @@ def test_patterns_hold_demand_exactly():
     assert packing.solve_patterns(np.array([], int), np.array([]), 64) == []
 
 
+def test_patterns_with_many_pivots_end_beside_a_session(spark, monkeypatch):
+    """More than 100 classes and more than 400 pivots: the basis is inverted anew in a driver that holds a session."""
+    rng, seen = np.random.default_rng(4), []
+    invert = packing.inverted
+    monkeypatch.setattr(packing, "inverted", lambda a: seen.append(len(a)) or invert(a))
+    sizes, demand = np.arange(1, 257), rng.integers(1, 4000, 256).astype(float)
+    assert spark.range(10).count() == 10
+    patterns = packing.solve_patterns(sizes, demand, 256)
+    assert seen and min(seen) > 100
+    assert (sum(a * k for a, k in patterns) == demand).all() and all((a * sizes).sum() <= 256 for a, _ in patterns)
+    a = rng.random((120, 120))
+    assert np.abs((invert(a)[:, :, None] * a[None]).sum(axis=1) - np.eye(120)).max() < 1e-8
+
+
+def test_pack_query_against_a_plain_encoding(spark, tmp_path):
+    texts = [(1, "The river, the STONE and the river."), (2, None), (3, "word " * 5000), (4, "l'\u00e9t\u00e9 2048 \U0001f600 " * 700), (5, "The river, the STONE and the river.")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    tokenizer = packing.WordEncoder(packing.tokenizer_path()).tokenizer
+    want = {d: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for d, t in texts}
+    got, held = queries.op8(spark, str(tmp_path)).collect(), defaultdict(list)
+    for r in got:
+        ids = want[r["doc_id"]][r["start"]:r["start"] + r["length"]]
+        assert len(ids) == r["length"] and r["doc_tokens"] == len(want[r["doc_id"]]) and r["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
+        held[r["sequence_id"]].append((r["offset"], r["offset"] + r["length"]))
+    assert sum(r["length"] for r in got) == sum(map(len, want.values()))
+    for spans in held.values():
+        spans.sort()
+        assert spans[0][0] == 0 and spans[-1][1] <= 2048 and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+
+
 # ---- 9 WARC
 
 def record(payload, kind="response", page=1):
