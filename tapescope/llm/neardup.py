@@ -8,14 +8,16 @@ between two documents with the probability of their Jaccard similarity.  Bands o
 seven registers make keys; at a similarity of 0.8 a pair shares none of the 73
 keys with a probability of 4e-8.
 
-Documents with equal sets are one node.  Nodes that share a key are compared in
-rounds: with the first node of the key, then, where a key still holds nodes of
-several groups, with more and more of its other nodes until none is left, so no
-link is lost to a cap and a large group of copies costs one comparison a member.
-A comparison first estimates the similarity from the registers, or in the later
-rounds from one bit of each, corrected for chance collisions and with a margin of
-seven standard deviations; what passes is checked on the full sets.  Groups are connected components, found by large-star
-and small-star rounds over written tables.
+Documents with equal sets are one node.  Nodes that share keys, directly or
+through others, are a family.  The full sets of a family travel to one task, a
+large family to several: its nodes are dealt into blocks of bounded size, twice,
+and then every two blocks that a key with unlike groups spans meet in one task.
+Inside a task a node is compared with the nodes of other groups: first by
+registers, corrected for chance collisions and with a margin of seven standard
+deviations, then what passes on the full sets.  A verified link joins two groups,
+and pairs inside a group are skipped, so only links of a spanning forest leave
+the task and no row stands for a pair.  Groups are connected components, found by
+large-star and small-star rounds over written tables.
 
 Defined cases: a document without words has no shingles and is alone; one with
 fewer words than a shingle has its whole sequence as one; rows that repeat a
@@ -27,12 +29,13 @@ other columns are not looked at.
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache, reduce
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapescope.llm.common import map_batches, written
@@ -42,8 +45,8 @@ BUCKETS = 1 << BUCKET_BITS
 BANDS = BUCKETS // ROWS_PER_BAND
 #: Chance that two different minima fall on the same register: equal zeros (about 1/3) and equal mantissa.
 COLLISION = 1 / (3 << MANTISSA_BITS)
-#: Nodes of a key that are compared with the others in its first round, and by how much their number grows.
-FIRST_LEADERS, LEADER_GROWTH = 1, 4
+#: Sets one block holds, and their shingles together (a sketch counts as 128); a task holds one block, or two.
+BLOCK_NODES, BLOCK_WEIGHT = 2048, 2_000_000
 _U = np.uint64
 
 
@@ -118,120 +121,139 @@ def estimated(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a == b).mean(axis=1) - COLLISION) / (1 - COLLISION)
 
 
-def margin(n: np.ndarray, threshold: float, deviations: float = 7, flips: float = 0) -> np.ndarray:
+def margin(n: np.ndarray, threshold: float, deviations: float = 7) -> np.ndarray:
     """Deviations of an estimate at ``threshold`` for sets of at least ``n`` shingles.
 
     Filled buckets sample the union without replacement, borrowed registers
-    weigh them at random, ``flips`` is the variance of one-bit comparisons.
-    Small sets, for which this is no guide, get 1.
+    weigh them at random.  Small sets, for which this is no guide, get 1.
     """
     spread = threshold * (1 - threshold)
     filled = np.maximum(BUCKETS * -np.expm1(n * np.log1p(-1 / BUCKETS)), 1)
-    variance = spread * np.maximum(1 - filled * threshold / np.maximum(n, 1), 0) / filled + spread * (BUCKETS - filled) / BUCKETS**2 + flips
+    variance = spread * np.maximum(1 - filled * threshold / np.maximum(n, 1), 0) / filled + spread * (BUCKETS - filled) / BUCKETS**2
     return np.where(n < 64, 1.0, deviations * np.sqrt(variance))
 
 
-def bits(regs: np.ndarray) -> np.ndarray:
-    """One bit of every register, as eight 64-bit numbers."""
-    mixed = (regs.astype(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(31)
-    return np.packbits(mixed.astype(np.uint8)).view(np.int64)
+def similar(own: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the sorted non-empty sets ``others`` are linked with the sorted set ``own``."""
+    sizes = np.fromiter(map(len, others), np.int64, len(others))
+    every = np.concatenate(others)
+    at = np.searchsorted(own, every)
+    shared = np.add.reduceat((own[np.minimum(at, len(own) - 1)] == every).astype(np.int64), np.cumsum(sizes) - sizes)
+    return 100 * shared >= percent * (len(own) + sizes - shared)
 
 
-def most_flips(n: int, threshold: float) -> int:
-    """Differing bits that a pair at ``threshold`` stays under: half of the differing registers flip."""
-    return int(BUCKETS / 2 * (1 - threshold + margin(np.array(n), threshold, 7, (1 - threshold) / BUCKETS)))
+def spanning(groups: np.ndarray, sets: list[np.ndarray], regs: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links (places of two sets) that join all groups which any link joins.
+
+    Every pair of sets in different groups is compared, until its groups are one.
+    """
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    root, found = np.unique(groups, return_inverse=True)[1], []
+    for v in range(1, len(sets)):
+        left = np.flatnonzero((root[:v] != root[v]) & (100 * np.minimum(n[:v], n[v]) >= percent * np.maximum(n[:v], n[v])))
+        step = 16
+        while len(left):
+            some, left = left[-step:], left[:-step]
+            some = some[estimated(regs[some], regs[v]) >= percent / 100 - margin(np.minimum(n[some], n[v]), percent / 100)]
+            if len(some):
+                for u in some[similar(sets[v], [sets[u] for u in some], percent)]:
+                    if root[u] != root[v]:
+                        found.append((int(u), v))
+                        root[root == root[u]] = root[v]
+                left = left[root[left] != root[v]]
+            step *= 4
+    return found
 
 
 # ---- Spark
 
-def _sketches(docs: DataFrame, size: int, threshold: float) -> DataFrame:
-    """doc_id, n, h1, h2 (identity of the set), regs, flips (its bits and how many may differ)."""
+def _sketches(docs: DataFrame, size: int, carry: list[str]) -> DataFrame:
+    """The columns ``carry``, x (hash of the text), n, h1, h2 (identity of the set), regs."""
+    kept = docs.select(*carry, F.xxhash64(F.col("text").cast("string")).alias("x"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", n long, h1 long, h2 long, regs binary"
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts, h1, h2, regs, flips = [], [], [], [], []
-        for text in batch.column(1):
+        counts, identity, regs = [], [], []
+        for text in batch.column(batch.num_columns - 1):
             s = shingle_set(text.as_py(), size)
             counts.append(len(s))
-            identity = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
-            h1.append(int(identity[0]))
-            h2.append(int(identity[1]))
-            own = registers(s) if len(s) else None
-            regs.append(own.tobytes() if len(s) else None)
-            flips.append([*bits(own).tolist(), most_flips(len(s), threshold)] if len(s) else None)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()),
-                                           pa.array(regs, pa.binary()), pa.array(flips, pa.list_(pa.int64()))], names=["doc_id", "n", "h1", "h2", "regs", "flips"])
+            identity.append(_identity(s))
+            regs.append(registers(s).tobytes() if len(s) else None)
+        more = [pa.array(counts, pa.int64()), *(pa.array([i[k] for i in identity], pa.int64()) for k in (0, 1)), pa.array(regs, pa.binary())]
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], names=[*batch.schema.names[:-1], "n", "h1", "h2", "regs"])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run,
-                       "doc_id long, n long, h1 long, h2 long, regs binary, flips array<long>")
+    return map_batches(docs.select(*carry, F.xxhash64(F.col("text").cast("string")).alias("x"), F.col("text").cast("string").alias("_text")), run, schema)
+
+
+def _identity(s: np.ndarray) -> tuple[int, int]:
+    h = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
+    return int(h[0]), int(h[1])
 
 
 def _band_rows(nodes: DataFrame) -> DataFrame:
-    """(key, node, n): one row for each band of each node."""
+    """(key, node): one row for each band of each node."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         if not batch.num_rows:
             return None
-        regs = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, BUCKETS)
-        repeat = lambda i: pa.array(np.repeat(batch.column(i).to_numpy(zero_copy_only=False), BANDS), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(band_keys(regs).reshape(-1), pa.int64()), repeat(0), repeat(1)], names=["key", "node", "n"])
-
-    return map_batches(nodes.select("node", "n", "regs"), run, "key long, node long, n long")
-
-
-class _Checker:
-    """Compares pairs of nodes: by sketch, then on full sets."""
-
-    def __init__(self, docs: DataFrame, nodes: DataFrame, size: int, percent: int):
-        self.docs, self.nodes, self.size, self.percent = docs, nodes, size, percent
-
-    def _sets(self, needed: DataFrame) -> DataFrame:
-        """(node, s) of the nodes in ``needed``, from their texts."""
-        size = self.size
-        wanted = self.nodes.join(needed.distinct(), "node").select("node", "h1", "h2", F.col("doc_id").alias("_id"))
-        texts = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        texts = texts.join(wanted.select("_id").distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [shingle_set(t.as_py(), size) for t in batch.column(1)]
-            ids = [np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) for s in sets]
-            return pa.RecordBatch.from_arrays([pa.array([int(i[k]) for i in ids], pa.int64()) for k in (0, 1)] + [pa.array([s.tobytes() for s in sets], pa.binary())],
-                                              names=["h1", "h2", "s"])
-
-        found = map_batches(texts, run, "h1 long, h2 long, s binary")
-        return wanted.join(found, ["h1", "h2"]).groupBy("node").agg(F.first("s").alias("s"))
-
-    def likely(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose sketches do not rule a link out."""
-        percent = self.percent
-        regs = self.nodes.select("node", "n", "regs")
-        both = pairs.join(regs.toDF("b", "nb", "rb"), "b").join(regs.toDF("a", "na", "ra"), "a")
-        both = both.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
-
-        def by_sketch(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            if not batch.num_rows:
-                return None
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, BUCKETS) for i in (2, 3))
-            least = np.minimum(batch.column(4).to_numpy(), batch.column(5).to_numpy())
-            keep = estimated(a, b) >= percent / 100 - margin(least, percent / 100)
-            return batch.select([0, 1]).filter(pa.array(keep))
-
-        return written(map_batches(both.select("a", "b", "ra", "rb", "na", "nb"), by_sketch, "a long, b long"), "likely")
-
-    def linked(self, likely: DataFrame) -> DataFrame:
-        """The pairs (a, b) of nodes whose full sets are similar enough."""
-        percent = self.percent
-        sets = written(self._sets(likely.select(F.col("a").alias("node")).union(likely.select("b"))), "sets")
-
-        def on_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                a, b = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                small, large = (a, b) if len(a) <= len(b) else (b, a)
-                at = np.searchsorted(large, small)
-                shared = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-                keep.append(100 * shared >= percent * (len(a) + len(b) - shared))
-            return batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-        with_sets = likely.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a").select("a", "b", "sa", "sb")
-        return map_batches(with_sets, on_sets, "a long, b long")
+        regs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, BUCKETS)
+        node = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS)
+        return pa.RecordBatch.from_arrays([pa.array(band_keys(regs).reshape(-1), pa.int64()), pa.array(node, pa.int64())], names=["key", "node"])
+
+    return map_batches(nodes.select("node", "regs"), run, "key long, node long")
+
+
+def _with_sets(docs: DataFrame, id_column: str, wanted: DataFrame, size: int) -> DataFrame:
+    """``wanted`` (at, x, h1, h2, ..) with ``s``, the set of the text that has this id and hash."""
+    texts = docs.select(F.col(id_column).alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_x"), F.col("text").cast("string").alias("_text"))
+    both = wanted.join(texts, (F.col("x") == F.col("_x")) & F.col("at").eqNullSafe(F.col("_id")))
+    names = [c for c in wanted.columns if c not in ("at", "x", "h1", "h2")]
+    schema = ", ".join(f"{c} {wanted.schema[c].dataType.simpleString()}" for c in names) + ", s binary"
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_set(t.as_py(), size) for t in batch.column(2)]
+        right = [_identity(s) == (h1, h2) for s, h1, h2 in zip(sets, batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        out = pa.RecordBatch.from_arrays([*batch.columns[3:], pa.array([s.tobytes() for s in sets], pa.binary())], names=[*names, "s"])
+        return out.filter(pa.array(right, pa.bool_()))
+
+    return map_batches(both.select("h1", "h2", "_text", *names), run, schema)
+
+
+def _compare(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """Links (a, b) inside the tasks that ``keys`` name; rows have node, label, regs and s."""
+    rows = rows.select(*keys, "node", "label", "regs", "s").repartition(*keys).sortWithinPartitions(*keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches, len(keys)):
+            node, first = np.unique(block.column("node").to_numpy(), return_index=True)  # a text may stand in several rows
+            if len(node) < 2:
+                continue
+            block = block.take(pa.array(first))
+            sets = [np.frombuffer(v.as_buffer(), _U) for v in block.column("s")]
+            regs = np.frombuffer(b"".join(block.column("regs").to_pylist()), np.uint16).reshape(-1, BUCKETS)
+            links = spanning(block.column("label").to_numpy(), sets, regs, percent)
+            if links:
+                a, b = np.array(links).T
+                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
+    """Rows of one key after the other; the batches come in the order of their keys."""
+    held, current = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(n_keys)])
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]
+        for a, b in zip(cuts, cuts[1:]):
+            if held and tuple(keys[a]) != current:
+                yield pa.Table.from_batches(held)
+                held = []
+            current = tuple(keys[a])
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -257,68 +279,91 @@ def merged(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
     """``labels`` (node, root) after new edges: only components they touch are linked anew."""
     if labels is None:
         return written(components(edges), "labels")
-    between = _labelled(_labelled(edges, labels, "a"), labels, "b").select(F.col("l_a").alias("a"), F.col("l_b").alias("b"))
+    if edges.isEmpty():
+        return labels
+    between = _labelled(_labelled(edges, labels, "a").withColumnRenamed("label", "_a"), labels, "b").select(F.col("_a").alias("a"), F.col("label").alias("b"))
     new = written(components(between), "joined")
     old = labels.join(new.toDF("root", "_to"), "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
     return written(old.union(new.join(labels, "node", "left_anti").select("node", "root")), "labels")
 
 
-def _labelled(rows: DataFrame, labels: DataFrame, column: str) -> DataFrame:
-    """``rows`` with ``l_column``, the component of the node in ``column``."""
-    own = labels.toDF(column, f"l_{column}")
-    return rows.join(own, column, "left").withColumn(f"l_{column}", F.coalesce(f"l_{column}", column))
+#: Rows that share a key of many parts look their number up under this many salts.
+SALTS = 16
 
 
-def _differing(a: str, b: str) -> Column:
-    """Number of bits in which two sketches differ."""
-    return reduce(lambda x, y: x + y, [F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(8)])
+def _in_parts(rows: DataFrame, key: str, limits: tuple[int, int]) -> DataFrame:
+    """``rows`` (node, n, ..) with ``parts``: over how many blocks the rows of their key have to be dealt."""
+    nodes, weight = limits
+    sums = rows.groupBy(key).agg(F.greatest(F.ceil(F.count(F.lit(1)) / nodes), F.ceil(F.sum(F.col("n") + 128) / weight)).cast("long").alias("parts"))
+    large = written(sums.where("parts > 1"), "large")
+    if large.isEmpty():
+        return rows.withColumn("parts", F.lit(1).cast("long"))
+    large = large.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    return salted.join(large, [key, "_salt"], "left").drop("_salt").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
 
 
-def grouped(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
-
-    Two documents are linked when 100 * intersection >= percent * union of their
-    sets of ``shingle``-word shingles.
-    """
-    sketches = written(_sketches(docs, shingle, percent / 100), "sketches")
-    nodes = written(sketches.where("n > 0").groupBy("h1", "h2").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("flips").alias("flips")).withColumn("node", F.monotonically_increasing_id()), "nodes")
-    checker = _Checker(docs, nodes, shingle, percent)
+def labelled(docs: DataFrame, shingle: int, percent: int, id_column: str, carry: list[str], limits: tuple[int, int] = (BLOCK_NODES, BLOCK_WEIGHT)) -> DataFrame:
+    """The columns ``carry`` of every row of ``docs``, with n (size of its set) and ``group`` (null for an empty set)."""
+    sketches = written(_sketches(docs, shingle, carry), "sketches")
+    nodes = written(sketches.where("n > 0").groupBy("h1", "h2").agg(F.min(F.struct(F.col(id_column).alias("at"), "x")).alias("_at"), F.first("n").alias("n"), F.first("regs").alias("regs")).select(
+        F.monotonically_increasing_id().alias("node"), "h1", "h2", "n", "regs", "_at.*"), "nodes")
 
-    # nodes of keys that several nodes share; n takes part so that hopeless sizes go early
+    # families: nodes that share keys
     bands = _band_rows(nodes)
     shared = bands.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "leader")
     members = written(bands.join(shared, "key"), "members")
-    tested = written(members.where("node <> leader").groupBy("node").agg(F.min("leader").alias("a")).select("a", F.col("node").alias("b")), "tested")
-    labels = merged(None, written(checker.linked(checker.likely(tested)), "edges"))
+    family = components(members.select(F.col("leader").alias("a"), F.col("node").alias("b"))).toDF("node", "family")
+    placed = written(_in_parts(family.join(nodes.select("node", "n"), "node"), "family", limits).withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts"))), "placed")
+
+    def compared(rows: DataFrame, keys: list[str]) -> DataFrame:
+        full = rows.join(nodes.select("node", "regs", "at", "x", "h1", "h2"), "node")
+        return written(_compare(_with_sets(docs, id_column, full, shingle), keys, percent), "links")
+
+    labels = merged(None, compared(placed.withColumn("label", F.col("node")), ["family", "block"]))
+    large = written(placed.where("parts > 1"), "large")
+    if not large.isEmpty():
+        # another deal joins most of what one group is, whatever block it fell into
+        again = _labelled(large, labels).withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")))
+        labels = merged(labels, compared(again, ["family", "block"]))
+        labels = merged(labels, _across(members, large, labels, compared, limits))
+
+    found = _labelled(nodes.select("node", "h1", "h2"), labels).select("h1", "h2", F.col("label").alias("group"))
+    return sketches.select(*carry, "n", "h1", "h2").join(found, ["h1", "h2"], "left").drop("h1", "h2")
+
+
+def _across(members: DataFrame, large: DataFrame, labels: DataFrame, compared, limits: tuple[int, int]) -> DataFrame:
+    """Links between blocks of the families in ``large``: every two blocks that a key with unlike groups spans."""
+    left = _labelled(members.select("key", "node").join(large.select("node", "n", "family", "parts"), "node"), labels)
+    mixed = left.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+    left = written(left.join(mixed, "key"), "left")
+    nodes = left.select("node", "n", "family", "label", F.col("parts").alias("of_family")).distinct()
+    # a group of more than a block has blocks of its own; the others share the blocks of their family
+    nodes = _in_parts(nodes, "label", limits).withColumn("block", F.when(F.col("parts") > 1, F.xxhash64("label", F.pmod(F.xxhash64("node"), F.col("parts")))).otherwise(
+        F.xxhash64("family", F.pmod(F.xxhash64("label"), F.col("of_family")), F.lit("shared"))))
+    nodes = written(nodes.select("node", "label", "block"), "blocks")
+    touched = written(left.select("key", "node").join(nodes, "node").groupBy("key", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi")), "touched")
+    other = touched.toDF("key", "block2", "lo2", "hi2")
+    meet = touched.join(other, "key").where("block <= block2 and least(lo, lo2) <> greatest(hi, hi2)").select("block", "block2").distinct()
+    meet = written(meet.withColumn("task", F.monotonically_increasing_id()), "meet")
+    tasks = meet.select("block", "task").union(meet.select("block2", "task")).distinct()
+    return compared(nodes.join(tasks, "block"), ["task"])
+
+
+def _labelled(rows: DataFrame, labels: DataFrame, column: str = "node") -> DataFrame:
+    """``rows`` with ``label``, the group of the node in ``column``."""
+    own = labels.toDF(column, "label")
+    return rows.join(own, column, "left").withColumn("label", F.coalesce("label", column))
+
+
+def grouped(docs: DataFrame, shingle: int = 5, percent: int = 80, limits: tuple[int, int] = (BLOCK_NODES, BLOCK_WEIGHT)) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
 
-    # keys whose nodes still belong to several groups: more and more of them are compared with the others
-    left, n_leaders = members.select("key", "node", "n"), FIRST_LEADERS
-    while True:
-        left = _labelled(left, labels, "node")
-        mixed = left.groupBy("key").agg(F.min("l_node").alias("x"), F.max("l_node").alias("y")).where("x <> y").select("key")
-        left = written(left.join(mixed, "key"), "left")
-        if left.isEmpty():
-            break
-        # the next leaders of each key; the limit is applied before and after the shuffle
-        signed = left.join(nodes.select("node", "flips"), "node")
-        place = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-        leaders = written(signed.withColumn("_place", place).where(F.col("_place") <= n_leaders).select(
-            "key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("l_node").alias("l_a"), F.col("flips").alias("fa")), "leaders")
-        again = signed.join(leaders, "key").where((F.col("a") < F.col("node")) & (F.col("l_a") != F.col("l_node")) & (
-            100 * F.least("n", "na") >= percent * F.greatest("n", "na")) & (_differing("flips", "fa") <= F.greatest(F.get("flips", F.lit(8)), F.get("fa", F.lit(8)))))
-        again = again.select("a", F.col("node").alias("b")).distinct()
-        again = written(again.join(tested, ["a", "b"], "left_anti"), "again")
-        edges = written(checker.linked(again), "edges")
-        if not edges.isEmpty():
-            labels = merged(labels, edges)
-        tested = tested.union(again)
-        left = left.join(leaders.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti").select("key", "node", "n")
-        n_leaders *= LEADER_GROWTH
-
-    joined = _labelled(nodes.select("node", "h1", "h2", "doc_id"), labels, "node")
-    least = joined.groupBy("l_node").agg(F.min("doc_id").alias("component_id"))
-    by_set = joined.join(least, "l_node").select("h1", "h2", "component_id")
-    out = sketches.select("doc_id", "n", "h1", "h2").join(by_set, ["h1", "h2"], "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    Two documents are linked when 100 * intersection >= percent * union of their
+    sets of ``shingle``-word shingles.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = written(labelled(docs, shingle, percent, "doc_id", ["doc_id"], limits), "found")
+    least = found.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("least"))
+    component = F.coalesce("least", "doc_id")
+    return found.join(least, "group", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))

@@ -190,6 +190,61 @@ def test_near_duplicates_against_brute_force(spark, k):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def family(n, seed=9):
+    """Altered copies of one text, a third of whose pairs are linked, and some small families."""
+    rnd = random.Random(seed)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(n):
+        words = list(base)
+        for _ in range(rnd.choice([2, 6, 10, 14, 30])):
+            words[rnd.randrange(len(words))] = f"x{rnd.randrange(40)}"
+        rows.append((i, " ".join(words)))
+    for f in range(20):
+        words = [f"f{f}_{j}" for j in range(60)]
+        for _ in range(3):
+            words[rnd.randrange(60)] = "odd"
+            rows.append((len(rows), " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("limits", [(2048, 2_000_000), (40, 2_000_000), (2048, 9_000)])
+def test_near_duplicates_of_a_large_family(spark, limits):
+    """The family in one block, and in many by number and by weight."""
+    ready(spark)
+    rows = family(240)
+    got = neardup.grouped(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2, percent=80, limits=limits).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_groups(rows, 2, 80)
+
+
+def test_links_of_a_task_are_a_spanning_forest():
+    """No more links than sets, whatever the number of pairs; groups joined before are not compared."""
+    sets = [neardup.shingle_set(t, 2) for _, t in family(300)]
+    regs = np.stack([neardup.registers(s) for s in sets])
+    found = neardup.spanning(np.arange(len(sets)), sets, regs, 80)
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))]
+    assert len(pairs) > 2000 > len(sets) > len(found)
+    assert neardup.spanning(np.zeros(len(sets)), sets, regs, 80) == []
+    assert all((a, b) in set(pairs) or (b, a) in set(pairs) for a, b in found)
+
+
+def test_banding_recall_at_the_threshold():
+    """Share of pairs at 0.8 to 0.85 that meet in a band and pass the estimate, over 3,000 pairs."""
+    rng, met, n = np.random.default_rng(8), 0, 0
+    for size in (40, 145, 600):
+        for _ in range(1000):
+            shared = int(np.ceil(2 * size * rng.uniform(0.8, 0.85) / (1 + 0.8)))
+            every = rng.integers(0, 2**63, 2 * size - shared, dtype=np.uint64)
+            a, b = np.sort(every[:size]), np.sort(every[size - shared:])
+            if 100 * shared < 80 * len(every):
+                continue
+            ra, rb = neardup.registers(a), neardup.registers(b)
+            keys = neardup.band_keys(np.stack([ra, rb]))
+            passed = neardup.estimated(ra[None], rb[None])[0] >= 0.8 - neardup.margin(np.array([size]), 0.8)[0]
+            met, n = met + bool(passed and (keys[0] == keys[1]).any()), n + 1
+    assert n > 2000 and met == n
+
+
 def test_sketch_estimates_similarity():
     rnd = np.random.default_rng(1)
     for n, shared in ((2000, 1800), (300, 200), (12, 11)):
