@@ -17,15 +17,14 @@ that repeat an id count once; repeated documents each get their own row.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapescope.llm.common import map_batches
+from tapescope.llm.common import map_batches, written
 
 #: Benchmark bytes in one block that tasks hold.
 BLOCK_BYTES = 32 << 20
@@ -100,12 +99,12 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _scanner(items: list[tuple[str | None, str | None]], window: int, last: bool) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+def _scanner(block, window: int, last: bool) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
     tables: list[list[Patterns]] = []
 
     def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not tables:
-            tables.append(compile_patterns(items, window))
+            tables.append(compile_patterns(block.value, window))
         got = batch.to_pydict()
         counts, hits, listed = [], [], []
         for text, old_hits, old_items in zip(got["text"], got["hits"], got["items"]):
@@ -128,41 +127,52 @@ def _scanner(items: list[tuple[str | None, str | None]], window: int, last: bool
     return scan
 
 
-def item_blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[str | None, str | None]]]:
-    """The benchmark in blocks of about ``block_bytes``, dealt by hash; each is collected by itself."""
+def item_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator:
+    """The benchmark in blocks of about ``block_bytes``, dealt by hash: broadcasts, made and held one at a time."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-2 * total // block_bytes) if total > block_bytes else 1
-    return [[tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()] for k in range(n)]
+    for k in range(n):
+        yield benchmark.sparkSession.sparkContext.broadcast([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()])
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: number of words, spans of words inside benchmark windows, ids of the items they come from.
 
     ``docs`` has doc_id and text, ``benchmark`` item_id and text; other columns
-    are not looked at.
+    are not looked at.  A benchmark of several blocks is searched block by block,
+    and what was found is written between them.
     """
-    blocks = item_blocks(benchmark, block_bytes)
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_words"),
                       F.array().cast("array<struct<start:int,end:int>>").alias("hits"), F.array().cast("array<string>").alias("items"),
                       F.col("text").cast("string").alias("text"))
-    for k, block in enumerate(blocks):
-        last = k == len(blocks) - 1
-        out = map_batches(out, _scanner(block, window, last), SCHEMA if last else SCHEMA + ", text string")
-    return out
-
-
-def is_hit(text: Column, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> Column:
-    """Whether a text holds a window of an item; rows stay where they are."""
-    def flag(items: list[tuple[str | None, str | None]]) -> Column:
-        tables: list[list[Patterns]] = []
-
-        @F.pandas_udf("boolean")
-        def holds(texts: pd.Series) -> pd.Series:
-            if not tables:
-                tables.append(compile_patterns(items, window))
-            return pd.Series([any(next(p.search(words), None) is not None for p in tables[0]) for words in map(words_of, texts)], dtype=bool)
+    held = None
+    for block in item_blocks(benchmark, block_bytes):
+        if held is not None:
+            out = written(map_batches(out, _scanner(held, window, False), SCHEMA + ", text string"), "hits")
+            held.unpersist()
+        held = block
+    return map_batches(out, _scanner(held, window, True), SCHEMA)
+
+
+def without_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` whose ``text`` holds no window of an item; block by block, as above."""
+    held = None
+    for block in item_blocks(benchmark, block_bytes):
+        if held is not None:
+            docs = written(docs.where(~_holds(held, window)(F.col("text").cast("string"))), "clean")
+            held.unpersist()
+        held = block
+    return docs.where(~_holds(held, window)(F.col("text").cast("string")))
+
+
+def _holds(block, window: int):
+    tables: list[list[Patterns]] = []
 
-        return holds(text.cast("string"))
+    @F.pandas_udf("boolean")
+    def holds(texts: pd.Series) -> pd.Series:
+        if not tables:
+            tables.append(compile_patterns(block.value, window))
+        return pd.Series([any(next(p.search(words), None) is not None for p in tables[0]) for words in map(words_of, texts)], dtype=bool)
 
-    return reduce(lambda a, b: a | b, [flag(block) for block in item_blocks(benchmark, block_bytes)])
+    return holds

@@ -46,7 +46,7 @@ BANDS = BUCKETS // ROWS_PER_BAND
 #: Chance that two different minima fall on the same register: equal zeros (about 1/3) and equal mantissa.
 COLLISION = 1 / (3 << MANTISSA_BITS)
 #: Sets one block holds, and their shingles together (a sketch counts as 128); a task holds one block, or two.
-BLOCK_NODES, BLOCK_WEIGHT = 2048, 2_000_000
+BLOCK_NODES, BLOCK_WEIGHT = 8192, 4_000_000
 _U = np.uint64
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapescope.llm import chat, decontam, neardup, packing, pii, quality, sharding, tokencount, toxicity, warc
+from tapescope.llm import attention, chat, decontam, fim, hardneg, neardup, packing, pii, quality, sharding, tokencount, toxicity, warc
 from tapescope.llm.common import ready, shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,9 +140,11 @@ WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
 n AS (SELECT *, len(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9\x09-\x0D\x20]')) + {marks} AS n,
              length(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '[', '&#91;'))
              + length(replace(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '[', '&#91;'), chr(10), '&#10;')) + {frame} AS chars FROM c),
-o AS (SELECT *, row_number() OVER w AS pos, sum(n) OVER (w ROWS UNBOUNDED PRECEDING) AS ends FROM n WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
-l AS (SELECT *, pos = 1 AND role = 'system' AND n <= {system} AS lead, ends - n AS starts, n > {half} AS long FROM o),
-f AS (SELECT *, NOT lead AND (pos = 1 OR lag(lead) OVER w OR long OR lag(long) OVER w OR starts // {half} != lag(starts) OVER w // {half}) AS fresh
+p AS (SELECT *, row_number() OVER w AS pos, sum(n) OVER (w ROWS UNBOUNDED PRECEDING) AS ends, first_value(role) OVER w AS r1, first_value(n) OVER w AS n1
+      FROM n WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+o AS (SELECT *, greatest(1, CAST(floor(({budget} - {history} - greatest({system}, CASE WHEN r1 = 'system' THEN n1 ELSE 0 END)) / 2) AS BIGINT)) AS half FROM p),
+l AS (SELECT *, pos = 1 AND role = 'system' AS lead, ends - n AS starts, n > half AS long FROM o),
+f AS (SELECT *, NOT lead AND (pos = 1 OR lag(lead) OVER w OR long OR lag(long) OVER w OR starts // half != lag(starts) OVER w // half) AS fresh
       FROM l WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
 s AS (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS span FROM f),
 e AS (SELECT *, max(span) OVER (PARTITION BY conv_id) AS spans, max(ends) OVER (PARTITION BY conv_id, span) AS span_ends FROM s)
@@ -152,7 +154,7 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        CAST(sum(chars * CASE WHEN lead THEN greatest(1, spans) WHEN span < spans AND span_ends - starts <= {history} THEN 2 ELSE 1 END) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
 """
-OP7_SQL = _OP7_SQL.format(marks=chat.MARKS, system=chat.SYSTEM, history=chat.HISTORY, half=(chat.BUDGET - chat.HISTORY - chat.SYSTEM) // 2,
+OP7_SQL = _OP7_SQL.format(marks=chat.MARKS, system=chat.SYSTEM, history=chat.HISTORY, budget=chat.BUDGET,
                           frame=len(chat.BEGIN) + 1 + len(chat.END))
 
 
@@ -218,3 +220,54 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
                                F.get(F.array(*map(F.lit, _INSERTS)), F.pmod(h(i, 2), F.lit(len(_INSERTS))).cast("int")).alias("insert")) for i in range(4)])
     out = tokencount.edited(trees.withColumn("edits", edits))
     return out.select("doc_id", "n_pretokens", "n_tokens", "n_tokens_after", "n_reencoded", F.length("text").cast("long").alias("chars_after"))
+
+
+@query("op11_attention")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return attention.score(table(spark, sf_dir, "documents").select("doc_id", "text", attention.held_out(F.col("doc_id")).alias("held_out")))
+
+
+OP12_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+           AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label AS anchor_label, b.vec_id, b.label, CAST(list_dot_product(CAST(a.e AS DOUBLE[]), CAST(b.e AS DOUBLE[])) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE label = anchor_label
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE label <> anchor_label AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 3
+"""
+
+
+@query("op12_hard_negatives", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), "embedding", (F.col("vec_id") % 50 == 0).alias("is_anchor"))
+    return hardneg.mine(rows)
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+           FROM documents),
+k AS (SELECT *, CAST(len(t) AS BIGINT) AS n, [CAST('0x' || substr(h, 8 * i + 1, 8) AS BIGINT) FOR i IN range(4)] AS h4 FROM d),
+c AS (SELECT *, CAST(least(h4[1] % (n + 1), h4[2] % (n + 1)) AS BIGINT) AS a, CAST(greatest(h4[1] % (n + 1), h4[2] % (n + 1)) AS BIGINT) AS b,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h4[3] % 100 >= 90 THEN 'plain'
+                  WHEN h4[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM k),
+s AS (SELECT *, array_to_string(list_slice(t, 1, a), '') AS prefix, array_to_string(list_slice(t, a + 1, b), '') AS middle, array_to_string(list_slice(t, b + 1, n), '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM s
+"""
+
+
+@query("op13_fill_in_middle", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    out = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))

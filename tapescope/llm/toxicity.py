@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -113,11 +114,13 @@ class Lexicon:
                 obfuscated / per, math.log1p(masked), stretched / per, total / len(hits) if hits else 0.0]
 
 
-_LEXICONS: dict[int, Lexicon] = {}
+_LEXICONS: dict[str | int, str | Lexicon] = {}
 
 
-def _features(lexicons: list[dict[str, float]], key: int):
+def _features(lexicons: list[dict[str, float]]):
     """A column function (text, number of the lexicon) -> features."""
+    key = uuid.uuid4().hex  # workers outlive a query: their lexicons are those of this very function
+
     @F.pandas_udf("array<double>")
     def compute(text: pd.Series, which: pd.Series) -> pd.Series:
         if _LEXICONS.get("key") != key:  # one model at a time in a worker
@@ -149,7 +152,7 @@ class Model:
         rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
         if self.trees is None:
             return rows.withColumn("score", F.lit(float(self.constant)))
-        compute = _features([self.weights], id(self))
+        compute = _features([self.weights])
         rows = rows.withColumn("features", array_to_vector(compute(F.col("row.text").cast("string"), F.lit(0))))
         return _calibrated(self.trees.transform(rows), self.calibration).select("row", "score")
 
@@ -224,7 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
         F.desc(F.log(rate / base) * F.sqrt(t)), "unit").limit(LEXICON_UNITS).collect()
     weights = _weights(leaning, base)
     by_fold = [_weights(leaning, base, without=f) for f in range(1, FOLDS)]
-    compute = _features(by_fold, id(weights))
+    compute = _features(by_fold)
     rows = written(sample.select("fold", F.col("toxic").cast("double").alias("label"), compute("text", F.col("fold") - 1).alias("f")).coalesce(4), "toxicity-features")
     rows = rows.withColumn("features", array_to_vector("f")).select("fold", "label", "features")
     trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=20, maxDepth=3, stepSize=0.2, seed=11, minInstancesPerNode=3).fit(rows.where(F.col("fold") < FOLDS - 1))
