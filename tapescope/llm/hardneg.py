@@ -37,7 +37,7 @@ from tapescope.llm.common import map_batches, shared_path, written
 
 SCALE, CLAMP, PLANES, ROUNDS = 256, 1 << 24, 7, 3
 #: Anchors of one block, and rows and anchors that are compared at a time.
-ANCHORS, TILE_ROWS, TILE_ANCHORS = 4096, 2048, 512
+ANCHORS, TILE_ROWS, TILE_ANCHORS = 4096, 512, 256
 _NONE = np.iinfo(np.int64).min
 
 
@@ -96,36 +96,43 @@ class Anchors:
         rounding = np.abs(turned - low[:, None] - step[:, None] * level).sum(axis=1) / np.sqrt(turned.shape[1])
         return cls(row, vec_id, label, ints, planes, low, step, level.sum(axis=1), np.sqrt((turned**2).sum(axis=1)), rounding)
 
-    def slice(self, a: int, b: int) -> Anchors:
-        return Anchors(**{name: value[a:b] for name, value in vars(self).items()})
+    def take(self, which) -> Anchors:
+        return Anchors(**{name: value[which] for name, value in vars(self).items()})
 
 
 def intervals(code: np.ndarray, norm: np.ndarray, align: np.ndarray, anchors: Anchors) -> tuple[np.ndarray, np.ndarray]:
-    """(lowest, highest) possible score of every row (down) with every anchor (across)."""
-    width = 64 * code.shape[1]
-    picked = np.zeros((len(code), len(anchors.row)), np.int64)
+    """(lowest, highest) possible score of every row (down) with every anchor (across).
+
+    Single precision, with room for its rounding on both sides.
+    """
+    width, f32 = 64 * code.shape[1], np.float32
+    picked = np.zeros((len(code), len(anchors.row)), np.uint16 if width <= 512 else np.uint32)
     for p in range(PLANES):
         for w in range(code.shape[1]):
-            picked += np.bitwise_count(code[:, w, None] & anchors.planes[None, :, p, w]).astype(np.int64) << p
+            picked += np.bitwise_count(code[:, w, None] & anchors.planes[None, :, p, w]).astype(picked.dtype) << p
     ones = np.bitwise_count(code).sum(axis=1, dtype=np.int64)
-    along = (anchors.low * (2 * ones - width)[:, None] + anchors.step * (2 * picked - anchors.total)) / np.sqrt(width)
-    least = np.maximum(np.abs(along) - anchors.rounding, 0)
-    rest = np.sqrt(np.maximum(1 - align**2, 0))[:, None] * np.sqrt(np.maximum(anchors.norm**2 - least**2, 0))
-    middle, half = align[:, None] * along, align[:, None] * anchors.rounding + rest
-    slack = 1e-9 * norm[:, None] * anchors.norm + 1e-6
-    return norm[:, None] * (middle - half) - slack, norm[:, None] * (middle + half) + slack
+    root = np.sqrt(width)
+    along = picked * (2 * anchors.step / root).astype(f32)
+    along += (2 * ones - width).astype(f32)[:, None] * (anchors.low / root).astype(f32) - (anchors.step * anchors.total / root).astype(f32)
+    rest = np.maximum(np.abs(along) - anchors.rounding.astype(f32), 0)
+    rest = np.sqrt(np.maximum((anchors.norm**2).astype(f32) - rest * rest, 0))
+    rest *= np.sqrt(np.maximum(1 - align**2, 0)).astype(f32)[:, None]
+    rest += align.astype(f32)[:, None] * anchors.rounding.astype(f32) + f32(1e-3) * anchors.norm.astype(f32)
+    along *= align.astype(f32)[:, None]
+    scale = norm.astype(f32)[:, None]
+    return scale * (along - rest) - 1, scale * (along + rest) + 1
 
 
 def scored(rows: np.ndarray, anchors: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Whole-number scores where ``wanted``, else the smallest integer."""
+    most = int(np.abs(rows).max(initial=0)) * int(np.abs(anchors).max(initial=0)) * rows.shape[1]
+    n = np.count_nonzero(wanted)
+    if most < 1 << 53 and 8 * n > wanted.size:  # many survive: sums of whole numbers this small are exact as floating-point numbers
+        kind = np.float32 if most < 1 << 24 else np.float64
+        return np.where(wanted, (rows.astype(kind) @ anchors.astype(kind).T).astype(np.int64), _NONE)
     out = np.full(wanted.shape, _NONE)
     r, a = np.nonzero(wanted)
-    exact = int(np.abs(rows).max(initial=0)) * int(np.abs(anchors).max(initial=0)) * rows.shape[1] < 1 << 53
-    if exact and 8 * len(r) > wanted.size:  # most survive: sums of whole numbers below 2^53 are exact as doubles
-        every = (rows.astype(float) @ anchors.astype(float).T).astype(np.int64)
-        out[r, a] = every[r, a]
-        return out
-    for at in range(0, len(r), 65536):
+    for at in range(0, n, 65536):
         x, y = r[at:at + 65536], a[at:at + 65536]
         out[x, y] = (rows[x] * anchors[y]).sum(axis=1)
     return out
@@ -138,6 +145,8 @@ class Best:
         self.k, self.rows, self.floor = k, np.empty((0, 4), np.int64), np.full(n, _NONE + 1)
 
     def add(self, key: np.ndarray, score: np.ndarray, vec_id: np.ndarray, row: np.ndarray) -> None:
+        better = score >= self.floor[key]
+        key, score, vec_id, row = key[better], score[better], vec_id[better], row[better]
         if not len(key):
             return
         every = np.vstack([self.rows, np.column_stack([key, score, vec_id, row])])
@@ -196,18 +205,20 @@ def _nearest(rows: DataFrame, shared, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = shared.value
         best = Best(len(anchors.row), k)
+        by_label = {int(x): np.flatnonzero(anchors.label == x) for x in np.unique(anchors.label)}
         for row, vec_id, label, ints, code, norm, align in _tiles(batches):
-            for at in range(0, len(anchors.row), TILE_ANCHORS):
-                some = anchors.slice(at, at + TILE_ANCHORS)
-                mine = (label[:, None] == some.label) & (row[:, None] != some.row)
-                low, high = intervals(code, norm, align, some)
-                floor = best.floor[at:at + TILE_ANCHORS].astype(float)
-                if len(row) >= k:  # k rows are certain to reach this
-                    sure = np.partition(np.where(mine, low, -np.inf), len(row) - k, axis=0)[len(row) - k]
-                    floor = np.maximum(floor, sure)
-                score = scored(ints, some.ints, mine & (high >= floor))
-                r, a = np.nonzero((score > _NONE) & (score >= best.floor[at:at + TILE_ANCHORS]))
-                best.add(at + a, score[r, a], vec_id[r], row[r])
+            for x in np.unique(label):
+                mine, own = np.flatnonzero(label == x), by_label.get(int(x), ())
+                for at in range(0, len(own), TILE_ANCHORS):
+                    of = own[at:at + TILE_ANCHORS]
+                    some, other = anchors.take(of), row[mine][:, None] != anchors.row[of]
+                    low, high = intervals(code[mine], norm[mine], align[mine], some)
+                    floor = best.floor[of].astype(float)
+                    if len(mine) > k:  # k rows are certain to reach this
+                        floor = np.maximum(floor, np.partition(np.where(other, low, -np.inf), len(mine) - k, axis=0)[len(mine) - k])
+                    score = scored(ints[mine], some.ints, other & (high >= floor))
+                    r, a = np.nonzero(score >= best.floor[of])
+                    best.add(of[a], score[r, a], vec_id[mine][r], row[mine][r])
         yield _batch(best.rows, ["anchor", "score", "vec_id", "row"])
 
     return rows.mapInArrow(run, "anchor long, score long, vec_id long, row long")
@@ -223,23 +234,27 @@ def _between(rows: DataFrame, shared, positives, k: int, low_percent: int, high_
         anchors, (of, score_of) = shared.value, positives.value
         low_of, high_of = -(-low_percent * score_of // 100), high_percent * score_of // 100  # whole scores s with low <= 100 s <= high
         best = Best(len(of), k)
+        # the places of an anchor's positives stand together
+        first = np.searchsorted(of, np.arange(len(anchors.row) + 1))
+        each = int(np.diff(first).max(initial=0))
         for row, vec_id, label, ints, code, norm, align in _tiles(batches):
+            floor = np.maximum(low_of, best.floor)
+            asked = floor <= high_of
+            least, most = np.full(len(anchors.row), np.inf), np.full(len(anchors.row), -np.inf)
+            np.minimum.at(least, of[asked], floor[asked])
+            np.maximum.at(most, of[asked], high_of[asked])
             for at in range(0, len(anchors.row), TILE_ANCHORS):
-                some = anchors.slice(at, at + TILE_ANCHORS)
-                asked = np.flatnonzero((of >= at) & (of < at + TILE_ANCHORS) & (low_of <= high_of))
-                floor = np.maximum(low_of, best.floor)[asked]
-                least, most = np.full(len(some.row), np.inf), np.full(len(some.row), -np.inf)
-                np.minimum.at(least, of[asked] - at, floor)
-                np.maximum.at(most, of[asked] - at, high_of[asked])
+                part = slice(at, at + TILE_ANCHORS)
+                some = anchors.take(part)
                 low, high = intervals(code, norm, align, some)
-                score = scored(ints, some.ints, (label[:, None] != some.label) & (high >= least) & (low <= most))
-                for p in asked:
-                    column = score[:, of[p] - at]
-                    r = np.flatnonzero((column >= max(low_of[p], best.floor[p])) & (column <= high_of[p]) & (column > _NONE))
-                    if len(r) > k:  # ties of the last one that counts stay
-                        r = r[column[r] >= np.partition(column[r], len(r) - k)[len(r) - k]]
-                    if len(r):
-                        best.add(np.full(len(r), p), column[r], vec_id[r], row[r])
+                score = scored(ints, some.ints, (label[:, None] != some.label) & (high >= least[part]) & (low <= most[part]))
+                r, a = np.nonzero((score >= least[part]) & (score <= most[part]))
+                s, a = score[r, a], a + at
+                for j in range(each):
+                    place = first[a] + j
+                    fits = np.flatnonzero(place < first[a + 1])
+                    fits = fits[(s[fits] >= floor[place[fits]]) & (s[fits] <= high_of[place[fits]])]
+                    best.add(place[fits], s[fits], vec_id[r[fits]], row[r[fits]])
         yield _batch(best.rows, ["place", "score", "vec_id", "row"])
 
     return rows.mapInArrow(run, "place long, score long, vec_id long, row long")
