@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapescope.llm import decontam, neardup, packing, pii, toxicity
-from tapescope.llm.common import ready, shared_path, table
+from tapescope.llm.common import ready, shared_path, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,25 +32,33 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of five-word-shingle similarity 0.8 or more: that of the smallest id.
+    """One row of each group of five-word-shingle similarity 0.8 or more: that of the smallest id.
 
-    Of rows that repeat an id and a text, one stays; an id goes if none of its rows stays.
+    A row is known by all its columns (two 64-bit hashes of them), not by its id, so rows without an id and different
+    rows of one id are told apart: rows with an id come first, then the smaller hashes.  Of rows that are equal in
+    every column one stays.  Rows without words are in no group and stay.
     """
     ready(spark)
-    groups = neardup.grouped(docs, shingle=5, percent=80).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"))
-    dropped = groups.where("not kept").select(F.col("doc_id").alias("_gone"))
-    kept = docs.join(dropped, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    again = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("_again"))
-    if again.isEmpty():
-        return kept
-    repeated = kept.join(again, F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(again, F.col("doc_id") == F.col("_again"), "left_anti").unionByName(repeated)
+    hashed = lambda k: F.xxhash64(F.lit(k), *[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), hashed(1).alias("_k1"), hashed(2).alias("_k2"))
+    groups = written(neardup.labelled(keyed, 5, 80, "doc_id", ["doc_id", "_k1", "_k2"]).where("group is not null"), "groups")
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_k1", "_k2")
+    first = groups.groupBy("group").agg(F.min(rank).alias("_first"))
+    stays = (F.col("_k1") == F.col("_first._k1")) & (F.col("_k2") == F.col("_first._k2"))
+    judged = groups.join(first, "group").groupBy("_k1", "_k2").agg(F.max(stays).alias("_stays"), F.count(F.lit(1)).alias("_times"))
+    judged = written(judged.where("not _stays or _times > 1"), "judged")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), hashed(1).alias("_k1"), hashed(2).alias("_k2"))
+    kept = rows.join(judged, ["_k1", "_k2"], "left").where("_stays is null or _stays")
+    if judged.where("_stays").isEmpty():
+        return kept.select("_row.*")
+    repeated = kept.where("_stays").dropDuplicates(["_k1", "_k2"])
+    return kept.where("_stays is null").select("_row.*").unionByName(repeated.select("_row.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a ten-word window of a benchmark item."""
     ready(spark)
-    return docs.where(~decontam.is_hit(F.col("text"), table(spark, sf_dir, "benchmark"), window=10))
+    return decontam.without_hits(docs, table(spark, sf_dir, "benchmark"), window=10)
 
 
 def redact_identifiers(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,9 +68,9 @@ def redact_identifiers(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their ids, sequence and offset."""
+    """Pieces of all documents with their ids (little-endian unsigned 16 bit, which the vocabulary fits), sequence and offset."""
     ready(spark)
-    return packing.pack(packing.tokenize(docs))
+    return packing.pack(packing.tokenize(docs, width=2))
 
 
 STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_copies), ("decontamination", drop_contaminated), ("pii", redact_identifiers), ("packing", pack_sequences)]
