@@ -11,6 +11,7 @@ from tapescope.functions.stats import div
 from tapescope.operators import economics, markets, state
 from tapescope.operators.jumps import largest_price_jump
 from tapescope.operators.running import HOUR_MS, Track, running
+from tapescope.operators.scan import ranged
 from tapescope.operators.state import ORDER, is_buy, signed_tokens
 from tapescope.session import cut
 
@@ -71,25 +72,22 @@ def size_timing_screen(tape: DataFrame, winners: DataFrame, close: DataFrame, lo
         "s1": F.log1p("bn"), "s4": F.col("_low") / F.col("bn") * F.greatest(F.col("_hours") / F.col("bn"), F.lit(0.0)),
         "s5": F.greatest("_n0", "_n1") / F.col("bn")}).drop("_low", "_hours", "_n0", "_n1")
     order = ["cutoff", "market_id", "wallet"]
-    # pair rows are few next to trades, and each pass reads the written pairs
-    df = cut(df)
-    for c in ("s1", "s4", "s5"):
-        df = state.prior_zscore(df, [], order, F.col(c), f"z_{c}")
-    df = state.prior_zscore(df, ["wallet"], order, F.col("bn"), "z_s2")
+    df = state.prior_zscores(df, [], order, {f"z_{c}": F.col(c) for c in ("s1", "s4", "s5")})
+    df = state.prior_zscores(df, ["wallet"], order, {"z_s2": F.col("bn")})
     return df.select("market_id", "wallet", "bn", "n_buys", "cutoff", (F.col("z_s1") + F.col("z_s2") + F.col("z_s4") + F.col("z_s5")).alias("composite"))
 
 
 def select_until_target(pairs: DataFrame, target: Column | float) -> DataFrame:
     """Highest composites until their BUY trades reach the target."""
     down = pairs.withColumn("_o", -F.col("composite"))
-    cum = running(down, [], ["_o", "market_id", "wallet"], [Track("_taken", "sum", F.col("n_buys"))], 1)
+    cum = ranged(down, [], ["_o", "market_id", "wallet"], [Track("_taken", "sum", F.col("n_buys"))])
     return cum.where(F.col("_taken") < target).drop("_o", "_taken")
 
 
 def select_top_percent(pairs: DataFrame, percent: float) -> DataFrame:
     n = pairs.agg(F.greatest(F.lit(1), F.bround(F.count(F.lit(1)) * (percent / 100.0))).alias("_k"))
     down = pairs.withColumn("_o", -F.col("composite"))
-    ranked = running(down, [], ["_o", "market_id", "wallet"], [Track("_above", "sum", F.lit(1).cast("long"))], 1)
+    ranked = ranged(down, [], ["_o", "market_id", "wallet"], [Track("_above", "sum", F.lit(1).cast("long"))])
     return ranked.crossJoin(F.broadcast(n)).where(F.col("_above") < F.col("_k")).drop("_o", "_above", "_k")
 
 
@@ -302,13 +300,10 @@ def isolation_forest(features: DataFrame, n_trees: int = 100, sample: int = 256,
 
 
 def matched_threshold(scores: DataFrame, rate: float, order: str = "anomaly") -> DataFrame:
-    """One row: the k-th smallest BUY score, k = round(rate * n), at least 1.
-
-    The k-th value is found by counting in value order chunk by chunk, no global sort.
-    """
+    """One row: the k-th smallest BUY score, k = round(rate * n), at least 1."""
     buys = scores.where(is_buy()).select(F.col(order).alias("_s"), "seq")
     k = buys.agg(F.greatest(F.lit(1), F.bround(F.count(F.lit(1)) * rate)).alias("_k"))
-    ranked = running(buys.withColumn("_o", F.col("_s") * 1000.0), [], ["_o", "seq"], [Track("_rank", "sum", F.lit(1).cast("long"))], 1, inclusive=True)
+    ranked = ranged(buys, [], ["_s", "seq"], [Track("_rank", "sum", F.lit(1).cast("long"))], inclusive=True)
     return ranked.crossJoin(F.broadcast(k)).where("_rank = _k").select(F.col("_s").alias("threshold"))
 
 

@@ -126,14 +126,15 @@ def spread_bps(bids: Column, asks: Column) -> Column:
     return F.when(mid >= 1e-6, (best_ask - best_bid) / mid * 10_000.0)
 
 
-def book_metrics(books: DataFrame, price_bound: float | None = None) -> DataFrame:
-    """Depths (optionally bounded by price), imbalance and spread per snapshot."""
+def book_metrics(books: DataFrame, least_bid: float | None = None, most_ask: float | None = None) -> DataFrame:
+    """Depths (also of bids from ``least_bid`` up and asks up to ``most_ask``), imbalance and spread per snapshot."""
     bids, asks = F.col("bids"), F.col("asks")
     out = {"bid_depth": depth(bids), "ask_depth": depth(asks), "imbalance": imbalance(bids, asks),
            "spread_bps": spread_bps(bids, asks)}
-    if price_bound is not None:
-        out["bid_depth_bounded"] = depth(bids, lambda lv: lv["price"] >= price_bound)
-        out["ask_depth_bounded"] = depth(asks, lambda lv: lv["price"] <= price_bound)
+    if least_bid is not None:
+        out["bid_depth_bounded"] = depth(bids, lambda lv: lv["price"] >= least_bid)
+    if most_ask is not None:
+        out["ask_depth_bounded"] = depth(asks, lambda lv: lv["price"] <= most_ask)
     return books.withColumns(out)
 
 
@@ -176,7 +177,7 @@ def orderbook_imbalance(cfg: dict) -> Column:
     against_bid = (F.col("side") == "SELL") & (ratio > r)
     against_ask = (F.col("side") == "BUY") & (ratio < 1.0 / r)
     part = F.when(against_bid, F.least(F.lit(1.0), ratio / (2.0 * r))).when(
-        against_ask, F.least(F.lit(1.0), (1.0 / ratio) / (2.0 * r)))
+        against_ask, F.when(ratio > 0, F.least(F.lit(1.0), (1.0 / ratio) / (2.0 * r))).otherwise(1.0))  # no bids at all: as heavy as can be
     score = 0.6 * part + 0.4 * F.least(F.lit(1.0), F.col("notional_usdc") / 3000.0)
     fires = ((F.col("notional_usdc") >= d["min_notional"]) & F.col("bids").isNotNull()
              & (against_bid | against_ask))

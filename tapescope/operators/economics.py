@@ -9,7 +9,8 @@ from tapescope.functions import stats
 from tapescope.functions.stats import div
 from tapescope.operators.labels import buy_returns
 from tapescope.operators.quantiles import exact_quantiles, medians
-from tapescope.operators.running import Track, running
+from tapescope.operators.running import Track
+from tapescope.operators.scan import ranged
 from tapescope.operators.scoring import conf_columns, fired
 
 FLAG_KEY = ["market_id", "wallet", "timestamp_ms"]
@@ -105,7 +106,7 @@ def rank_sums(buys: DataFrame, by: list[str]) -> DataFrame:
     """
     hist = buys.groupBy(*by, "trade_return").agg(
         F.count_if("is_flagged").alias("_f"), F.count_if(~F.col("is_flagged")).alias("_u"))
-    below = running(hist, by, ["trade_return"], [Track("_ub", "sum", F.col("_u"))], 1)
+    below = ranged(hist, by, ["trade_return"], [Track("_ub", "sum", F.col("_u"))])
     t = (F.col("_f") + F.col("_u")).cast("double")
     agg = below.groupBy(*by).agg(
         F.sum(F.col("_f") * (F.col("_ub") + F.col("_u") / 2.0)).alias("mann_whitney_u"),

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from itertools import count
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,32 +84,49 @@ def edges_from_sizes(sizes: DataFrame, cfg: dict, keys: list[str], min_weight: f
     return edges if min_weight is None else filter_edges(edges, min_weight)
 
 
-def theta_graph(trades: DataFrame, cfg: dict, keys: list[str] = ["market_id"]) -> DataFrame:
-    """Pairwise graph: every two trades within the time window add to the edge.
-
-    The time band is cut into window-wide slots; a trade meets its own slot and
-    the one before, so the join is an equi-join on (keys, slot).
-    """
+def theta_graph(trades: DataFrame, cfg: dict, keys: list[str] = ["market_id"], block: int = PAIR_BLOCK) -> DataFrame:
+    """Pairwise graph: every two trades within the time window add to the edge."""
     c = cfg["clustering"]
     w = c["max_time_window"]
-    rows = trades.select(*keys, "wallet", "side", "outcome_index", "notional_usdc",
-                         F.floor(F.col("timestamp_ms") / 1000).alias("t")).withColumn("slot", F.floor(F.col("t") / w))
-    a = rows.select(*keys, F.explode(F.array("slot", F.col("slot") - 1)).alias("slot"), F.col("slot").alias("sa"),
-                    *[F.col(x).alias(f"{x}_a") for x in ("wallet", "side", "outcome_index", "notional_usdc", "t")])
-    b = rows.select(*keys, "slot", *[F.col(x).alias(f"{x}_b") for x in ("wallet", "side", "outcome_index", "notional_usdc", "t")])
     dt = F.abs(F.col("t_a") - F.col("t_b"))
-    # same slot: each unordered pair once by wallet order; neighbouring slots: once by slot order
-    once = F.when(F.col("sa") == F.col("slot"), F.col("wallet_a") < F.col("wallet_b")).otherwise(
-        F.col("wallet_a") != F.col("wallet_b"))
     size = F.least(F.sqrt(F.col("notional_usdc_a") * F.col("notional_usdc_b")) / c["size_normalizer"], F.lit(c["max_size_mult"]))
     weight = ((1.0 - dt / w) * size
               * F.when(F.col("side_a") == F.col("side_b"), c["same_direction_mult"]).otherwise(1.0)
               * F.when(F.col("outcome_index_a") != F.col("outcome_index_b"), c["cross_outcome_penalty"]).otherwise(1.0))
-    return (a.join(b, [*keys, "slot"]).where((dt <= w) & once)
+    return (band_pairs(trades, w, keys, block).where(dt <= w)
             .groupBy(*keys, F.least("wallet_a", "wallet_b").alias("src"), F.greatest("wallet_a", "wallet_b").alias("dst"))
             .agg(F.sum(weight).alias("weight")).where("weight > 0"))
 
 
+def band_pairs(trades: DataFrame, width_s: int, keys: list[str], block: int = PAIR_BLOCK) -> DataFrame:
+    """Pairs of trades of different wallets in the same or the next time slot, each once.
+
+    Time is cut into slots as wide as the band, so a trade meets its own slot and
+    the one before.  A busy slot is cut into groups of about ``block`` trades;
+    every two groups that meet are a join key of their own, so a busy hour of
+    one market is spread over as many tasks as it has pairs of groups.
+    """
+    cols = ["wallet", "side", "outcome_index", "notional_usdc", "t"]
+    rows = trades.select(*keys, "seq", "wallet", "side", "outcome_index", "notional_usdc", F.floor(F.col("timestamp_ms") / 1000).alias("t")).withColumn(
+        "slot", F.floor(F.col("t") / width_s))
+    counts = cut(rows.groupBy(*keys, "slot").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("_g")))
+    rows = rows.join(counts, [*keys, "slot"]).withColumn("_own", F.pmod(F.xxhash64("seq"), F.col("_g"))).drop("_g")
+    groups = lambda shift, name: counts.select(*keys, (F.col("slot") + shift).alias("cell"), F.col("_g").alias(name))
+    numbers = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    # in cell s stand the trades of s (b) and those of s and s + 1 (a)
+    a = rows.select(*keys, "slot", F.col("_own").alias("_ga"), *[F.col(x).alias(f"{x}_a") for x in cols]).withColumn("_ahead", F.explode(F.array(F.lit(0), F.lit(1))))
+    a = a.withColumn("cell", F.col("slot") - F.col("_ahead")).join(groups(0, "_n"), [*keys, "cell"]).withColumn("_gb", F.explode(numbers("_n"))).drop("_n", "slot")
+    b = rows.select(*keys, F.col("slot").alias("cell"), F.col("_own").alias("_gb"), *[F.col(x).alias(f"{x}_b") for x in cols])
+    b = b.join(groups(0, "_n0"), [*keys, "cell"]).join(groups(-1, "_n1"), [*keys, "cell"], "left")
+    there = F.concat(F.transform(numbers("_n0"), lambda g: F.struct(F.lit(0).alias("_ahead"), g.alias("_ga"))),
+                     F.when(F.col("_n1").isNotNull(), F.transform(numbers("_n1"), lambda g: F.struct(F.lit(1).alias("_ahead"), g.alias("_ga")))).otherwise(
+                         F.array().cast("array<struct<_ahead:int,_ga:bigint>>")))
+    b = b.withColumn("_at", F.explode(there)).select(*keys, "cell", "_gb", "_at._ahead", "_at._ga", *[f"{x}_b" for x in cols])
+    # same slot: each unordered pair once by wallet order; neighbouring slots: once by slot order
+    once = F.when(F.col("_ahead") == 0, F.col("wallet_a") < F.col("wallet_b")).otherwise(F.col("wallet_a") != F.col("wallet_b"))
+    return a.join(b, [*keys, "cell", "_ahead", "_ga", "_gb"]).where(once).drop("cell", "_ahead", "_ga", "_gb")
+
+
 def merge_market_graphs(edges: DataFrame) -> DataFrame:
     """One graph over all markets: weights summed."""
     return edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
@@ -127,20 +146,87 @@ def degrees(edges: DataFrame, keys: list[str]) -> DataFrame:
     return ends.groupBy(*keys, "node").agg(F.count(F.lit(1)).alias("degree"))
 
 
-def k_core(edges: DataFrame, k: int, keys: list[str] = ["market_id"]) -> DataFrame:
-    """Edges of the k-core: peel nodes of degree < k until none is left."""
-    current = cut(edges.select(*keys, "src", "dst", "weight"))
+def connected(edges: DataFrame, keys: list[str] = ["market_id"]) -> DataFrame:
+    """(keys, node, component) of every node on an edge; the component is its smallest node.
+
+    Alternating large-star and small-star rounds: the distance to the smallest
+    node shrinks by a factor, so the rounds grow with its logarithm.
+    """
+    pairs = cut(edges.select(*keys, F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct())
+    seen = None
+    while True:
+        state = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*keys, "u", "v").cast("decimal(38,0)"))).first()
+        if state == seen or not state[0]:
+            return pairs.select(*keys, F.col("u").alias("node"), F.col("v").alias("component")).union(pairs.select(*keys, "v", "v").distinct())
+        seen = state
+        ways = pairs.union(pairs.select(*keys, "v", "u"))
+        least = ways.groupBy(*keys, "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = cut(ways.where("v > u").join(least, [*keys, "u"]).select(*keys, F.col("v").alias("u"), F.col("m").alias("v")))
+        least = large.groupBy(*keys, "u").agg(F.min("v").alias("m"))
+        small = large.join(least, [*keys, "u"]).where("v <> m").select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
+        pairs = cut(small.union(least).distinct())
+
+
+#: Edges of a component (and about those of a group of components) that one task peels.
+CORE_EDGES = 500_000
+
+
+def peeled(src: np.ndarray, dst: np.ndarray, n: int, k: int) -> np.ndarray:
+    """Which edges between the nodes 0 to n - 1 are in the k-core: nodes leave one by one, each edge is looked at twice."""
+    ends = np.concatenate([src, dst])
+    by_node = np.argsort(ends, kind="stable")
+    first = np.searchsorted(ends[by_node], np.arange(n + 1))
+    degree, alive = np.bincount(ends, minlength=n), np.ones(len(src), bool)
+    left = list(np.flatnonzero(degree < k))
+    gone = degree < k
+    while left:
+        node = left.pop()
+        for e in by_node[first[node]:first[node + 1]] % len(src):
+            if alive[e]:
+                alive[e] = False
+                other = dst[e] if src[e] == node else src[e]
+                degree[other] -= 1
+                if degree[other] < k and not gone[other]:
+                    gone[other] = True
+                    left.append(other)
+    return alive
+
+
+def k_core(edges: DataFrame, k: int, keys: list[str] = ["market_id"], task_edges: int = CORE_EDGES) -> DataFrame:
+    """Edges of the k-core, where every node has at least ``k`` of them.
+
+    A connected component is peeled inside one task, however long its chains;
+    components share tasks up to ``task_edges``.  Only a component larger than
+    that is peeled layer by layer, each a written table.
+    """
+    plain = cut(edges.select(*keys, "src", "dst", "weight"))
+    member = connected(plain, keys).withColumnRenamed("node", "src")
+    sized = cut(plain.join(member, [*keys, "src"]))
+    counts = sized.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("_n"))
+    giant = cut(counts.where(F.col("_n") > task_edges).select(*keys, "component"))
+    small, n = sized.join(giant, [*keys, "component"], "left_anti"), sized.count()
+    buckets = max(1, -(-n // task_edges), min(64, n // 1000))
+    schema = plain.schema
+
+    def peel(rows: pd.DataFrame) -> pd.DataFrame:
+        ends = pd.concat([rows[[*keys, "src"]].set_axis([*keys, "node"], axis=1), rows[[*keys, "dst"]].set_axis([*keys, "node"], axis=1)])
+        number = ends.groupby([*keys, "node"], sort=False, dropna=False).ngroup().to_numpy()
+        alive = peeled(number[:len(rows)], number[len(rows):], int(number.max()) + 1, k)
+        return rows.loc[alive, [*keys, "src", "dst", "weight"]]
+
+    cores = small.withColumn("_b", F.pmod(F.xxhash64(*keys, "component"), F.lit(buckets))).groupBy("_b").applyInPandas(peel, schema)
+    if giant.isEmpty():
+        return cores
+    current = cut(sized.join(giant, [*keys, "component"], "left_semi").select(*keys, "src", "dst", "weight"))
     size = current.count()
     while size:
         keep = degrees(current, keys).where(F.col("degree") >= k).drop("degree")
-        nxt = current.join(keep.withColumnRenamed("node", "src"), [*keys, "src"], "left_semi")
-        nxt = nxt.join(keep.withColumnRenamed("node", "dst"), [*keys, "dst"], "left_semi")
-        current = cut(nxt)
+        current = cut(current.join(keep.withColumnRenamed("node", "src"), [*keys, "src"], "left_semi").join(keep.withColumnRenamed("node", "dst"), [*keys, "dst"], "left_semi"))
         left = current.count()
         if left == size:
             break
         size = left
-    return current.select(*keys, "src", "dst", "weight")
+    return cores.unionByName(current)
 
 
 def communities(edges: DataFrame, keys: list[str] = ["market_id"]) -> DataFrame:

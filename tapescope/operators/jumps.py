@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapescope.operators.running import DAY_MS, MINUTE_MS, Track, running
@@ -48,11 +48,11 @@ def next_jump(trades: DataFrame, jumps: DataFrame, cfg: dict, keys: list[str] =
                          F.col("timestamp_ms").alias("_t"), F.lit(1).alias("_ask"))
     head = trades.select(*cell, "seq", (F.floor(F.col("timestamp_ms") / look) + 1).alias("_slot"),
                          (F.col("timestamp_ms") + look).alias("_t"), F.lit(2).alias("_ask"))
-    both = marks.unionByName(rest, allowMissingColumns=True).unionByName(head, allowMissingColumns=True)
-    upto = Window.partitionBy(*cell, "_slot").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumns({
-        "_head": F.max("_rank").over(upto.orderBy("_t", "_ask")),
-        "_rest": F.max("_rank").over(upto.orderBy(F.desc("_t"), "_ask"))})
+    both = marks.unionByName(rest, allowMissingColumns=True).unionByName(head, allowMissingColumns=True).withColumn("_back", -F.col("_t"))
+    # a busy slot is itself a prefix scan over finer chunks, from either end
+    slot, fine = [*cell, "_slot"], max(1, look // 16)
+    found = running(both, slot, ["_t", "_ask"], [Track("_head", "max", F.col("_rank"))], fine, inclusive=True)
+    found = running(found, slot, ["_back", "_ask"], [Track("_rest", "max", F.col("_rank"))], fine, inclusive=True, source=both)
     hit = (found.where("_ask > 0").groupBy(*keys, "seq")
            .agg(F.max(F.when(F.col("_ask") == 1, F.col("_rest")).otherwise(F.col("_head"))).alias("_best")))
     return trades.join(hit, [*keys, "seq"], "left").withColumn("jump_direction", -F.col("_best.d")).drop("_best")
@@ -66,9 +66,13 @@ def score_jump_wallets(trades: DataFrame, jumps: DataFrame, cfg: dict, keys: lis
     agg = rows.groupBy(*keys, "wallet").agg(
         F.count(F.lit(1)).alias("n_total"), F.count("jump_direction").alias("n_pre"),
         F.count_if(F.col("jump_direction") == side).alias("n_aligned"))
+    return agg.withColumn("jump_boost", F.when(F.col("n_pre") >= j["min_pre_jump_trades"], boost_of(cfg)).otherwise(1.0))
+
+
+def boost_of(cfg: dict) -> Column:
+    """From n_total, n_pre and n_aligned: how much better than chance, and how often."""
     excess = F.greatest(F.lit(0.0), (F.col("n_aligned") / F.col("n_pre") - 0.5) * 2.0)
-    boost = 1.0 + (j["max_boost_factor"] - 1.0) * (excess * (F.col("n_pre") / F.col("n_total")))
-    return agg.withColumn("jump_boost", F.when(F.col("n_pre") >= j["min_pre_jump_trades"], boost).otherwise(1.0))
+    return 1.0 + (cfg["jumps"]["max_boost_factor"] - 1.0) * (excess * (F.col("n_pre") / F.col("n_total")))
 
 
 def apply_jump_boost(boosts: DataFrame, scores: DataFrame, keys: list[str] = ["market_id"]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapescope.operators.running import DAY_MS, Track, running
+from tapescope.operators.scan import ranged
 
 
 def filter_notional(tape: DataFrame, min_usd: float) -> DataFrame:
@@ -86,8 +87,7 @@ def min_trades_stats(flagged: DataFrame) -> DataFrame:
     agg = flagged.agg(F.count(F.lit(1)).alias("input_markets"), F.count_if("kept").alias("kept_markets"),
                       F.count_if(~F.col("kept")).alias("dropped_markets"), F.count_if(n == 0).alias("zero_trade_markets"),
                       F.sum("n_trades").alias("total_trades"), F.max("n_trades").alias("max_trades"))
-    ranked = running(flagged.select("n_trades", "market_id"), [], ["n_trades", "market_id"],
-                     [Track("_below", "sum", F.lit(1).cast("long"))], 1_000_000)
+    ranked = ranged(flagged.select("n_trades", "market_id"), [], ["n_trades", "market_id"], [Track("_below", "sum", F.lit(1).cast("long"))])
     mid = ranked.join(agg.select("input_markets"), F.col("_below") == F.floor(F.col("input_markets") / 2)).select(
         F.col("n_trades").cast("double").alias("median_trades"))
     return agg.crossJoin(mid)
@@ -96,7 +96,7 @@ def min_trades_stats(flagged: DataFrame) -> DataFrame:
 def close_rank(markets: DataFrame) -> DataFrame:
     """Position by close time (1 = oldest; no time: last, by id) and the market count."""
     t = markets.withColumn("_t", F.coalesce("close_ms", F.lit(2**61).cast("long")))
-    ranked = running(t, [], ["_t", "market_id"], [Track("_rank", "sum", F.lit(1).cast("long"))], DAY_MS, inclusive=True)
+    ranked = ranged(t, [], ["_t", "market_id"], [Track("_rank", "sum", F.lit(1).cast("long"))], inclusive=True)
     n = markets.agg(F.count(F.lit(1)).alias("_n"), F.count("close_ms").alias("_timed"))
     return ranked.drop("_t").crossJoin(F.broadcast(n))
 

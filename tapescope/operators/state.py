@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapescope.operators.running import DAY_MS, HOUR_MS, Track, departed_sums, row_blocks, running
+from tapescope.operators.scan import ranged
 
 ORDER = ["timestamp_ms", "seq"]
 GAP_RING = 200
@@ -230,13 +231,22 @@ def prior_counts(tape: DataFrame, chunk_ms: int = DAY_MS) -> DataFrame:
     return df.withColumn("wallet_market_share", share).drop("_wm")
 
 
-def prior_zscore(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str,
-                 chunk_ms: int = DAY_MS) -> DataFrame:
-    """z of ``value`` against the key's strictly earlier values (0 when n < 2)."""
-    v = F.col("_zv")
-    tracked = running(df.withColumn("_zv", value), keys, order, [
-        Track("_n", "sum", F.lit(1).cast("long")), Track("_s", "sum", v), Track("_q", "sum", v * v)], chunk_ms)
-    n, s, q = F.col("_n"), F.col("_s"), F.col("_q")
-    std = F.sqrt(F.greatest((q - s * s / n) / (n - 1), F.lit(0.0)))
-    z = F.when((n >= 2) & (std >= 1e-12), (v - s / n) / std).otherwise(0.0)
-    return tracked.withColumn(name, z).drop("_zv", "_n", "_s", "_q")
+def prior_zscores(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column]) -> DataFrame:
+    """Add each name: z of its value against the key's strictly earlier values (0 when n < 2).
+
+    One scan over ranges of (keys, order) for all values.
+    """
+    named = {name: F.col(f"_z{i}") for i, name in enumerate(values)}
+    n = F.col("_n")
+    tracks = [Track("_n", "sum", F.lit(1).cast("long"))]
+    for i, v in enumerate(named.values()):
+        tracks += [Track(f"_s{i}", "sum", v), Track(f"_q{i}", "sum", v * v)]
+    tracked = ranged(df.withColumns({f"_z{i}": value for i, value in enumerate(values.values())}), keys, order, tracks)
+
+    def z(i: int, v: Column) -> Column:
+        s, q = F.col(f"_s{i}"), F.col(f"_q{i}")
+        std = F.sqrt(F.greatest((q - s * s / n) / (n - 1), F.lit(0.0)))
+        return F.when((n >= 2) & (std >= 1e-12), (v - s / n) / std).otherwise(0.0)
+
+    helpers = [f"{p}{i}" for i in range(len(named)) for p in ("_z", "_s", "_q")]
+    return tracked.withColumns({name: z(i, v) for i, (name, v) in enumerate(named.items())}).drop("_n", *helpers)

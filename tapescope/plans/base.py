@@ -76,10 +76,10 @@ SELECT seq, strftime(make_timestamp(timestamp_ms*1000),'%Y-%m-%dT%H:%M:%S.%g') A
 FROM tape, n_users""")
 
 view("book_levels", """
-SELECT CAST(l_partkey % 50 AS INTEGER) AS asset_id, l_returnflag='A' AS is_bid,
-  round(CASE WHEN l_returnflag='A' THEN 0.50-l_discount ELSE 0.51+l_tax END,4) AS price,
+SELECT CAST(l_partkey % 50 AS INTEGER) AS asset_id, CAST(19722+date_diff('day',DATE '1992-01-01',CAST(l_shipdate AS DATE)) % 30 AS BIGINT)*86400000 AS book_ms,
+  l_linenumber % 2=1 AS is_bid, round(CASE WHEN l_linenumber % 2=1 THEN 0.50-l_discount ELSE 0.51+l_tax END,4) AS price,
   sum(l_quantity) AS size
-FROM lineitem WHERE l_returnflag IN ('A','R') GROUP BY 1,2,3""")
+FROM lineitem GROUP BY 1,2,3,4""")
 
 view("winners", f"""
 SELECT market_id, CAST(max_by(outcome_index, last_price) AS INTEGER) AS winner FROM (

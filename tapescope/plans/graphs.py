@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from tapescope.config import make_config
 from tapescope.operators import causal, detectors, graph, jumps, labels
 from tapescope.operators.running import DAY_MS
 from tapescope.plans.base import CFG, frozen, rnd, tape, winners
@@ -11,11 +10,6 @@ from tapescope.plans.registry import query, view
 from tapescope.sources import tables
 
 G = CFG["clustering"]
-# slower clocks, only for the two queries whose check SQL repeats them; the others run on the default clocks
-SLOW = make_config(**{**CFG, "clustering": {**G, "min_cluster_interval": 86_400, "max_cluster_interval": 604_800},
-                      "jumps": {**CFG["jumps"], "poll_interval_seconds": 21_600.0, "scoring_interval_minutes": 5760,
-                                "buffer_hours": 96}})
-
 view("bsizes", f"""
 SELECT market_id, (timestamp_ms//1000)//{G['bucket_size']} AS bucket, outcome_index, side, wallet, sum(notional_usdc) AS size
 FROM tape GROUP BY 1,2,3,4,5""")
@@ -231,25 +225,26 @@ def _(spark, sf):
     return rounded(jumps.largest_price_jump(tape(spark, sf), winners(spark, sf)))
 
 
-# ---- causal schedules -------------------------------------------------------
-POLL = int(SLOW["jumps"]["poll_interval_seconds"] * 1000)
+# ---- causal schedules, on the default clocks
+POLL, EVERY = int(J["poll_interval_seconds"] * 1000), int(J["scoring_interval_minutes"] * 60_000)
+K = CFG["clustering"]
+#: Greedy polling batches: the successor of a start is the first time a poll later.
+BATCHES_SQL = f"""
+WITH RECURSIVE m AS (SELECT DISTINCT market_id, timestamp_ms FROM tape),
+succ AS (SELECT market_id, timestamp_ms, min(timestamp_ms) OVER (PARTITION BY market_id ORDER BY timestamp_ms RANGE BETWEEN {POLL} FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM m),
+starts AS (SELECT market_id, 1 AS batch_no, min(timestamp_ms) AS start_ms FROM m GROUP BY 1
+ UNION ALL SELECT s.market_id, batch_no+1, nxt FROM starts s JOIN succ u ON u.market_id=s.market_id AND u.timestamp_ms=s.start_ms WHERE nxt IS NOT NULL),
+batches AS (SELECT market_id, CAST(batch_no AS BIGINT) AS batch_no, start_ms, max(timestamp_ms) AS end_ms, count(*) AS n FROM (
+ SELECT t.market_id, t.timestamp_ms, max(batch_no) OVER w AS batch_no, max(start_ms) OVER w AS start_ms FROM tape t LEFT JOIN starts s ON s.market_id=t.market_id AND s.start_ms=t.timestamp_ms
+ WINDOW w AS (PARTITION BY t.market_id ORDER BY t.timestamp_ms RANGE UNBOUNDED PRECEDING)) GROUP BY 1,2,3)
+"""
 
 
-@query("event_time_batches", f"""
-WITH RECURSIVE starts AS (
- SELECT market_id, 1 AS batch_no, min(timestamp_ms) AS start_ms FROM tape GROUP BY 1
- UNION ALL
- SELECT s.market_id, s.batch_no+1, (SELECT min(timestamp_ms) FROM tape t WHERE t.market_id=s.market_id AND t.timestamp_ms>=s.start_ms+{POLL})
- FROM starts s WHERE (SELECT min(timestamp_ms) FROM tape t WHERE t.market_id=s.market_id AND t.timestamp_ms>=s.start_ms+{POLL}) IS NOT NULL)
-SELECT market_id, CAST(batch_no AS BIGINT) AS batch_no, start_ms, max(timestamp_ms) AS end_ms, count(*) AS n
-FROM starts JOIN tape USING (market_id) WHERE timestamp_ms>=start_ms AND timestamp_ms<start_ms+{POLL} GROUP BY 1,2,3""")
+@query("event_time_batches", BATCHES_SQL + "SELECT * FROM batches")
 def _(spark, sf):
     return causal.event_time_batches(tape(spark, sf), POLL / 1000)
 
 
-K = SLOW["clustering"]
-
-
 @query("recluster_ticks", f"""
 WITH RECURSIVE big AS (SELECT market_id, seq, timestamp_ms, timestamp_ms//1000 AS t, row_number() OVER (PARTITION BY market_id ORDER BY timestamp_ms, seq) AS pos FROM tape WHERE notional_usdc>=5000),
 tick AS (
@@ -259,7 +254,7 @@ tick AS (
   AND (b.t-k.t>={K['max_cluster_interval']} OR b.pos-k.pos>={K['significant_change_threshold']}) ORDER BY pos LIMIT 1) n)
 SELECT tick.market_id, big.timestamp_ms, big.seq, tick.pos AS position FROM tick JOIN big ON big.market_id=tick.market_id AND big.pos=tick.pos WHERE tick.pos>0""")
 def _(spark, sf):
-    return causal.recluster_ticks(tape(spark, sf), SLOW)
+    return causal.recluster_ticks(tape(spark, sf), CFG)
 
 
 @query("rolling_buffer", """
@@ -269,8 +264,7 @@ SELECT k.market_id, k.tick, k.tick_ms, count(*) AS n, round(sum(t.notional_usdc)
 def _(spark, sf):
     t = tape(spark, sf)
     ticks = t.groupBy("market_id", F.floor(F.col("timestamp_ms") / DAY_MS).alias("tick")).agg(F.max("timestamp_ms").alias("tick_ms"))
-    return causal.rolling_buffer(t, ticks, 24).groupBy("market_id", "tick", "tick_ms").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum("notional_usdc"), 4).alias("notional"))
+    return causal.buffer_totals(t, ticks, 24).select("market_id", "tick", "tick_ms", "n", *rnd("notional", digits=4))
 
 
 @query("causal_cluster_multiplier")
@@ -279,9 +273,29 @@ def _(spark, sf):
         "market_id", "seq", "tick", *rnd("cluster_multiplier"), "has_common_ownership")
 
 
-@query("causal_jump_multiplier")
+#: Scoring ticks with enough trades in their buffer, and each tick's buffer, jumps and boosts.
+JUMP_SQL = BATCHES_SQL + f""",
+nextdue AS (SELECT market_id, end_ms, min(end_ms) OVER (PARTITION BY market_id ORDER BY end_ms RANGE BETWEEN {EVERY} FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM batches),
+due AS (SELECT market_id, min(end_ms) AS end_ms FROM batches GROUP BY 1 UNION ALL SELECT d.market_id, nxt FROM due d JOIN nextdue n ON n.market_id=d.market_id AND n.end_ms=d.end_ms WHERE nxt IS NOT NULL),
+fl AS (SELECT b.market_id, batch_no AS tick, b.end_ms AS tick_ms FROM due JOIN batches b USING (market_id, end_ms)
+ JOIN tape t ON t.market_id=b.market_id AND t.timestamp_ms BETWEEN b.end_ms-{int(J['buffer_hours'] * 3_600_000)} AND b.end_ms GROUP BY 1,2,3 HAVING count(*)>={J['min_buffer_trades']}),
+bf AS (SELECT f.tick, t.* FROM fl f JOIN tape t ON t.market_id=f.market_id AND t.timestamp_ms BETWEEN f.tick_ms-{int(J['buffer_hours'] * 3_600_000)} AND f.tick_ms),
+jp AS (SELECT *, CASE WHEN change>0 THEN 1 ELSE -1 END AS direction FROM (
+ SELECT a.market_id, a.tick, a.outcome_index, a.timestamp_ms AS start_ms, a.seq, arg_max(b.price,(b.timestamp_ms,b.price))-any_value(a.price) AS change
+ FROM bf a JOIN bf b ON a.market_id=b.market_id AND a.tick=b.tick AND a.outcome_index=b.outcome_index AND b.timestamp_ms BETWEEN a.timestamp_ms AND a.timestamp_ms+{J['jump_window_minutes'] * 60_000}
+ GROUP BY 1,2,3,4,5) WHERE abs(change)>={J['jump_threshold']}),
+nj AS (SELECT t.market_id, t.tick, t.seq, arg_max(j.direction,(abs(j.change),-j.start_ms,-j.direction)) AS jump_direction FROM bf t
+ JOIN jp j ON j.market_id=t.market_id AND j.tick=t.tick AND j.outcome_index=t.outcome_index AND j.start_ms BETWEEN t.timestamp_ms AND t.timestamp_ms+{J['pre_jump_lookback_minutes'] * 60_000} GROUP BY 1,2,3),
+sc AS (SELECT market_id, tick, wallet, CASE WHEN n_pre>={J['min_pre_jump_trades']} THEN 1+({J['max_boost_factor']}-1)*greatest(0,(n_aligned/n_pre-0.5)*2)*(n_pre/n_total) ELSE 1 END AS jump_boost FROM (
+ SELECT market_id, tick, wallet, count(*) AS n_total, count(jump_direction) AS n_pre, coalesce(count_if(jump_direction=CASE WHEN side='BUY' THEN 1 ELSE -1 END),0) AS n_aligned
+ FROM bf LEFT JOIN nj USING (market_id, tick, seq) GROUP BY 1,2,3))
+"""
+
+
+@query("causal_jump_multiplier", JUMP_SQL + """SELECT t.market_id, t.seq, f.tick AS jump_tick, round(CAST(CAST(CASE WHEN jump_boost>1.001 THEN jump_boost ELSE 1 END AS FLOAT) AS DOUBLE),6) AS jump_multiplier
+FROM tape t ASOF LEFT JOIN fl f ON t.market_id=f.market_id AND t.timestamp_ms>f.tick_ms LEFT JOIN sc ON sc.market_id=t.market_id AND sc.tick=f.tick AND sc.wallet=t.wallet""")
 def _(spark, sf):
-    return causal.jump_multiplier(tape(spark, sf), CFG).select("market_id", "seq", "jump_tick", *rnd("jump_multiplier"))
+    return causal.jump_multiplier(tape(spark, sf), CFG).select("market_id", "seq", "jump_tick", F.round(F.col("jump_multiplier").cast("double"), 6).alias("jump_multiplier"))
 
 
 @query("boost_schedule")

@@ -95,13 +95,13 @@ def _(spark, sf):
     return df.select("tx_hash", "from_address", "to_address", "timestamp_s", *rnd("value_usdc", digits=2))
 
 
-@query("parse_book_snapshot", """SELECT asset_id, count(*) FILTER (is_bid) AS n_bids, count(*) FILTER (NOT is_bid) AS n_asks, round(max(price) FILTER (is_bid),4) AS best_bid, round(min(price) FILTER (NOT is_bid),4) AS best_ask
- FROM book_levels WHERE NOT (is_bid AND price>=0.495) GROUP BY 1""")
+@query("parse_book_snapshot", """SELECT asset_id, book_ms AS timestamp_ms, count(*) FILTER (is_bid) AS n_bids, count(*) FILTER (NOT is_bid) AS n_asks, round(max(price) FILTER (is_bid),4) AS best_bid, round(min(price) FILTER (NOT is_bid),4) AS best_ask
+ FROM book_levels GROUP BY 1,2""".replace("FILTER (is_bid)", "FILTER (is_bid AND price<0.495)"))
 def _(spark, sf):
     b = tables.books(spark, sf)
     broken = b.withColumn("bids", F.transform("bids", lambda lv: F.struct(lv["price"].alias("price"), F.when(lv["price"] >= 0.495, 0.0).otherwise(lv["size"]).alias("size"))))
     df = readers.parse_book_snapshot(broken)
-    return df.select("asset_id", F.size("bids").cast("long").alias("n_bids"), F.size("asks").cast("long").alias("n_asks"),
+    return df.select("asset_id", "timestamp_ms", F.size("bids").cast("long").alias("n_bids"), F.size("asks").cast("long").alias("n_asks"),
                      F.round(F.get("bids", F.lit(0))["price"], 4).alias("best_bid"), F.round(F.get("asks", F.lit(0))["price"], 4).alias("best_ask"))
 
 

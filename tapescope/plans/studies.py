@@ -2,53 +2,46 @@
 
 from pyspark.sql import functions as F
 
-from tapescope.operators import baselines, causal, graph, jumps, labels, markets, scoring, sweeps
+from tapescope.operators import baselines, causal, graph, jumps, labels, markets, scoring, search, sweeps
 from tapescope.operators.iterate import union_all
 from tapescope.operators.running import DAY_MS
 from tapescope.plans.base import CFG, FLAG_RATE, frozen, rnd, tape, truth, winners
 from tapescope.plans.baselines import close, timing
 from tapescope.plans.evaluate import rounded
 from tapescope.plans.registry import query
-from tapescope.plans.sweeps import DETS
+from tapescope.plans.sweeps import DETS, SEARCH_RATE, TRIED
 from tapescope.session import cut
 from tapescope.sources import tables
 
-START = {**{f"w_{d}": 1.0 for d in DETS}, "alert_threshold": 0.5, "flag_rate": 0.5}
+def part_of(spark, sf, split):
+    """(rows of a frame whose market is in a part) for the parts of a split of the markets."""
+    parts = cut(split.select("market_id", "part"))
+    return lambda df, name: df.join(parts.where(F.col("part") == name).select("market_id"), "market_id", "left_semi")
 
 
-def search(spark, signals, wallets, groups, start=START, passes=1):
-    best, log = sweeps.coordinate_descent(
-        lambda g: sweeps.evaluate_candidates(signals, wallets, g, DETS), spark, start, groups, passes=passes)
-    return best, log[-1][2]
-
-
-def single(spark, best):
-    return sweeps.param_grid(spark, {k: [v] for k, v in best.items()})
+def tested(rows, wallets, cfg):
+    """The metrics of one setting."""
+    return search.evaluated(rows, wallets, "alert_threshold", {"value": [cfg["alert_threshold"]]}, cfg, SEARCH_RATE).drop("p_value")
 
 
 @query("train_test_full_market")
 def _(spark, sf):
-    """Thresholds from the older markets, tested on the newest 30%, whole histories."""
-    s, t = frozen(spark, sf), cut(truth(spark, sf))
-    parts = markets.split_by_close_time(tables.markets(spark, sf), 0.3).select("market_id", "part")
-    train, test = (parts.where(F.col("part") == p).select("market_id") for p in ("train", "eval"))
-    best, _score = search(spark, s.join(train, "market_id", "left_semi"), t.join(train, "market_id", "left_semi"),
-                          [{"alert_threshold": [0.3, 0.5, 0.7], "flag_rate": [0.25, 0.5]}])
-    out = sweeps.evaluate_candidates(s.join(test, "market_id", "left_semi"), t.join(test, "market_id", "left_semi"), single(spark, best), DETS)
-    return rounded(out, 5)
+    """Settings from the older markets, tested on the newest 30%, whole histories."""
+    t, wallets = tape(spark, sf), cut(truth(spark, sf))
+    of = part_of(spark, sf, markets.split_by_close_time(tables.markets(spark, sf), 0.3))
+    cfg, _best, _log = search.descend(of(t, "train"), search.states(of(t, "train"), CFG), of(wallets, "train"), CFG, TRIED, SEARCH_RATE)
+    return rounded(tested(search.states(of(t, "eval"), cfg), of(wallets, "eval"), cfg), 5)
 
 
 @query("alternating_search")
 def _(spark, sf):
-    """Detector weights and thresholds in turn, from two starts; validation picks one."""
-    s, t = frozen(spark, sf), cut(truth(spark, sf))
-    parts = cut(markets.train_val_split(tables.markets(spark, sf), 0.4).select("market_id", "part"))
-    train, val = (t.join(parts.where(F.col("part") == p).select("market_id"), "market_id", "left_semi") for p in ("train", "val"))
-    groups = [{f"w_{d}": [0.5, 1.0] for d in DETS}, {"alert_threshold": [0.3, 0.5], "flag_rate": [0.25, 0.5]}]
+    """Descents from two starts; the validation markets pick one."""
+    t, wallets = tape(spark, sf), cut(truth(spark, sf))
+    of = part_of(spark, sf, markets.train_val_split(tables.markets(spark, sf), 0.4))
     rows = []
-    for i, start in enumerate((START, {**START, "alert_threshold": 0.3})):
-        best, score = search(spark, s, train, groups, start)
-        check = sweeps.evaluate_candidates(s, val, single(spark, best), DETS).first()
+    for i, start in enumerate((CFG, search.with_setting(CFG, "alert_threshold", {"value": 0.3}))):
+        cfg, score, _log = search.descend(of(t, "train"), search.states(of(t, "train"), start), of(wallets, "train"), start, TRIED, SEARCH_RATE)
+        check = tested(search.states(of(t, "val"), cfg), of(wallets, "val"), cfg).first()
         rows.append((i, float(score), float(check["f1"])))
     runs = spark.createDataFrame(rows, "start_id long, train_score double, val_score double")
     return rounded(sweeps.multi_start_summary(runs), 5)

@@ -1,8 +1,11 @@
 """Queries over sweeps, ablations, counterfactuals, recall and search."""
 
+import itertools
+
 from pyspark.sql import functions as F
 
-from tapescope.operators import causal, economics, evaluation, labels, markets, scoring, sweeps
+from tapescope.operators import causal, economics, evaluation, labels, markets, scoring, search, sweeps
+from tapescope.operators.iterate import union_all
 from tapescope.operators.running import DAY_MS
 from tapescope.plans.base import CFG, FLAG_RATE, evaluations, flagged_buys, frozen, predicted, rnd, tape, truth, winners
 from tapescope.plans.evaluate import FSCORES_SQL, all_metrics, r, rounded
@@ -195,6 +198,57 @@ def _(spark, sf):
     return spark.createDataFrame([(k, float(v), float(log[-1][2])) for k, v in best.items()], "parameter string, value double, objective double")
 
 
+# ---- candidates of the detectors' own settings
+TRIED = {
+    "extreme_position": {"tail_threshold": [0.12, 0.2, 0.33], "min_notional": [400.0, 1500.0, 3000.0], "max_confidence": [0.4, 0.6, 0.95]},
+    "probability_impact": {"min_delta_prob": [0.055, 0.3], "min_delta_log_odds": [0.9, 1.5], "min_notional": [250.0, 1500.0], "max_confidence": [0.25, 0.55, 0.8]},
+    "accumulation": {"min_accumulation_usdc": [500.0, 3500.0], "min_directional_ratio": [0.83, 0.95], "max_confidence": [0.18, 0.6], "min_outcome_concentration": [0.78, 0.91]},
+    "alert_threshold": {"value": [0.3, 0.45, 0.5, 0.6]},
+}
+SEARCH_RATE = 0.25
+_flip = "(w_volume>=10000 AND directional_ratio<0.5)"
+_dp = "abs(price-prev_price)"
+_lo = "abs(CASE WHEN price>0.001 AND price<0.999 THEN ln(price/(1-price)) END-CASE WHEN prev_price>0.001 AND prev_price<0.999 THEN ln(prev_price/(1-prev_price)) END)"
+_CONF = {
+    "extreme_position": f"""CASE WHEN notional_usdc>=min_notional AND NOT {_flip} AND ((price<tail_threshold AND side='BUY') OR (price>1-tail_threshold AND side='SELL'))
+ THEN (0.5*least(1.0,(CASE WHEN side='BUY' THEN tail_threshold-price ELSE price-(1-tail_threshold) END)/tail_threshold)+0.5*least(1.0,notional_usdc/5000))*max_confidence ELSE 0 END""",
+    "probability_impact": f"""CASE WHEN notional_usdc>=min_notional AND {_dp}>=1e-6 THEN coalesce(CASE WHEN {_dp}>=min_delta_prob AND {_lo}>=min_delta_log_odds
+ THEN 0.4*least(1.0,{_dp}/(2*min_delta_prob))+0.6*least(1.0,{_lo}/(2*min_delta_log_odds)) WHEN {_dp}>=min_delta_prob THEN least(1.0,{_dp}/(2*min_delta_prob))
+ WHEN {_lo}>=min_delta_log_odds THEN least(1.0,{_lo}/(2*min_delta_log_odds)) END,0)*max_confidence ELSE 0 END""",
+    "accumulation": """CASE WHEN side='BUY' AND w_trades>0 AND outcome_concentration>=min_outcome_concentration AND outcome_directional>=min_directional_ratio AND outcome_exposure>=min_accumulation_usdc
+ THEN outcome_directional*max_confidence ELSE 0 END""",
+}
+
+
+def _alerts_sql(group):
+    names = list(TRIED[group])
+    grid = ", ".join(f"(SELECT CAST(unnest({v}) AS DOUBLE) AS {k}) g{i}" for i, (k, v) in enumerate(TRIED[group].items()))
+    fires = f"{_score()}>=value" if group == "alert_threshold" else f"1-{'*'.join(f'(1-conf_{d})' for d in DETS if d != group)}*(1-({_CONF[group]}))>=0.5"
+    return f"""SELECT '{group}' AS grp, candidate, market_id, wallet, count(*) AS nf FROM scored, (SELECT row_number() OVER (ORDER BY {','.join(names)})-1 AS candidate, * FROM {grid}) WHERE {fires} GROUP BY 2,3,4"""
+
+
+@query("setting_candidates", f"""
+WITH h AS ({' UNION ALL '.join(_alerts_sql(g) for g in TRIED)}),
+every AS ({' UNION ALL '.join(f"SELECT '{g}' AS grp, unnest(range({len(list(itertools.product(*v.values())))})) AS candidate" for g, v in TRIED.items())}),
+c AS (SELECT grp, candidate, count_if(is_insider) AS tp, count_if(NOT is_insider) AS fp FROM h JOIN truth USING (market_id, wallet) WHERE nf/trade_count>={SEARCH_RATE} GROUP BY 1,2),
+n AS (SELECT count(*) AS num_wallets, count_if(is_insider) AS num_insiders FROM truth)
+SELECT grp, candidate, tp, fp, fn, num_wallets, num_insiders, {r('precision recall f1 f0_5 f2', 5)} FROM (SELECT *, {FSCORES_SQL} FROM (
+ SELECT e.grp, e.candidate, coalesce(tp,0) AS tp, coalesce(fp,0) AS fp, num_insiders-coalesce(tp,0) AS fn, num_wallets, num_insiders FROM every e LEFT JOIN c USING (grp, candidate), n))""")
+def _(spark, sf):
+    s, t = search.states(tape(spark, sf), CFG), truth(spark, sf)
+    parts = [search.evaluated(s, t, g, v, CFG, SEARCH_RATE) for g, v in TRIED.items()]
+    cols = ["candidate", "tp", "fp", "fn", "num_wallets", "num_insiders", "precision", "recall", "f1", "f0_5", "f2"]
+    return rounded(union_all([p.select(F.lit(g).alias("grp"), *cols) for g, p in zip(TRIED, parts)]), 5)
+
+
+@query("setting_search")
+def _(spark, sf):
+    """Settings found by descent over the groups until none improves, with the score after each step."""
+    t = tape(spark, sf)
+    _cfg, _best, log = search.descend(t, search.states(t, CFG), truth(spark, sf), CFG, TRIED, SEARCH_RATE)
+    return spark.createDataFrame([(int(p), g, round(float(s), 6)) for p, g, s in log], "pass int, grp string, score double")
+
+
 @query("multi_start_summary", f"""
 WITH g AS ({GRID_SQL}), h AS (SELECT candidate, market_id, wallet, count(*) AS nf FROM scored, g WHERE 1-{'*'.join(f'(1-conf_{d}*w_{d})' for d in DETS)}>=alert_threshold GROUP BY 1,2,3),
 p AS (SELECT h.candidate, t.market_id % 2 AS part, nf/trade_count>=flag_rate AS predicted, is_insider FROM h JOIN truth t USING (market_id, wallet) JOIN g ON g.candidate=h.candidate),
@@ -228,16 +282,15 @@ def _(spark, sf):
 
 @query("train_test_window")
 def _(spark, sf):
+    """Settings learned on the trades before a date, tested on the later ones."""
     from tapescope.session import cut
-    s, win = frozen(spark, sf), winners(spark, sf)
+    t, win = tape(spark, sf), winners(spark, sf)
     split = 1704067200000 + 15 * DAY_MS
-    t = cut(labels.ground_truth(tape(spark, sf), win, CFG))
-    train = s.where(F.col("timestamp_ms") < split)
-    start = {**{f"w_{d}": 1.0 for d in DETS}, "alert_threshold": 0.5, "flag_rate": 0.5}
-    best, _log = sweeps.coordinate_descent(lambda g: sweeps.evaluate_candidates(train, t, g, DETS), spark, start,
-                                           [{"alert_threshold": [0.3, 0.5, 0.7], "flag_rate": [0.25, 0.5]}], passes=1)
-    test = s.where(F.col("timestamp_ms") >= split)
-    return rounded(sweeps.evaluate_candidates(test, t, sweeps.param_grid(spark, {k: [v] for k, v in best.items()}), DETS), 5)
+    wallets = cut(labels.ground_truth(t, win, CFG))
+    every = search.states(t, CFG)
+    cfg, _best, _log = search.descend(t, every.where(F.col("timestamp_ms") < split), wallets, CFG, TRIED, SEARCH_RATE)
+    later = search.states(t, cfg).where(F.col("timestamp_ms") >= split)
+    return rounded(search.evaluated(later, wallets, "alert_threshold", {"value": [cfg["alert_threshold"]]}, cfg, SEARCH_RATE).drop("p_value"), 5)
 
 
 @query("legacy_boost", """

@@ -79,8 +79,8 @@ FROM (SELECT *, ln(1+notional_usdc) AS x FROM tape) WINDOW
  w AS (PARTITION BY wallet ORDER BY timestamp_ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def _(spark, sf):
     x = F.log1p("notional_usdc")
-    df = state.prior_zscore(tape(spark, sf), [], state.ORDER, x, "z_all")
-    return state.prior_zscore(df, ["wallet"], state.ORDER, x, "z_wallet").select("seq", *rnd("z_all", "z_wallet", digits=5))
+    df = state.prior_zscores(tape(spark, sf), [], state.ORDER, {"z_all": x})
+    return state.prior_zscores(df, ["wallet"], state.ORDER, {"z_wallet": x}).select("seq", *rnd("z_all", "z_wallet", digits=5))
 
 
 @query("flipper_filter", """

@@ -68,16 +68,23 @@ def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_totalprice").alias("value_usdc"))
 
 
+#: The first snapshot day of the books, in days since 1970 (the eve of the tape), and their number.
+BOOK_DAY, BOOK_DAYS = 19_722, 30
+
+
 def books(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One snapshot per asset at time 0; asset = market * 2 + outcome."""
+    """Snapshots of each asset (market * 2 + outcome), one a day at most, from all rows of ``lineitem``.
+
+    Odd line numbers are bids, even ones asks; the ship date says which day's snapshot a level is in.
+    """
     li = read(spark, sf_dir, "lineitem")
     asset = F.pmod("l_partkey", F.lit(2 * N_MARKETS)).cast("int")
-    is_bid = F.col("l_returnflag") == "A"
+    is_bid = F.col("l_linenumber") % 2 == 1
     level = F.round(F.when(is_bid, 0.50 - F.col("l_discount")).otherwise(0.51 + F.col("l_tax")), 4)
-    levels = (li.where(F.col("l_returnflag").isin("A", "R"))
-              .groupBy(asset.alias("asset_id"), is_bid.alias("is_bid"), level.alias("price"))
-              .agg(F.sum("l_quantity").alias("size")))
-    return book_levels_to_snapshots(levels.withColumn("timestamp_ms", F.lit(0).cast("long")))
+    day = F.pmod(F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date")), F.lit(BOOK_DAYS)) + BOOK_DAY
+    levels = li.groupBy(asset.alias("asset_id"), (day.cast("long") * 86_400_000).alias("timestamp_ms"), is_bid.alias("is_bid"), level.alias("price")).agg(
+        F.sum("l_quantity").alias("size"))
+    return book_levels_to_snapshots(levels)
 
 
 def book_levels_to_snapshots(levels: DataFrame) -> DataFrame:
