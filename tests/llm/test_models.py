@@ -242,3 +242,42 @@ def test_fill_in_middle_odd_rows(odd):
 def test_tokenizer_leaves_the_marks_of_the_model_free():
     n, order = attention.vocabulary(packing.tokenizer_path())
     assert n <= attention.START and sorted(order) == list(range(n))
+
+
+# ---- earlier operators
+
+def test_fits_of_one_session_do_not_share_lexicons(spark):
+    """Two classifiers with opposite labels score the same texts, in turn, in the same workers."""
+    from tapescope.llm import toxicity
+
+    ready(spark)
+    rnd = random.Random(4)
+    plain = ["river", "stone", "cloud", "maple", "table", "window", "garden", "paper"]
+    rows, first, second = [], [], []
+    for i in range(500):
+        odd_word = ["gronk", "blarg", ""][i % 3]
+        rows.append((i, " ".join([*(rnd.choice(plain) for _ in range(rnd.randint(5, 30))), odd_word])))
+        first.append((i, int(odd_word == "gronk")))
+        second.append((i, int(odd_word == "blarg")))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    models = [toxicity.fit(docs, spark.createDataFrame(marks, "doc_id long, toxic int")) for marks in (first, second)]
+    for _ in range(2):
+        for model, marks in zip(models, (first, second)):
+            got = {r["row"]["doc_id"]: r["score"] for r in model.scored(docs).collect()}
+            assert np.mean([(got[i] >= 0.5) == bool(y) for i, y in marks]) > 0.97
+
+
+def test_chat_sql_follows_long_system_turns(spark, tmp_path):
+    """System turns over the reserved size, ordinary ones, and conversations without one."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from compare import connect, run
+
+    rnd, rows = random.Random(8), []
+    for conv in range(12):
+        turns = [("system", "rule " * rnd.choice([5, 300, 700, 2000]))] if conv % 4 else []
+        turns += [(("user", "assistant")[t % 2], "word " * rnd.randint(0, 400)) for t in range(rnd.randint(1, 12))]
+        rows += [(conv, t, role, text) for t, (role, text) in enumerate(turns)]
+    pq.write_table(pa.table(dict(zip(("conv_id", "turn", "role", "text"), map(list, zip(*rows))))), str(tmp_path / "conversations.parquet"))
+    _, n, error = run(spark, connect(str(tmp_path)), "op7_chat_windows", queries.op7, queries.OP7_SQL, str(tmp_path))
+    assert n == 13 and error is None, error
