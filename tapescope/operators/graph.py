@@ -229,12 +229,15 @@ def k_core(edges: DataFrame, k: int, keys: list[str] = ["market_id"], task_edges
     return cores.unionByName(current)
 
 
+#: Rounds in which a random half of the willing nodes move at once.
+MIXED_ROUNDS = 8
+
+
 def communities(edges: DataFrame, keys: list[str] = ["market_id"]) -> DataFrame:
     """(keys, node, community): modularity communities by synchronous local moves.
 
-    In a round each node of a random half looks at its neighbours' communities
-    and joins the best one if that gains modularity; moving only half at a time
-    keeps pairs from swapping for ever.  When no node gains by moving, communities
+    In a round nodes look at their neighbours' communities and join the best one
+    if that gains modularity.  When no node gains by moving, communities
     become nodes and the next level starts, until a level changes nothing.
     Deterministic for given edges, never joins what is not connected, and names a
     community by its smallest member.
@@ -262,16 +265,17 @@ def communities(edges: DataFrame, keys: list[str] = ["market_id"]) -> DataFrame:
 def _local_moves(arcs: DataFrame, assign: DataFrame, keys: list[str], level: int) -> DataFrame:
     """Moves until no node wants to.
 
-    Nodes that move at once can undo each other's gain, so ever fewer of them
-    move in a round: half, then, after every eight rounds, half as many, down to
-    one of those that want to.  Single moves only raise modularity, which ends it.
+    In the first rounds a random half of the nodes that gain by it move.  They can
+    undo each other's gain, so from then on a round takes moves that have no
+    community in common: of the moves that leave or enter a community the one with the smallest hash.
+    What such moves gain adds up, so modularity only rises, which ends it, and
+    many communities change in one round.
     """
     strength = arcs.groupBy(*keys, F.col("src").alias("node")).agg(F.sum("weight").alias("deg"))
     total = strength.groupBy(*keys).agg(F.sum("deg").alias("m2"))
     nodes = strength.join(total, keys) if keys else strength.crossJoin(total)
     state = cut(nodes.join(assign, [*keys, "node"]))
     outer = cut(arcs.where("src <> dst"))
-    wanting = 2
     for rnd in count():
         size = state.groupBy(*keys, "community").agg(F.sum("deg").alias("tot"))
         here = state.join(size, [*keys, "community"])
@@ -287,13 +291,20 @@ def _local_moves(arcs: DataFrame, assign: DataFrame, keys: list[str], level: int
         # without a link inside its community a node only pays that community's size
         stay = F.coalesce("_here", F.round(-F.col("deg") * (F.col("tot") - F.col("deg")) / F.col("m2"), 10))
         wants = F.coalesce(F.col("_best._value") > stay + 1e-9, F.lit(False))
-        turn = F.pmod(F.xxhash64("node", F.lit(rnd + 97 * level)), F.lit(max(2, min(2 << (rnd // 8), wanting)))) == 0
-        moved = cut(best.select(*keys, "node", "deg", "m2", wants.alias("_wants"), F.when(
-            wants & turn, F.col("_best._to")).otherwise(F.col("community")).alias("community")))
-        state = moved.drop("_wants")
-        wanting = moved.where("_wants").count()
-        if not wanting:
+        draw = F.xxhash64("node", F.lit(rnd + 97 * level))
+        plan = cut(best.select(*keys, "node", "deg", "m2", "community", F.when(wants, F.col("_best._to")).alias("_to"), F.struct(draw.alias("h"), "node").alias("_turn")))
+        moves = plan.where("_to is not null")
+        if moves.isEmpty():
+            state = plan
             break
+        if rnd < MIXED_ROUNDS:
+            chosen = moves.where(F.pmod(F.col("_turn.h"), F.lit(2)) == 0).select(*keys, "node", "_to")
+        else:
+            ends = moves.select(*keys, "_turn", F.explode(F.array("community", "_to")).alias("c"))
+            first = ends.groupBy(*keys, "c").agg(F.min("_turn").alias("_first"))
+            alone = ends.join(first, [*keys, "c"]).where("_turn = _first").groupBy(*keys, F.col("_turn.node").alias("node")).agg(F.count(F.lit(1)).alias("_n")).where("_n = 2")
+            chosen = moves.join(alone, [*keys, "node"], "left_semi").select(*keys, "node", "_to")
+        state = cut(plan.drop("_to", "_turn").join(chosen, [*keys, "node"], "left").select(*keys, "node", "deg", "m2", F.coalesce("_to", "community").alias("community")))
     return state.select(*keys, "node", "community")
 
 

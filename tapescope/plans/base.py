@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapescope.config import make_config
 from tapescope.operators import economics, evaluation, labels, scoring
-from tapescope.plans.registry import view
-from tapescope.session import cut
+from tapescope.plans.registry import VIEWS, view
+from tapescope.session import kept
 from tapescope.sources import tables
 
 # Settings of the registered queries, tuned to the value ranges of the tables.
@@ -179,6 +181,16 @@ SELECT *, base_score AS total_score, base_score>={CFG['alert_threshold']} AS is_
  FROM detected)""")
 
 
+REPLAYED = ("wstate", "wratio", "base_incl", "baseline", "mstate", "gapmed", "contragap", "detected", "scored")
+
+
+def replay_views(suffix: str, tape_sql: str) -> None:
+    """The tape and all views up to ``scored`` again, named with a suffix, over another tape."""
+    view(f"tape{suffix}", tape_sql)
+    for name in REPLAYED:
+        view(f"{name}{suffix}", re.sub(rf"\b({'|'.join(('tape', *REPLAYED))})\b", rf"\g<1>{suffix}", VIEWS[name]))
+
+
 # ---- labels, flags and evaluations -----------------------------------------
 FLAG_RATE = 0.5
 FROZEN = ["seq", "market_id", "wallet", "timestamp_ms", "side", "outcome_index", "price", "notional_usdc",
@@ -187,8 +199,11 @@ FROZEN = ["seq", "market_id", "wallet", "timestamp_ms", "side", "outcome_index",
 
 def frozen(spark: SparkSession, sf: str, cfg: dict = CFG) -> DataFrame:
     """The replay written once and read by everything downstream (frozen signals)."""
-    df = scoring.replay(tape(spark, sf), cfg)
-    return cut(df.select(*FROZEN, *scoring.conf_columns(df)))
+    def replayed() -> DataFrame:
+        df = scoring.replay(tape(spark, sf), cfg)
+        return df.select(*FROZEN, *scoring.conf_columns(df))
+
+    return kept(spark, f"frozen {sf} {cfg}", replayed)
 
 
 def truth(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,16 +1,15 @@
 """Queries that run the tables through the streaming feeds, in several micro-batches."""
 
-import re
 import uuid
 
 from pyspark.sql import functions as F
 
 from tapescope.operators import causal, graph
-from tapescope.plans.base import CFG, rnd, tape
+from tapescope.plans.base import CFG, replay_views, rnd, tape
 from tapescope.plans.books import changes
 from tapescope.plans.evaluate import rounded
 from tapescope.plans.ingest import raw_trades
-from tapescope.plans.registry import VIEWS, query, view
+from tapescope.plans.registry import query, view
 from tapescope.session import checkpoint_dir, cut
 from tapescope.sources import tables
 from tapescope.streaming import books, feeds, live
@@ -60,9 +59,7 @@ def _(spark, sf):
 
 
 # ---- the feed's times are whole seconds: the same views on such a tape
-for _name in ("tape", "wstate", "wratio", "base_incl", "baseline", "mstate", "gapmed", "contragap", "detected", "scored"):
-    view(f"{_name}_s", "SELECT * REPLACE (timestamp_ms//1000*1000 AS timestamp_ms) FROM tape" if _name == "tape" else
-         re.sub(r"\b(tape|wstate|wratio|base_incl|baseline|mstate|gapmed|contragap|detected|scored)\b(?!_s)", r"\1_s", VIEWS[_name]))
+replay_views("_s", "SELECT * REPLACE (timestamp_ms//1000*1000 AS timestamp_ms) FROM tape")
 _n = CFG["new_wallet"]
 view("live_base", f"""SELECT s.*, 1-(1-base_score)*(1-CASE WHEN s.notional_usdc>={_n['min_notional']} AND s.timestamp_ms-f.first<{_n['max_age_minutes'] * 60_000} THEN {_n['max_confidence']} ELSE 0 END) AS live_score,
  row_number() OVER (PARTITION BY s.market_id, s.wallet ORDER BY s.timestamp_ms, s.seq) AS rn
@@ -81,13 +78,18 @@ live AS (SELECT t.*, before AS prior_flags, s AS total_score, s>=0.5 AS is_alert
 """
 
 
+_STORES: dict[tuple[str, str], str] = {}
+
+
 def processed(spark, sf):
-    """The live job over all slices; a table of boosts stands for the periodic jobs' latest."""
-    pairs = tape(spark, sf).where("market_id % 2 = 0").select("market_id", "wallet").distinct()
-    boosts = cut(pairs.select(F.col("market_id").cast("long").alias("market_id"), "wallet", (1.0 + F.col("market_id") % 3 / 10.0).alias("multiplier")))
+    """The live job over all slices, once for the queries of an application; a table of boosts stands for the periodic jobs' latest."""
     store = lambda base: feeds.TradeStore(spark, f"{base}/store")
-    base = landed_trades(spark, sf, lambda base: live.advance(feeds.as_tape(deduped(spark, base)), CFG, f"{base}/live", live.writer(store(base), CFG), boosts))
-    return store(base)
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STORES:
+        pairs = tape(spark, sf).where("market_id % 2 = 0").select("market_id", "wallet").distinct()
+        boosts = cut(pairs.select(F.col("market_id").cast("long").alias("market_id"), "wallet", (1.0 + F.col("market_id") % 3 / 10.0).alias("multiplier")))
+        _STORES[key] = landed_trades(spark, sf, lambda base: live.advance(feeds.as_tape(deduped(spark, base)), CFG, f"{base}/live", live.writer(store(base), CFG), boosts))
+    return store(_STORES[key])
 
 
 @query("stream_detect", LIVE_SQL + "SELECT market_id, seq, prior_flags, round(total_score,6) AS total_score, is_alert FROM live")
@@ -106,10 +108,10 @@ def _(spark, sf):
         "wallet", "market_id", "outcome_index", "trade_count", *rnd("net_shares", digits=3), *rnd("net_cost", digits=2), "flag_count")
 
 
-@query("stream_alerts", LIVE_SQL + """SELECT seq, round(total_score,6) AS total_score, array_to_string(list_filter([CASE WHEN conf_volume_anomaly>0 THEN 'volume_anomaly' END,
+@query("stream_alerts", LIVE_SQL + """SELECT seq, round(live.total_score,6) AS total_score, array_to_string(list_filter([CASE WHEN conf_volume_anomaly>0 THEN 'volume_anomaly' END,
  CASE WHEN conf_probability_impact>0 THEN 'probability_impact' END, CASE WHEN conf_accumulation>0 THEN 'accumulation' END, CASE WHEN conf_extreme_position>0 THEN 'extreme_position' END,
  CASE WHEN conf_contra_silence>0 THEN 'contra_silence' END, CASE WHEN b.live_score>b.base_score+1e-12 THEN 'new_wallet' END, CASE WHEN prior_flags>=1 THEN 'recidivism' END], lambda x: x IS NOT NULL),',') AS detectors
-FROM live JOIN live_base b USING (seq) WHERE is_alert""")
+FROM live JOIN live_base b USING (seq) WHERE live.is_alert""")
 def _(spark, sf):
     df = live.alerts(processed(spark, sf))
     return df.select("seq", *rnd("total_score"), F.array_join("detectors", ",").alias("detectors"))

@@ -7,20 +7,33 @@ from pyspark.sql import functions as F
 from tapescope.operators import causal, economics, evaluation, labels, markets, scoring, search, sweeps
 from tapescope.operators.iterate import union_all
 from tapescope.operators.running import DAY_MS
-from tapescope.plans.base import CFG, FLAG_RATE, evaluations, flagged_buys, frozen, predicted, rnd, tape, truth, winners
+from tapescope.plans.base import CFG, FLAG_RATE, evaluations, flagged_buys, frozen, predicted, replay_views, rnd, tape, truth, winners
 from tapescope.plans.evaluate import FSCORES_SQL, all_metrics, r, rounded
 from tapescope.plans.graphs import member
 from tapescope.plans.registry import query, view
+from tapescope.session import cut
 from tapescope.sources import tables
 
 DETS = ["volume_anomaly", "probability_impact", "accumulation", "extreme_position", "contra_silence"]
 
 
-@query("min_usd_sweep")
+CUTOFFS = [0.0, 500.0, 2000.0]
+for _i, _c in enumerate(CUTOFFS):
+    replay_views(f"_min{_i}", f"SELECT * FROM tape WHERE notional_usdc>={_c}")
+
+
+@query("min_usd_sweep", " UNION ALL ".join(f"""SELECT CAST({c} AS DOUBLE) AS min_usd, count(*) AS trades, count_if(is_alert) AS alerts, count(DISTINCT wallet) AS wallets,
+ round(sum(total_score),4) AS suspicion, (SELECT count(*) FROM (SELECT s.market_id, s.wallet FROM scored_min{i} s JOIN truth t ON t.market_id=s.market_id AND t.wallet=s.wallet WHERE t.is_insider
+ GROUP BY 1,2 HAVING count_if(s.is_alert)/count(*)>={FLAG_RATE})) AS tp FROM scored_min{i}""" for i, c in enumerate(CUTOFFS)))
 def _(spark, sf):
-    s = sweeps.min_notional_sweep(tape(spark, sf), CFG, [0.0, 500.0, 2000.0])
-    return s.groupBy("min_usd").agg(F.count(F.lit(1)).alias("trades"), F.count_if("is_alert").alias("alerts"),
-                                    F.countDistinct("wallet").alias("wallets"))
+    """Each cut-off's replay: trades, alerts, wallets, suspicion, and the labelled wallets that its flags find."""
+    s = cut(sweeps.min_notional_sweep(tape(spark, sf), CFG, CUTOFFS).select("min_usd", "market_id", "wallet", "is_alert", "total_score"))
+    known = truth(spark, sf).where("is_insider").select("market_id", "wallet")
+    found = s.groupBy("min_usd", "market_id", "wallet").agg((F.count_if("is_alert") / F.count(F.lit(1))).alias("rate")).where(F.col("rate") >= FLAG_RATE).join(
+        known, ["market_id", "wallet"], "left_semi").groupBy("min_usd").agg(F.count(F.lit(1)).alias("tp"))
+    per = s.groupBy("min_usd").agg(F.count(F.lit(1)).alias("trades"), F.count_if("is_alert").alias("alerts"), F.countDistinct("wallet").alias("wallets"),
+                                   F.round(F.sum("total_score"), 4).alias("suspicion"))
+    return per.join(found, "min_usd", "left").fillna(0, ["tp"])
 
 
 def _score(drop=None):
@@ -190,7 +203,6 @@ def _(spark, sf):
 
 @query("coordinate_descent")
 def _(spark, sf):
-    from tapescope.session import cut
     s, t = frozen(spark, sf), cut(truth(spark, sf))
     start = {**{f"w_{d}": 1.0 for d in DETS}, "alert_threshold": 0.5, "flag_rate": 0.5}
     groups = [{"alert_threshold": [0.3, 0.5, 0.7], "flag_rate": [0.25, 0.5, 0.75]}, {f"w_{d}": [0.5, 1.0] for d in DETS}]
@@ -275,7 +287,6 @@ def _(spark, sf):
     boosts = causal.boost_schedule(t, CFG, tables.transfers(spark, sf)).select("market_id", "seq", "multiplier")
     base = frozen(spark, sf).join(boosts, ["market_id", "seq"])
     s = scoring.recidivism_replay(base, CFG)
-    from tapescope.session import cut
     s = cut(s.drop("prior_flags_capped"))
     return rounded(economics.quality_composite(economics.econ_fbeta(all_metrics(spark, sf, s))), 5)
 
@@ -283,7 +294,6 @@ def _(spark, sf):
 @query("train_test_window")
 def _(spark, sf):
     """Settings learned on the trades before a date, tested on the later ones."""
-    from tapescope.session import cut
     t, win = tape(spark, sf), winners(spark, sf)
     split = 1704067200000 + 15 * DAY_MS
     wallets = cut(labels.ground_truth(t, win, CFG))
@@ -319,6 +329,5 @@ def _(spark, sf):
 @query("persisted_state_reload", "SELECT count(*) AS n_edges, round(sum(weight),4) AS weight FROM edges")
 def _(spark, sf):
     from tapescope.operators import graph
-    from tapescope.session import cut
     log = cut(tape(spark, sf).select("market_id", "wallet", "timestamp_ms", "side", "outcome_index", "notional_usdc"))
     return graph.bucket_graph(log, CFG).agg(F.count(F.lit(1)).alias("n_edges"), F.round(F.sum("weight"), 4).alias("weight"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -71,3 +73,29 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tapescope-cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_KEPT: dict[tuple[str, str], str] = {}
+
+
+def kept(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that several queries of one application read: made and written by the first of them.
+
+    ``name`` must say all that the table depends on.  A table that is gone is made again.
+    """
+    key = (spark.sparkContext.applicationId, name)
+    if key in _KEPT:
+        try:
+            return spark.read.parquet(_KEPT[key])
+        except AnalysisException:
+            del _KEPT[key]
+    df = make()
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tapescope-kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _KEPT[key] = path
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def forget() -> None:
+    """Make kept tables anew at their next use, as a bench must."""
+    _KEPT.clear()
