@@ -71,12 +71,44 @@ def evaluate_market(evals: DataFrame, threshold: float = 0.5) -> DataFrame:
     return join_medians(agg, rows, keys, {"median_pnl": F.col("net_pnl"), "median_return": F.col("wallet_return")})
 
 
-def cluster_detail(member: DataFrame, alerts: DataFrame) -> DataFrame:
-    """Members of each cluster with alert count, volume, buy volume."""
+def most_profitable(evals: DataFrame, threshold: float = 0.5, k: int = 20) -> DataFrame:
+    """The ``k`` wallets of each market that earned most, suspects marked."""
+    rows = evals.withColumn("is_suspect", F.col("flag_rate") >= threshold)
+    return top_k(rows.select("market_id", "wallet", "is_suspect", "trade_count", "num_flags", "flag_rate", "net_pnl", "wallet_return"), ["market_id"], [F.desc("net_pnl"), F.asc("wallet")], k)
+
+
+def top_alerts(alerts: DataFrame, k: int = 5) -> DataFrame:
+    """The ``k`` highest alerts of each wallet with the detectors that fired."""
+    from tapescope.operators.scoring import fired
+
+    named = alerts.withColumn("detectors", fired(alerts)).select("wallet", "market_id", "seq", "side", "notional_usdc", "timestamp_ms", "total_score", "detectors")
+    return top_k(named, ["wallet"], [F.desc("total_score"), F.asc("seq")], k)
+
+
+def wallet_parts(stats: DataFrame, positions: DataFrame, transfers: DataFrame, member: DataFrame, meta: DataFrame, k: int = 5) -> DataFrame:
+    """One row a wallet: bought, open positions and their shares, largest counterparties either way, clusters and the largest of them."""
+    base = stats.groupBy("wallet").agg(F.sum("total_buy_notional").alias("bought"))
+    held = F.abs(F.col("net_shares")) > 1e-9
+    open_ = positions.groupBy("wallet").agg(F.count_if(held).alias("open_positions"), F.sum(F.when(F.col("net_shares") > 0, F.col("net_shares")).otherwise(0.0)).alias("long_shares"))
+    ways = wallet_transfers(transfers, k).groupBy("wallet").agg(*[
+        F.sum(F.when(F.col("way") == way, F.col("amount"))).alias(name) for way, name in (("out", "top_sent"), ("in", "top_received"))])
+    own = member.join(meta.select("market_id", "community", "size"), ["market_id", "community"]).groupBy(F.col("node").alias("wallet")).agg(
+        F.count(F.lit(1)).alias("clusters"), F.max("size").alias("largest_cluster"))
+    return base.join(open_, "wallet", "left").join(ways, "wallet", "left").join(own, "wallet", "left").fillna(0, ["open_positions", "clusters"])
+
+
+def cluster_transfers(links: DataFrame, k: int = 10) -> DataFrame:
+    """The ``k`` largest transfers between members of each cluster."""
+    return top_k(links, ["market_id", "community"], [F.desc("amount"), F.asc("src"), F.asc("dst")], k)
+
+
+def cluster_detail(member: DataFrame, alerts: DataFrame, stats: DataFrame) -> DataFrame:
+    """Members of each cluster with alert count, volume, buy volume and the number of markets they trade in."""
     buy = F.when(F.col("side") == "BUY", F.col("notional_usdc")).otherwise(0.0)
     a = alerts.groupBy("market_id", "wallet").agg(F.count(F.lit(1)).alias("alerts"), F.sum("notional_usdc").alias("volume"), F.sum(buy).alias("buy_volume"))
     m = member.select("market_id", F.col("node").alias("wallet"), "community")
-    return m.join(a, ["market_id", "wallet"], "left").fillna(0, ["alerts"]).fillna(0.0, ["volume", "buy_volume"])
+    n = stats.groupBy("wallet").agg(F.countDistinct("market_id").alias("markets"))
+    return m.join(a, ["market_id", "wallet"], "left").join(n, "wallet", "left").fillna(0, ["alerts", "markets"]).fillna(0.0, ["volume", "buy_volume"])
 
 
 def attribution_summary(edges: DataFrame, cache: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Queries over co-activity graphs, jumps and causal schedules."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tapescope.operators import causal, detectors, graph, jumps, labels
@@ -7,7 +9,8 @@ from tapescope.operators.running import DAY_MS
 from tapescope.plans.base import CFG, frozen, rnd, tape, winners
 from tapescope.plans.evaluate import r, rounded
 from tapescope.plans.registry import query, view
-from tapescope.sources import tables
+from tapescope.session import checkpoint_dir
+from tapescope.sources import sinks, tables
 
 G = CFG["clustering"]
 view("bsizes", f"""
@@ -225,6 +228,20 @@ def _(spark, sf):
     return rounded(jumps.largest_price_jump(tape(spark, sf), winners(spark, sf)))
 
 
+@query("cluster_state_snapshot", "SELECT m.market_id, m.node AS wallet, m.community, c.size, c.n_edges, round(c.density,6) AS density, round(c.total_edge_weight,4) AS total_edge_weight FROM member m JOIN cmeta c ON c.market_id=m.market_id AND c.community=m.community")
+def _(spark, sf):
+    """Assignments and metadata written as versions and read back; an older version of each lies beside the newest."""
+    base = f"{checkpoint_dir(spark)}/clusters-{uuid.uuid4().hex}"
+    m = member(spark, sf)
+    meta = graph.cluster_metadata(edges(spark, sf), m)
+    for table, rows in (("assignments", m), ("metadata", meta)):
+        sinks.write_snapshot(rows.limit(0), f"{base}/{table}", 1)
+        sinks.write_snapshot(rows, f"{base}/{table}", 2)
+    held, known = (sinks.read_snapshot(spark, f"{base}/{t}") for t in ("assignments", "metadata"))
+    df = held.join(known, ["market_id", "community"]).withColumnRenamed("node", "wallet")
+    return df.select("market_id", "wallet", "community", "size", "n_edges", *rnd("density"), *rnd("total_edge_weight", digits=4))
+
+
 # ---- causal schedules, on the default clocks
 POLL, EVERY = int(J["poll_interval_seconds"] * 1000), int(J["scoring_interval_minutes"] * 60_000)
 K = CFG["clustering"]

@@ -208,14 +208,6 @@ def _(spark, sf):
     return rounded(sinks.participation_log(t.unionByName(t)).drop("seq"), 4)
 
 
-@query("cluster_state_snapshot", "SELECT market_id, count(*) AS n FROM (SELECT DISTINCT market_id, wallet FROM tape) GROUP BY 1")
-def _(spark, sf):
-    folder = f"{checkpoint_dir(spark)}/clusters-{uuid.uuid4().hex}"
-    rows = tape(spark, sf).select("market_id", "wallet").distinct()
-    path = sinks.write_snapshot(rows, folder, 1)
-    return spark.read.parquet(path).groupBy("market_id").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("resolution_cache_upsert", "SELECT market_id, winner, CAST(2 AS INTEGER) AS version FROM winners UNION ALL SELECT market_id, NULL, 1 FROM markets WHERE market_id NOT IN (SELECT market_id FROM winners)")
 def _(spark, sf):
     old = tables.markets(spark, sf).select("market_id", F.lit(None).cast("int").alias("winner"), F.lit(1).alias("version"))

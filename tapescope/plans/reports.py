@@ -234,9 +234,45 @@ def _(spark, sf):
     return df.select("market_id", "community", "size", *rnd("density", digits=5))
 
 
-@query("cluster_detail", "SELECT m.market_id, m.node AS wallet, community, coalesce(n,0) AS alerts, round(coalesce(v,0),3) AS volume, round(coalesce(b,0),3) AS buy_volume FROM member m LEFT JOIN (SELECT market_id, wallet, count(*) AS n, sum(notional_usdc) AS v, sum(CASE WHEN side='BUY' THEN notional_usdc ELSE 0 END) AS b FROM alerts GROUP BY 1,2) a ON a.market_id=m.market_id AND a.wallet=m.node")
+@query("cluster_detail", "SELECT m.market_id, m.node AS wallet, community, coalesce(n,0) AS alerts, round(coalesce(v,0),3) AS volume, round(coalesce(b,0),3) AS buy_volume, k.markets FROM member m JOIN (SELECT wallet, count(*) AS markets FROM wstats GROUP BY 1) k ON k.wallet=m.node LEFT JOIN (SELECT market_id, wallet, count(*) AS n, sum(notional_usdc) AS v, sum(CASE WHEN side='BUY' THEN notional_usdc ELSE 0 END) AS b FROM alerts GROUP BY 1,2) a ON a.market_id=m.market_id AND a.wallet=m.node")
 def _(spark, sf):
-    return rounded(reports.cluster_detail(member(spark, sf), frozen(spark, sf).where("is_alert")), 3)
+    s = frozen(spark, sf)
+    return rounded(reports.cluster_detail(member(spark, sf), s.where("is_alert"), sinks.wallet_market_stats(s, s.where("is_alert"))), 3)
+
+
+@query("cluster_transfers", """SELECT market_id, community, src, dst, rank, round(amount,2) AS amount, tx_count FROM (SELECT *, row_number() OVER (PARTITION BY market_id, community ORDER BY amount DESC, src, dst) AS rank FROM (
+ SELECT a.market_id, a.community, from_address AS src, to_address AS dst, sum(value_usdc) AS amount, count(*) AS tx_count FROM transfers t JOIN member a ON a.node=t.from_address
+ JOIN member b ON b.node=t.to_address AND b.market_id=a.market_id AND b.community=a.community WHERE from_address<>to_address GROUP BY 1,2,3,4)) WHERE rank<=10""")
+def _(spark, sf):
+    links = graph.intra_cluster_transfers(tables.transfers(spark, sf), member(spark, sf))
+    return rounded(reports.cluster_transfers(links), 2)
+
+
+@query("evaluate_market_top", """SELECT * FROM (SELECT market_id, wallet, flag_rate>=0.5 AS is_suspect, trade_count, num_flags, round(flag_rate,5) AS flag_rate, round(net_pnl,2) AS net_pnl, round(wallet_return,5) AS wallet_return,
+ row_number() OVER (PARTITION BY market_id ORDER BY round(net_pnl,6) DESC, wallet) AS rank FROM evals) WHERE rank<=20""")
+def _(spark, sf):
+    df = reports.most_profitable(evaluations(spark, sf).withColumn("net_pnl", F.round("net_pnl", 6)))
+    return rounded(rounded(df, 2, ("flag_rate", "wallet_return")), 5)
+
+
+@query("wallet_top_alerts", f"""SELECT wallet, rank, seq, side, round(total_score,5) AS total_score, array_to_string(fl,',') AS detectors FROM (
+ SELECT *, row_number() OVER (PARTITION BY wallet ORDER BY round(total_score,9) DESC, seq) AS rank FROM (SELECT *, list_filter([{','.join(f"CASE WHEN conf_{d}>0 THEN '{d}' END" for d in ('volume_anomaly', 'probability_impact', 'accumulation', 'extreme_position', 'contra_silence'))}], lambda x: x IS NOT NULL) AS fl FROM alerts)) WHERE rank<=5""")
+def _(spark, sf):
+    a = frozen(spark, sf).where("is_alert").withColumn("total_score", F.round("total_score", 9))
+    return reports.top_alerts(a).select("wallet", "rank", "seq", "side", *rnd("total_score", digits=5), F.array_join("detectors", ",").alias("detectors"))
+
+
+@query("wallet_parts", """WITH b AS (SELECT wallet, sum(total_buy_notional) AS bought FROM wstats GROUP BY 1),
+p AS (SELECT wallet, count(*) FILTER (abs(n)>1e-9) AS open_positions, sum(greatest(n,0)) AS long_shares FROM (SELECT wallet, market_id, outcome_index, sum(CASE WHEN side='BUY' THEN size_tokens ELSE -size_tokens END) AS n FROM tape GROUP BY 1,2,3) GROUP BY 1),
+e AS (SELECT from_address AS wallet, 'out' AS way, to_address AS other, sum(value_usdc) AS amount FROM transfers GROUP BY 1,2,3 UNION ALL SELECT to_address, 'in', from_address, sum(value_usdc) FROM transfers GROUP BY 1,2,3),
+w AS (SELECT wallet, sum(amount) FILTER (way='out') AS top_sent, sum(amount) FILTER (way='in') AS top_received FROM (SELECT *, row_number() OVER (PARTITION BY wallet, way ORDER BY amount DESC, other) AS rn FROM e) WHERE rn<=5 GROUP BY 1),
+c AS (SELECT node AS wallet, count(*) AS clusters, max(size) AS largest_cluster FROM member JOIN cmeta USING (market_id, community) GROUP BY 1)
+SELECT wallet, round(bought,2) AS bought, open_positions, round(long_shares,2) AS long_shares, round(top_sent,2) AS top_sent, round(top_received,2) AS top_received, coalesce(clusters,0) AS clusters, largest_cluster
+FROM b LEFT JOIN p USING (wallet) LEFT JOIN w USING (wallet) LEFT JOIN c USING (wallet)""")
+def _(spark, sf):
+    s, m = frozen(spark, sf), member(spark, sf)
+    meta = m.groupBy("market_id", "community").agg(F.count(F.lit(1)).alias("size"))
+    return rounded(reports.wallet_parts(sinks.wallet_market_stats(s, s.where("is_alert")), sinks.wallet_outcome_positions(tape(spark, sf)), tables.transfers(spark, sf), m, meta), 2)
 
 
 @query("transfer_edges", "SELECT from_address, to_address, round(sum(value_usdc),2) AS amount, count(*) AS tx_count, min(timestamp_s) AS first_ts, max(timestamp_s) AS last_ts FROM transfers GROUP BY 1,2")

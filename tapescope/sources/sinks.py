@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapescope.operators.state import ORDER, is_buy, signed_tokens
@@ -68,6 +70,13 @@ def write_snapshot(df: DataFrame, folder: str, version: int) -> str:
     return path
 
 
+def read_snapshot(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest version of a table; versions are found by the names of their files."""
+    folder = folder.rstrip("/")
+    newest = max(int(re.search("version=([0-9]+)/", path)[1]) for path in spark.read.parquet(folder).inputFiles())
+    return spark.read.parquet(f"{folder}/version={newest}")
+
+
 def export_results(df: DataFrame, path: str, fmt: str = "json") -> None:
     df.write.mode("overwrite").option("header", True).format(fmt).save(path)
 
