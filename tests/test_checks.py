@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 QUICK = ["rolling_stats", "wallet_ratios", "contra_asof", "expanding_zscore", "wallet_labels", "infer_resolution", "bucket_graph", "find_jumps",
          "jump_interval_join", "recluster_ticks", "parse_trade_json", "normalize_transfers", "split_by_close_time", "prior_trade_counts",
          "book_asof_join", "orderbook_consumption", "book_states", "timing_heuristic", "random_baseline", "wallet_evaluations", "mann_whitney",
-         "stream_dedup"]
+         "stream_dedup", "book_stream", "setting_candidates", "causal_jump_multiplier", "cluster_state_snapshot", "stream_recluster_ticks"]
 NAMES = [n for n in entry.queries() if n in entry.oracle_sql()] if os.environ.get("CHECK_ALL") else QUICK
 
 
