@@ -219,8 +219,8 @@ def _with_sets(docs: DataFrame, id_column: str, wanted: DataFrame, size: int) ->
 
 
 def _compare(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
-    """Links (a, b) inside the tasks that ``keys`` name; rows have node, label, regs and s."""
-    rows = rows.select(*keys, "node", "label", "regs", "s").repartition(*keys).sortWithinPartitions(*keys)
+    """Links (a, b) inside the tasks that ``keys`` name; rows have node, label and s, from which the registers are made again."""
+    rows = rows.select(*keys, "node", "label", "s").repartition(*keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches, len(keys)):
@@ -229,8 +229,7 @@ def _compare(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
                 continue
             block = block.take(pa.array(first))
             sets = [np.frombuffer(v.as_buffer(), _U) for v in block.column("s")]
-            regs = np.frombuffer(b"".join(block.column("regs").to_pylist()), np.uint16).reshape(-1, BUCKETS)
-            links = spanning(block.column("label").to_numpy(), sets, regs, percent)
+            links = spanning(block.column("label").to_numpy(), sets, np.stack([registers(s) for s in sets]), percent)
             if links:
                 a, b = np.array(links).T
                 yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
@@ -317,7 +316,7 @@ def labelled(docs: DataFrame, shingle: int, percent: int, id_column: str, carry:
     placed = written(_in_parts(family.join(nodes.select("node", "n"), "node"), "family", limits).withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts"))), "placed")
 
     def compared(rows: DataFrame, keys: list[str]) -> DataFrame:
-        full = rows.join(nodes.select("node", "regs", "at", "x", "h1", "h2"), "node")
+        full = rows.join(nodes.select("node", "at", "x", "h1", "h2"), "node")  # narrow: only sets travel
         return written(_compare(_with_sets(docs, id_column, full, shingle), keys, percent), "links")
 
     labels = merged(None, compared(placed.withColumn("label", F.col("node")), ["family", "block"]))
