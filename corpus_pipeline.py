@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapescope.llm import decontam, neardup, packing, pii, toxicity
-from tapescope.llm.common import ready, shared_path, table, written
+from tapescope.llm.common import ready, scratch, shared_path, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,12 +41,13 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ready(spark)
     hashed = lambda k: F.xxhash64(F.lit(k), *[F.col(f"`{c}`") for c in docs.columns])
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), hashed(1).alias("_k1"), hashed(2).alias("_k2"))
-    groups = written(neardup.labelled(keyed, 5, 80, "doc_id", ["doc_id", "_k1", "_k2"]).where("group is not null"), "groups")
-    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_k1", "_k2")
-    first = groups.groupBy("group").agg(F.min(rank).alias("_first"))
-    stays = (F.col("_k1") == F.col("_first._k1")) & (F.col("_k2") == F.col("_first._k2"))
-    judged = groups.join(first, "group").groupBy("_k1", "_k2").agg(F.max(stays).alias("_stays"), F.count(F.lit(1)).alias("_times"))
-    judged = written(judged.where("not _stays or _times > 1"), "judged")
+    with scratch(spark):  # sketches, sets and links go as soon as the rows are judged
+        groups = written(neardup.labelled(keyed, 5, 80, "doc_id", ["doc_id", "_k1", "_k2"]).where("group is not null"), "groups")
+        rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_k1", "_k2")
+        first = groups.groupBy("group").agg(F.min(rank).alias("_first"))
+        stays = (F.col("_k1") == F.col("_first._k1")) & (F.col("_k2") == F.col("_first._k2"))
+        judged = groups.join(first, "group").groupBy("_k1", "_k2").agg(F.max(stays).alias("_stays"), F.count(F.lit(1)).alias("_times"))
+        judged = written(judged.where("not _stays or _times > 1"), "judged", keep=True)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), hashed(1).alias("_k1"), hashed(2).alias("_k2"))
     kept = rows.join(judged, ["_k1", "_k2"], "left").where("_stays is null or _stays")
     if judged.where("_stays").isEmpty():
