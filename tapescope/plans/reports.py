@@ -6,7 +6,7 @@ from tapescope.operators import graph, labels, markets, reports, scoring
 from tapescope.operators.running import DAY_MS
 from tapescope.plans.base import CFG, evaluations, frozen, rnd, scored, tape, winners
 from tapescope.plans.evaluate import r, rounded
-from tapescope.plans.graphs import edges, member
+from tapescope.plans.graphs import member, metadata
 from tapescope.plans.ingest import SIGNALS_SQL, STATS_SQL
 from tapescope.plans.registry import query, view
 from tapescope.sources import sinks, tables
@@ -131,7 +131,7 @@ def wstats(spark, sf):
 
 def joined(spark, sf):
     m = member(spark, sf)
-    return reports.stats_with_clusters(wstats(spark, sf), m, graph.cluster_metadata(edges(spark, sf), m))
+    return reports.stats_with_clusters(wstats(spark, sf), m, metadata(spark, sf, m))
 
 
 @query("suspects", "SELECT wallet, market_id, trade_count, flag_count, round(flag_count/trade_count,5) AS flag_rate FROM wstats WHERE trade_count>=3 AND flag_count/trade_count>=0.5")
@@ -230,7 +230,7 @@ def _(spark, sf):
 
 @query("cluster_list", "SELECT market_id, community, size, round(density,5) AS density FROM cmeta WHERE size>=5 AND density>=0.02")
 def _(spark, sf):
-    df = graph.cluster_metadata(edges(spark, sf), member(spark, sf)).where("size >= 5 and density >= 0.02")
+    df = metadata(spark, sf, member(spark, sf)).where("size >= 5 and density >= 0.02")
     return df.select("market_id", "community", "size", *rnd("density", digits=5))
 
 

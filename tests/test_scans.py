@@ -1,5 +1,6 @@
 """Global orders, sweeps, cores: against plain loops, and spread over tasks."""
 
+import itertools
 import random
 
 import numpy as np
@@ -159,3 +160,40 @@ def test_next_jump_against_brute_force(spark, make_tape, look):
         near = [(abs(x.price_change), -x.start_ms, -x.direction) for x in found
                 if x.market_id == r.market_id and x.outcome_index == r.outcome_index and r.timestamp_ms <= x.start_ms <= r.timestamp_ms + look * 60_000]
         assert r.jump_direction == (-max(near)[2] if near else None)
+
+
+def test_edges_are_summed_where_their_pairs_are_made(make_tape):
+    cfg = make_config(clustering={"bucket_size": 100, "size_normalizer": 1000.0})
+    rng = random.Random(5)
+    tape = make_tape([(rng.randrange(400) * 1000, f"w{rng.randrange(30):02d}", rng.randrange(2), rng.choice(["BUY", "SELL"]), 0.5,
+                       float(rng.randrange(1, 4000)), rng.randrange(2)) for _ in range(500)])
+    sizes = {}
+    for r in tape.collect():
+        cell = (r.market_id, r.timestamp_ms // 100_000, r.outcome_index, r.side)
+        sizes.setdefault(cell, {}).setdefault(r.wallet, []).append(r.notional_usdc)
+    want, total = {}, {}
+    for (market, *_), held in sizes.items():
+        for a, b in itertools.combinations(sorted(held), 2):
+            weight = min((sum(held[a]) * sum(held[b])) ** 0.5 / 1000.0, cfg["clustering"]["max_size_mult"])
+            want[market, a, b] = want.get((market, a, b), 0.0) + weight
+            total[a, b] = total.get((a, b), 0.0) + weight
+    cells = graph.bucket_sizes(tape, cfg)
+    for block_pairs in (40, 1_000_000):
+        edges = graph.edges_from_sizes(cells, cfg, ["market_id"], block_pairs=block_pairs)
+        assert {(r.market_id, r.src, r.dst): r.weight for r in edges.collect()} == pytest.approx(want)
+        merged = graph.merge_market_graphs(graph.edges_from_sizes(cells, cfg, ["market_id"], blocks=[], block_pairs=block_pairs))
+        assert {(r.src, r.dst): r.weight for r in merged.collect()} == pytest.approx(total)
+        for df in (edges, merged):  # no pair is moved
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert not any("Exchange" in line and "src#" in line for line in plan.splitlines())
+
+
+def test_metadata_needs_only_the_edges_inside_communities(spark, make_tape):
+    cfg = make_config(clustering={"bucket_size": 100, "size_normalizer": 1000.0})
+    rng = random.Random(6)
+    tape = make_tape([(rng.randrange(300) * 1000, f"w{rng.randrange(20):02d}", 0, "BUY", 0.5, 2000.0, rng.randrange(2)) for _ in range(200)])
+    member = tape.select("market_id", F.col("wallet").alias("node"), F.substring("wallet", 3, 1).alias("community")).distinct()
+    inside = graph.bucket_graph(tape, cfg, within=member)
+    assert inside.where(F.substring("src", 3, 1) != F.substring("dst", 3, 1)).isEmpty()
+    key = lambda df: sorted((r.market_id, r.community, r.size, r.n_edges, round(r.total_edge_weight, 6), round(r.density, 6)) for r in df.collect())
+    assert key(graph.cluster_metadata(inside, member)) == key(graph.cluster_metadata(graph.bucket_graph(tape, cfg), member))
