@@ -197,3 +197,24 @@ def test_metadata_needs_only_the_edges_inside_communities(spark, make_tape):
     assert inside.where(F.substring("src", 3, 1) != F.substring("dst", 3, 1)).isEmpty()
     key = lambda df: sorted((r.market_id, r.community, r.size, r.n_edges, round(r.total_edge_weight, 6), round(r.density, 6)) for r in df.collect())
     assert key(graph.cluster_metadata(inside, member)) == key(graph.cluster_metadata(graph.bucket_graph(tape, cfg), member))
+
+
+def test_communities_of_a_task_equal_those_of_tables(spark):
+    nodes = spark.createDataFrame([(f"w{i}",) for i in range(20)], "n string").select(F.xxhash64("n").alias("a"), F.xxhash64("n", F.lit(101)).alias("b")).toPandas()
+    assert (graph.drawn(nodes.a.to_numpy(), 101) == nodes.b.to_numpy()).all()
+    rng = random.Random(3)
+    rows = [(m, *sorted(rng.sample([f"w{i:02d}" for i in range(n)], 2)), rng.random() * 3) for m, n, e in ((1, 14, 40), (2, 12, 14)) for _ in range(e)]
+    edges = spark.createDataFrame(rows, "market_id int, src string, dst string, weight double")
+    got = {(r.market_id, r.node): r.community for r in graph.communities(edges).collect()}
+    assert got == {(r.market_id, r.node): r.community for r in graph.communities(edges, task_edges=20).collect()}
+    assert len(got) > len({(m, c) for (m, _), c in got.items()}) > 2
+
+
+def test_rounds_of_a_task_do_not_depend_on_its_table_of_links(monkeypatch):
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 200, (2, 4000))
+    src, dst, seed = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b], rng.integers(-2**62, 2**62, 200)
+    weight = rng.random(len(src)) * 3
+    got = graph.local_moves(src, dst, weight, seed)
+    monkeypatch.setattr(graph, "LINK_CELLS", 0)
+    assert (got == graph.local_moves(src, dst, weight, seed)).all()
