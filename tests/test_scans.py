@@ -218,3 +218,20 @@ def test_rounds_of_a_task_do_not_depend_on_its_table_of_links(monkeypatch):
     got = graph.local_moves(src, dst, weight, seed)
     monkeypatch.setattr(graph, "LINK_CELLS", 0)
     assert (got == graph.local_moves(src, dst, weight, seed)).all()
+
+
+def test_transfers_meet_their_graphs_as_one_row_a_pair(spark):
+    rng = random.Random(8)
+    member = [(m, f"W{i}", rng.choice("xy")) for m in range(6) for i in range(8) if rng.random() < 0.8] + [(0, "w1", "x"), (0, "W1", "x"), (1, None, "x")]
+    moved = [("t", rng.randrange(9), f"w{rng.randrange(9)}", f"w{rng.randrange(9)}", float(rng.randrange(50))) for _ in range(120)]
+    want = []
+    for src, dst in {(r[2], r[3]) for r in moved if r[2] != r[3]}:
+        own = [r[4] for r in moved if (r[2], r[3]) == (src, dst)]
+        for a, b in itertools.product(member, member):
+            if a[1] and b[1] and (a[1].lower(), b[1].lower()) == (src, dst) and (a[0], a[2]) == (b[0], b[2]):
+                want.append((a[0], a[2], src, dst, sum(own), len(own)))
+    df = spark.createDataFrame(moved, "tx_hash string, timestamp_s long, from_address string, to_address string, value_usdc double")
+    links = graph.intra_cluster_transfers(df, spark.createDataFrame(member, "market_id int, node string, community string"))
+    assert sorted(tuple(r) for r in links.collect()) == sorted(want)
+    plan = links._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" in plan
