@@ -126,3 +126,26 @@ def test_gates_equal_a_clock(spark, make_tape):
                 want.add((market, end))
                 last = end
     assert due == want and due
+
+
+def test_keys_share_calls_but_not_states(spark, tmp_path):
+    """Python is called once a group of keys; nulls of one key leave the whole numbers of another alone."""
+    rows = [(t, t, f"w{t % 7}", None if t % 7 == 3 else t % 2) for t in range(60)]
+    schema = "seq long, timestamp_ms long, wallet string, outcome int"
+    for part in (rows[:30], rows[30:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    def step(held, r):
+        held["n"] = held.get("n", 0) + 1
+        return [held["n"], str(r.outcome)]
+
+    got = {}
+    for groups in (1, 1000):
+        rows_in = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        out = live.keyed(rows_in, ["wallet"], {"n": "long", "said": "string"}, step, groups=groups)
+        q = out.writeStream.format("parquet").option("path", f"{tmp_path}/out{groups}").option("checkpointLocation", f"{tmp_path}/ck{groups}").trigger(availableNow=True).start()
+        q.awaitTermination()
+        got[groups] = spark.read.schema(out.schema).parquet(f"{tmp_path}/out{groups}").select("seq", "outcome", "n", "said").orderBy("seq").collect()
+    count = lambda t: sum(1 for r in rows if r[2] == f"w{t % 7}")
+    assert {(r.seq, r.said) for r in got[1]} == {(t, str(rows[t][3])) for t in range(60)} and got[1] == got[1000]
+    assert all(max(r.n for r in got[1] if r.seq % 7 == k) == count(k) for k in range(7))
