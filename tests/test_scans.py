@@ -84,6 +84,19 @@ def test_tick_boosts_equal_copied_buffers(spark, make_tape, window, look, hours,
     assert want and got.keys() == want.keys() and all(got[k] == pytest.approx(v) for k, v in want.items())
 
 
+@pytest.mark.parametrize("asked", [False, True])
+def test_tick_boosts_copy_no_trade_to_its_ticks(spark, make_tape, monkeypatch, asked):
+    """Jumps that stay open longer than the buffer lasts, as in the registered queries."""
+    cfg = make_config(jumps={"jump_window_minutes": 90, "pre_jump_lookback_minutes": 150, "buffer_hours": 2, "min_buffer_trades": 5})
+    tape = make_tape(random_rows(400, 17))
+    ticks = tape.where("seq % 9 = 4").groupBy("market_id", F.col("timestamp_ms").alias("tick")).agg(F.max("timestamp_ms").alias("tick_ms"))
+    want = {(r.market_id, r.tick, r.wallet): r.jump_boost for r in copied_boosts(tape, ticks, cfg).collect()}
+    pairs = ticks.select("market_id", "tick").join(tape.select("market_id", "wallet").distinct(), "market_id") if asked else None
+    monkeypatch.setattr(causal, "rolling_buffer", None)
+    got = {(r.market_id, r.tick, r.wallet): r.jump_boost for r in causal.tick_boosts(tape, ticks, cfg, pairs, chunk_ms=HOUR).collect()}
+    assert want and got.keys() == want.keys() and all(got[k] == pytest.approx(v) for k, v in want.items())
+
+
 def test_buffer_totals_equal_copies(make_tape):
     tape = make_tape(random_rows(200, 4))
     ticks = tape.where("seq % 5 = 0").groupBy("market_id", F.col("timestamp_ms").alias("tick")).agg(F.max("timestamp_ms").alias("tick_ms"))
