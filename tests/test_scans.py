@@ -12,6 +12,7 @@ from tapescope.config import make_config
 from tapescope.operators import baselines, causal, economics, graph, jumps, state
 from tapescope.operators.running import Track
 from tapescope.operators.scan import ranged, ranges
+from tapescope.session import cut
 
 HOUR = 3_600_000
 
@@ -248,3 +249,18 @@ def test_transfers_meet_their_graphs_as_one_row_a_pair(spark):
     assert sorted(tuple(r) for r in links.collect()) == sorted(want)
     plan = links._jdf.queryExecution().optimizedPlan().toString()
     assert "array_intersect" in plan
+
+
+def test_sizes_of_many_ticks_stay_off_the_driver(spark):
+    """Sizes spread over ticks are small files and many rows: no join of them may be a broadcast; who can reach the weight stays."""
+    cfg = make_config(clustering={"size_normalizer": 1.0, "max_size_mult": 5.0})
+    rows = [(1, t, 0, 0, "BUY", w, s) for t in range(1, 40) for w, s in (("a", 4.0), ("b", 1.0), ("c", 0.01))]
+    sizes = spark.createDataFrame(rows, "market_id int, tick long, bucket long, outcome_index int, side string, wallet string, size double")
+    out = graph.prune_wallets(cut(sizes), cfg, 2.0, ["market_id", "tick"])
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r.tick, r.wallet) for r in out.collect()} == {(t, w) for t in range(1, 40) for w in "ab"}
+    member = spark.createDataFrame([(1, t, w, "a") for t in range(1, 40) for w in "ab"], "market_id int, tick long, node string, community string")
+    meta = spark.createDataFrame([(1, t, "a", 2, 1.0, False, 1.5) for t in range(1, 40)],
+                                 "market_id int, tick long, community string, size long, density double, has_common_ownership boolean, boost double")
+    boosts = graph.wallet_boosts(cut(member), cut(meta), ["market_id", "tick"])
+    assert "Broadcast" not in boosts._jdf.queryExecution().executedPlan().toString() and boosts.count() == 78
