@@ -117,6 +117,16 @@ def test_training_learns_from_context():
     assert before > 2.5 and after < 0.5
 
 
+def test_every_training_window_is_learned(spark):
+    """Two kinds of texts, each a cycle: a model of a few windows cannot know both, one of all windows does."""
+    ready(spark)
+    cycles = ["one two three four five six seven eight nine ten ", "red green blue black white brown grey pink gold silver "]
+    docs = spark.createDataFrame([(i, cycles[i % 2] * 40) for i in range(400)], "doc_id long, text string").repartition(4)
+    got = attention.score(docs.withColumn("held_out", F.col("doc_id") >= 380), None, attention.CLASSES, 1).collect()
+    held = [r["score"] / r["n_tokens"] for r in got if r["held_out"]]
+    assert len(got) == 400 and len(held) == 20 and min(held) > -0.7
+
+
 def test_language_model_odd_rows(spark, odd, monkeypatch):
     monkeypatch.setattr(attention, "BLOCK_WORDS", 2)  # a new block for nearly every text
     got = attention.score(odd.withColumn("held_out", F.col("doc_id") == 4)).collect()
